@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The tokenizer file of ops 5 and 6, by name in the package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +21,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.forest import nearest
+
+    points = table(spark, sf_dir, "embeddings")
+    return nearest(points, points.where("vec_id % 20 = 0"), k=20)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.warc import archive_round_trip
 
@@ -38,10 +52,32 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.crf import fit, tag
+    from vellum.llm.langid import held_out
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out("doc_id", 5, 0)))
+    return tag(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = identify(docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_forest": op1_prefix_forest,
+    "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
     "op6_bpe": op6_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
