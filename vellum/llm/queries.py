@@ -28,6 +28,12 @@ def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(points, points.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.esa import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.leaks import leaks
 
@@ -52,6 +58,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.debruijn import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.crf import fit, tag
     from vellum.llm.langid import held_out
@@ -72,15 +84,42 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_forest": op1_prefix_forest,
+    "op2_suffix_array": op2_suffix_array,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
     "op6_bpe": op6_bpe,
+    "op7_de_bruijn": op7_de_bruijn,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS w
+              FROM d, unnest(range(0, greatest(0, (length(x) // 2 - 199)::INT))) AS t(i)),
+        r AS (SELECT w FROM s GROUP BY w HAVING count(*) > 1),
+        h AS (SELECT doc_id, i FROM s SEMI JOIN r USING (w)),
+        o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM h),
+        g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o),
+        c AS (SELECT doc_id, n, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, n),
+        k AS (SELECT doc_id, a AS e, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s FROM c
+              UNION ALL SELECT d.doc_id, length(x) // 2, coalesce(max(b), 0) FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id, x),
+        t AS (SELECT k.doc_id, string_agg(substr(x, (2 * s + 1)::BIGINT, (2 * (e - s))::BIGINT), '' ORDER BY s) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+        SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, ((length(x) - length(kept)) // 2)::BIGINT AS n_removed,
+               (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN t ON d.doc_id = t.doc_id""",
+    "op7_de_bruijn": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS w FROM d, unnest(range(1, greatest(1, len(ws) - 11))) AS t(i)),
+        f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w),
+        h AS (SELECT s.doc_id, i FROM s JOIN f ON s.w = f.w WHERE first < s.doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + j AS i FROM h, unnest(range(0, 13)) AS t(j)),
+        w AS (SELECT doc_id, i, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(i)),
+        k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept, count(*) AS n FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s, min(page_id) OVER (PARTITION BY sha256(h)) AS f FROM p)

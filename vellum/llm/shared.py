@@ -242,3 +242,49 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(f"{root}/vellum", f"{made}/tree/vellum", ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(f"{made}/vellum", "zip", f"{made}/tree"))
     spark.conf.set("vellum.shipped", spark.sparkContext.applicationId)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays as bytes: byte planes, compressed."""
+    heads, planes = [], []
+    for a in arrays:
+        heads.append(f"{a.dtype.str}{len(a)}")
+        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    raw = b"".join(planes)
+    return f"{len(raw)};{','.join(heads)}\n".encode() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    cut = blob.index(b"\n")
+    size, heads = blob[:cut].decode().split(";")
+    raw = np.frombuffer(pa.decompress(blob[cut + 1 :], int(size), codec="zstd", asbytes=True) if int(size) else b"", np.uint8)
+    out, at = [], 0
+    for head in heads.split(","):
+        kind, n = np.dtype(head[:3]), int(head[3:])
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def partition_keys(n: int) -> np.ndarray:
+    """For each of ``n`` hash partitions an integer that Spark puts there, so that n keys fill n partitions evenly."""
+    out = np.full(n, -1, np.int64)
+    lo, step = 0, max(1024, 4 * n)
+    u32 = np.uint32
+    while (out < 0).any():
+        ints = np.arange(lo, lo + step)
+        with np.errstate(over="ignore"):
+            k = ints.astype(u32) * u32(0xCC9E2D51)
+            k = (k << u32(15) | k >> u32(17)) * u32(0x1B873593)
+            h = u32(42) ^ k
+            h = (h << u32(13) | h >> u32(19)) * u32(5) + u32(0xE6546B64)
+            h ^= u32(4)
+            h = (h ^ (h >> u32(16))) * u32(0x85EBCA6B)
+            h = (h ^ (h >> u32(13))) * u32(0xC2B2AE35)
+            h ^= h >> u32(16)
+        at = h.view(np.int32).astype(np.int64) % n
+        where, first = np.unique(at, return_index=True)
+        new = out[where] < 0
+        out[where[new]] = ints[first[new]]
+        lo += step
+    return out.astype(np.int32)
