@@ -95,7 +95,7 @@ def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
         n = -(-n // 64)
         parts = parts.repartition(n).mapInArrow(add, "v binary")
     total = np.zeros(size, np.int64)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         total += np.frombuffer(row.v, np.int64)
     return total
 

@@ -64,6 +64,12 @@ def op7_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.sigtree import join
+
+    return join(table(spark, sf_dir, "documents"), threshold=70).drop("class_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.crf import fit, tag
     from vellum.llm.langid import held_out
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_records": op5_token_records,
     "op6_bpe": op6_bpe,
     "op7_de_bruijn": op7_de_bruijn,
+    "op8_signature_trees": op8_signature_trees,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
@@ -127,4 +134,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
         FROM d""",
+    "op8_signature_trees": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(1, len(ws) - 1))) AS t(i)
+              UNION SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 2),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 70 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(node, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.node WHERE r.low < e.y)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT count(*) FROM e WHERE e.x = d.doc_id)::BIGINT AS n_similar, c.component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(low) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id""",
 }
