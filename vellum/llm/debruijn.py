@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.shared import Spans, mix, partitions, utf8
-from vellum.llm.windows import WORDS, covered_rows, keyed, shared_runs
+from vellum.llm.windows import WORDS, covered_rows, keyed, own_id, shared_runs
 
 
 def first_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -75,10 +75,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows included; a null id counts as larger than all ids. Only the named columns are read.
     """
     rows, marks = first_seen(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
+    schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
 
-    def finish(ids, data, off, stretches):
+    def finish(batch, data, off, stretches):
         view = memoryview(data)
         out: dict[str, list] = {"n": [], "r": [], "s": [], "k": [], "p": []}
         for a, b, (starts, ends) in zip(off[:-1].tolist(), off[1:].tolist(), stretches):
@@ -92,7 +91,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if text:
                 out["k"].append(kept.decode("utf-8", "replace"))
                 out["p"].append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
-        cols = [ids, pa.array(out["n"], pa.int64()), pa.array(out["r"], pa.int64()), pa.array(out["s"], pa.string())]
+        cols = [own_id(batch.column(0)), pa.array(out["n"], pa.int64()), pa.array(out["r"], pa.int64()), pa.array(out["s"], pa.string())]
         names = [id_col, "n_words", "n_removed", "kept_sha256"]
         if text:
             cols += [pa.array(out["k"], pa.string()), pa.array(out["p"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.shared import Spans, mix, partitions, utf8
-from vellum.llm.windows import BYTES, NULL_ID, covered_rows, keyed, shared_runs
+from vellum.llm.windows import BYTES, NULL_ID, covered_rows, keyed, own_id, shared_runs
 
 BUCKET = 2000
 WIDTH = BYTES.width
@@ -75,13 +75,13 @@ def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH) -> Itera
                 yield left, right, inside[a : b + 1]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: bool = False, rest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows keyed, runs, and of each run the windows that occur elsewhere: ``(h, c, g, j, n)``.
 
     With ``groups`` a run has a row for each maximal repeat ``g`` it belongs to, else its windows in merged ranges.
     """
     n = partitions(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col).repartition(n, "k", "t")
+    rows = keyed(docs, id_col, text_col, rest).repartition(n, "k", "t")
     runs = shared_runs(keyed(docs, id_col, text_col), BYTES, False, "runs")
     entries = runs.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "pos", "m")).alias("at"))
     entries = entries.join(entries.groupBy("h").agg(F.count("*").alias("entries")), "h")
@@ -90,7 +90,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
 
     wanted = several.groupBy("k", "t").agg(F.collect_list(F.struct("h", "c", "times", "entries", "pos", "m")).alias("want"))
     names = ("h", "c", "times", "entries", "pos", "m")
-    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("x", *(f"want.{f}" for f in names))
+    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("x", *(f"want.{f}" for f in names), "k", "t", *["rest"] * rest)  # all columns, so that the exchange is one
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +177,8 @@ def union(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    rows, runs, found = repeats(docs, id_col, text_col)
+def marked(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows, runs, found = repeats(docs, id_col, text_col, rest=rest)
     return rows, runs.join(found, ["h", "c"]).select("k", "t", (F.col("pos") + F.col("j")).alias("pos"), "n")
 
 
@@ -193,6 +193,11 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.join(found, ["h", "c"]).select(F.col("h").alias("bucket"), F.col("g").alias("repeat"), own.alias(id_col), (F.col("pos") + F.col("j")).alias("start"), (F.col("n") - 1 + WIDTH).alias("length"))
 
 
+def cut_out(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    cuts = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(view)]
+    return b"".join([view[x:y] for x, y in zip(cuts[::2], cuts[1::2])])
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row, with ``text`` also ``kept`` and ``spans``.
 
@@ -201,21 +206,37 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lose nothing. ``kept`` leaves out pieces of a character that a span cut. Only the named columns are read.
     """
     rows, marks = marked(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
+    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
 
-    def finish(ids, data, off, spans):
+    def finish(batch, data, off, spans):
         view = memoryview(data)
         out: list[list] = [[], [], [], [], [], []]
         for a, b, (starts, ends) in zip(off[:-1].tolist(), off[1:].tolist(), spans):
-            cuts = [0, *np.stack([starts, ends], 1).ravel().tolist(), b - a]
-            kept = b"".join([view[a + x : a + y] for x, y in zip(cuts[::2], cuts[1::2])])
+            kept = cut_out(view[a:b], starts, ends)
             row = (b - a, b - a - len(kept), len(starts), hashlib.sha256(kept).hexdigest())
             for o, v in zip(out, (*row, *((kept.decode("utf-8", "ignore"), [{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)]) if text else ()))):
                 o.append(v)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        cols = [ids, *(pa.array(o, t) for o, t in zip(out, types))][: 7 if text else 5]
+        cols = [own_id(batch.column(0)), *(pa.array(o, t) for o, t in zip(out, types))][: 7 if text else 5]
         yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
     return covered_rows(rows, marks, BYTES, schema, finish)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings cut out of the text, as ``drop_repeats`` finds them; all rows and columns stay.
+
+    Null texts stay null; a text that is repeated throughout is empty afterwards.
+    """
+    rows, marks = marked(docs, id_col, text_col, rest=True)
+    schema = f"kept string, rest {rows.schema['rest'].dataType.simpleString().replace('no text', '`no text`')}"
+
+    def finish(batch, data, off, spans):
+        view = memoryview(data)
+        kept = [cut_out(view[a:b], s, e).decode("utf-8", "ignore") if len(s) else str(view[a:b], "utf-8", "replace") for a, b, (s, e) in zip(off[:-1].tolist(), off[1:].tolist(), spans)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(4)], ["kept", "rest"])
+
+    out = covered_rows(rows, marks, BYTES, schema, finish)
+    text = F.when(F.col("rest.`no text`"), F.lit(None)).otherwise(F.col("kept"))
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

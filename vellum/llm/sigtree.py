@@ -373,3 +373,20 @@ def join(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col:
         F.when(alone, F.col("k")).otherwise(F.col("component")).cast(docs.schema[id_col].dataType).alias("component_id"),
         F.col("cls").alias("class_id"),
     )
+
+
+def one_of_each(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of linked rows: the one of smallest id.
+
+    Rows without words and rows with null id stay. Of rows with equal id and equal text one stays. The ids that go are
+    broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
+    """
+    found = stage(join(docs, threshold, id_col, text_col), "components")
+    gone = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = docs.join(hint(gone), id_col, "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    again = hint(stage(twice, "repeated ids"))
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,12 @@ BYTES = Unit("byte", 200, 32)
 WORDS = Unit("word", 13, 4)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(k, t, x, id)``: an id that is never null, a hash that tells rows of one id apart, the text, the id."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """``(k, t, x)``: an id that is never null, a hash that tells rows of one id apart, the text; with ``rest`` also the row."""
     x = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), F.col(id_col).alias("id")).select("k", F.hash("x").alias("t"), "x", "id")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    extra = [F.struct(F.col(text_col).isNull().alias("no text"), *others).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.hash("x")).select("k", "t", "x", *["rest"] * rest)
 
 
 def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
@@ -168,14 +171,20 @@ def covered_rows(rows: DataFrame, marks: DataFrame, unit: Unit, schema: str, fin
 
     ``marks`` has ``(k, t, pos, n)``: windows pos .. pos + n - 1. A row's marks are bounded by its text.
     """
+    rest = ["rest"] * ("rest" in rows.columns)
     lists = marks.groupBy("k", "t").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    joined = rows.join(lists.hint("shuffle_hash"), ["k", "t"], "left").select("id", "x", "marks.pos", "marks.n")
+    joined = rows.join(lists.hint("shuffle_hash"), ["k", "t"], "left").select("k", "x", "marks.pos", "marks.n", *rest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             data, off = utf8(batch.column(1))
             got = [stretches(p.values.to_numpy(), n.values.to_numpy(), unit.width) if p.is_valid else (none, none) for p, n in zip(batch.column(2), batch.column(3))]
-            yield from finish(batch.column(0), data, off, got)
+            yield from finish(batch, data, off, got)
 
     return joined.mapInArrow(work, schema)
+
+
+def own_id(k: pa.Array) -> pa.Array:
+    """Ids as they were: the stand-in for null is null again."""
+    return pc.if_else(pc.equal(k, NULL_ID), None, k)
