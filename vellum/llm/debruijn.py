@@ -2,10 +2,10 @@
 
 Edges are windows of 13 words, nodes their first and last 12. Runs of windows with one anchor (``windows``) are paths.
 Where every occurrence of an anchor has the same run, the path is nonbranching and stays one edge of the compacted
-graph: all its windows were first seen where the run was. Where an anchor has several runs, the path
-branches; each distinct run is expanded to its single edges at the coordinates of one occurrence, the edges are
-matched by their words' hashes, and each gets the smallest document that has it over all runs. Spark joins
-carry both verdicts back to the coordinates of every occurrence.
+graph: all its windows were first seen where the run was, so every later occurrence goes. Where an anchor has several
+runs, the path branches: of each run only the occurrence in its smallest document is open, which is expanded to
+its single edges at its source coordinates; Spark joins match the edges by their words' hashes (with the
+anchor's: 128 bits) and give each the smallest document that has it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import Spans, mix, partitions, utf8
-from vellum.llm.windows import WORDS, covered_rows, keyed, own_id, shared_runs
+from vellum.llm.shared import Spans, mix, partitions, stage, utf8
+from vellum.llm.windows import MARKED, OPEN, SPREAD, WORDS, covered_rows, keyed, own_id, shared_runs
 
 
 def first_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -27,43 +27,40 @@ def first_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).repartition(n, "k", "t")  # one exchange, used for edges and for the result
     runs = shared_runs(keyed(docs, id_col, text_col), WORDS, True, "runs")
-    paths = runs.groupBy("h", "c").agg(F.min(F.struct("k", "t", "pos", "m")).alias("at"))
-    spread = paths.groupBy("h").agg(F.count("*").alias("paths"))
-    paths = paths.join(spread, "h")
-    single = paths.where("paths = 1").select("h", "c", F.col("at.k").alias("first"), F.lit(None).cast("array<long>").alias("firsts"))
-    branching = paths.where("paths > 1").select("h", "c", "at.*")
+    whole = runs.where(F.col("kind") == MARKED).select("k", "t", "pos", F.col("m").alias("n"))
+    branching = runs.where(F.col("kind") == OPEN).select("h", "k", "t", "pos", "m")
 
-    wanted = branching.groupBy("k", "t").agg(F.collect_list(F.struct("h", "c", "pos", "m")).alias("want"))
-    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "x", "want.h", "want.c", "want.pos", "want.m")
+    # anchors that are frequent somewhere: the same, with partial sums instead of one reducer
+    spread = runs.where(F.col("kind") == SPREAD)
+    paths = stage(spread.groupBy("h", "c").agg(F.min("k").alias("first")), "paths")
+    paths = paths.join(paths.groupBy("h").agg(F.count("*").alias("paths")), "h")
+    known = spread.join(paths, ["h", "c"])
+    whole = whole.unionByName(known.where("k > first").select("k", "t", "pos", F.col("m").alias("n")))
+    branching = branching.unionByName(known.where("k = first AND paths > 1").select("h", "k", "t", "pos", "m"))
+
+    wanted = branching.groupBy("k", "t").agg(F.collect_list(F.struct("h", "pos", "m")).alias("want"))
+    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "t", "x", "want.h", "want.pos", "want.m")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            ks = batch.column(0).to_numpy()
+            data, off = utf8(batch.column(2))
+            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i in range(len(ks)):
                 v, _ = WORDS.values(data, off[i : i + 2])
-                h, c, pos, m = (batch.column(j)[i].values.to_numpy() for j in range(2, 6))
+                h, pos, m = (batch.column(j)[i].values.to_numpy() for j in range(3, 6))
                 which = np.repeat(np.arange(len(h)), m)
-                j = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
-                start = pos[which] + j
-                edge = mix(Spans(v)(start, start + WORDS.width)).view(np.int64)
-                for a, x in zip(out, (h[which], c[which], j.astype(np.int32), edge, np.full(len(which), ks[i]))):
+                at = pos[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+                edge = mix(Spans(v)(at, at + WORDS.width) ^ h[which].view(np.uint64)).view(np.int64)
+                for a, x in zip(out, (edge, np.full(len(which), ks[i]), np.full(len(which), ts[i], np.int32), at.astype(np.int32))):
                     a.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_pydict(dict(zip(("h", "c", "j", "e", "k"), map(np.concatenate, out))))
-
-    edges = sought.mapInArrow(expand, "h long, c long, j int, e long, k long")
-    earliest = edges.groupBy("h", "e").agg(F.min("k").alias("first"))
-    expanded = edges.drop("k").join(earliest, ["h", "e"]).groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("j", "first"))).alias("f"))
-    expanded = expanded.select("h", "c", F.lit(None).cast("long").alias("first"), F.transform("f", lambda s: s["first"]).alias("firsts"))
-    verdict = single.unionByName(expanded)
-
-    k = F.col("k")
-    found = runs.join(verdict, ["h", "c"])
-    whole = found.where(F.col("firsts").isNull() & (F.col("first") < k)).select("k", "t", "pos", F.col("m").alias("n"))
-    edge = found.where(F.col("firsts").isNotNull()).select("k", "t", "pos", F.posexplode("firsts").alias("j", "seen"))
-    marks = whole.unionByName(edge.where(F.col("seen") < k).select("k", "t", (F.col("pos") + F.col("j")).alias("pos"), F.lit(1).alias("n")))
+                yield pa.RecordBatch.from_pydict(dict(zip(("e", "k", "t", "pos"), map(np.concatenate, out))))
+
+    edges = sought.mapInArrow(expand, "e long, k long, t int, pos int")
+    earliest = edges.groupBy("e").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("e", "first")
+    later = edges.join(earliest, "e").where("k > first").select("k", "t", "pos", F.lit(1).alias("n"))
+    marks = whole.unionByName(later)
     return rows, marks
 
 

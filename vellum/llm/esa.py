@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import Spans, mix, partitions, utf8
-from vellum.llm.windows import BYTES, NULL_ID, covered_rows, keyed, own_id, shared_runs
+from vellum.llm.shared import Spans, mix, partitions, stage, utf8
+from vellum.llm.windows import BYTES, MARKED, NULL_ID, OPEN, SPREAD, covered_rows, keyed, own_id, shared_runs
 
 BUCKET = 2000
 WIDTH = BYTES.width
@@ -76,94 +76,108 @@ def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH) -> Itera
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: bool = False, rest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows keyed, runs, and of each run the windows that occur elsewhere: ``(h, c, g, j, n)``.
+    """Rows keyed; the windows that occur elsewhere ``(k, t, pos, n)``; the runs, with their hashes if ``groups``.
 
-    With ``groups`` a run has a row for each maximal repeat ``g`` it belongs to, else its windows in merged ranges.
+    With ``groups`` the second has a row for each maximal repeat and entry instead: ``(h, c, g, j, n)``.
     """
     n = partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col, rest).repartition(n, "k", "t")
-    runs = shared_runs(keyed(docs, id_col, text_col), BYTES, False, "runs")
-    entries = runs.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "pos", "m")).alias("at"))
-    entries = entries.join(entries.groupBy("h").agg(F.count("*").alias("entries")), "h")
-    equal = entries.where("n > 1").select("h", "c", F.lit(-1).alias("g"), F.lit(0).alias("j"), F.col("at.m").alias("n"))
-    several = entries.where("entries > 1").select("h", "c", F.col("n").alias("times"), "entries", "at.*")
+    runs = shared_runs(keyed(docs, id_col, text_col), BYTES, False, "runs", groups)
+    equal = runs.where(F.col("kind") == MARKED).select("h", "c", "k", "t", "pos", F.col("m").alias("n"))
+    several = runs.where(F.col("kind") == OPEN).select("h", "c", "times", "entries", "k", "t", "pos", "m")
+
+    # anchors that are frequent somewhere: the same, with partial sums instead of one reducer
+    spread = runs.where(F.col("kind") == SPREAD)
+    entries = stage(spread.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "t", "pos", "m")).alias("at")), "entries")
+    equal = equal.unionByName(spread.join(entries.where("times > 1").select("h", "c"), ["h", "c"]).select("h", "c", "k", "t", "pos", F.col("m").alias("n")))
+    entries = entries.join(entries.groupBy("h").agg(F.count("*").alias("entries")).where("entries > 1"), "h")
+    several = several.unionByName(entries.select("h", "c", "times", "entries", "at.*"))
 
-    wanted = several.groupBy("k", "t").agg(F.collect_list(F.struct("h", "c", "times", "entries", "pos", "m")).alias("want"))
     names = ("h", "c", "times", "entries", "pos", "m")
-    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("x", *(f"want.{f}" for f in names), "k", "t", *["rest"] * rest)  # all columns, so that the exchange is one
+    wanted = several.groupBy("k", "t").agg(F.collect_list(F.struct(*names)).alias("want"))
+    # all columns of the rows are kept, so that one exchange serves here and for the result
+    sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "t", "x", *(f"want.{f}" for f in names), *["rest"] * rest)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(0))
-            view = memoryview(data)
-            out: dict[str, list] = {f: [] for f in (*names, "x")}
-            for i in range(len(off) - 1):
-                cols = [batch.column(j)[i].values.to_numpy() for j in range(1, 7)]
-                for f, col in zip(names, cols):
-                    out[f].append(col)
-                out["x"] += [bytes(view[a : a + l]) for a, l in zip((off[i] + cols[4]).tolist(), (cols[5] - 1 + WIDTH).tolist())]
-            if out["x"]:
+            data, off = utf8(batch.column(2))
+            view, ks, ts = memoryview(data), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(off) - 1, 500):
+                out: dict[str, list] = {f: [] for f in ("k", "t", *names, "x")}
+                for i in range(lo, min(lo + 500, len(off) - 1)):
+                    cols = [batch.column(j)[i].values.to_numpy() for j in range(3, 9)]
+                    for f, col in zip(names, cols):
+                        out[f].append(col)
+                    out["k"].append(np.full(len(cols[0]), ks[i]))
+                    out["t"].append(np.full(len(cols[0]), ts[i], np.int32))
+                    out["x"] += [bytes(view[a : a + l]) for a, l in zip((off[i] + cols[4]).tolist(), (cols[5] - 1 + WIDTH).tolist())]
                 yield pa.RecordBatch.from_pydict({f: np.concatenate(v) if f != "x" else pa.array(v, pa.binary()) for f, v in out.items()})
 
-    found = sought.mapInArrow(contexts, "h long, c long, times long, entries long, pos int, m int, x binary")
+    found = sought.mapInArrow(contexts, "k long, t int, h long, c long, times long, entries long, pos int, m int, x binary")
 
     def anchor(x: bytes) -> int:
         v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
-        return int(BYTES.place(v))
+        return BYTES.place(v)
+
+    fields = ("h", "c", "g", "j", "n") if groups else ("k", "t", "pos", "n")
+    types = [pa.int64(), pa.int64(), *(pa.int32(),) * 3] if groups else [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    schema = "h long, c long, g int, j int, n int" if groups else "k long, t int, pos int, n int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {f: [] for f in ("h", "c", "g", "j", "n")}
-        bucket: list[tuple[int, int, bytes]] = []
+        out: list[tuple] = []
+        bucket: list[tuple] = []
         last = None
 
         def close() -> None:
-            texts = [(x, anchor(x)) for _, _, x in bucket]
+            texts = [(e[-1], anchor(e[-1])) for e in bucket]
             ranges: list[list[tuple[int, int, int]]] = [[] for _ in bucket]
             for g, (left, right, members) in enumerate(maximal_repeats(texts)):
                 for i in members:
-                    a, m = texts[i][1], bucket[i][1]
+                    a, m = texts[i][1], bucket[i][5]
                     first, end = max(0, a - left), min(m - 1, a - max(0, WIDTH - right))
                     if first <= end:
                         ranges[i].append((first, end, g))
-            for (c, _, _), got in zip(bucket, ranges):
-                if not groups:
-                    got = union(got)
-                for first, end, g in got:
-                    for f, v in zip(out, (last, c, g, first, end - first + 1)):
-                        out[f].append(v)
+            for (c, times, k, t, pos, _, _), got in zip(bucket, ranges):
+                if groups:
+                    out.extend((last, c, g, first, end - first + 1) for first, end, g in got)
+                elif times == 1:  # equal ones are marked already
+                    out.extend((k, t, pos + first, end - first + 1) for first, end, _ in union(got))
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(fields))
 
         for batch in batches:
-            for h, c, m, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for h, *entry in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != last:
                     if len(bucket) > 1:
                         close()
                     bucket, last = [], h
-                bucket.append((c, m, x))
-            if len(out["h"]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), TYPES)], list(out))
-                out.update({f: [] for f in out})
+                bucket.append(tuple(entry))
+            if len(out) > 20_000:
+                yield made()
+                out.clear()
         if len(bucket) > 1:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), TYPES)], list(out))
+        yield made()
 
-    schema = "h long, c long, g int, j int, n int"
-    small = found.where(F.col("entries") <= BUCKET).select("h", "c", "m", "x").repartition(n, "h").sortWithinPartitions("h", "c")
+    small = found.where(F.col("entries") <= BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(scan, schema)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, times, m, x in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for h, c, times, k, t, pos, m, x in zip(*(col.to_pylist() for col in batch.columns)):
                 v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
                 j = np.arange(m)
-                e = mix(Spans(v)(j, j + WIDTH)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "j": j.astype(np.int32), "e": e})
+                full = {"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "k": np.full(m, k), "t": np.full(m, t, np.int32)}
+                yield pa.RecordBatch.from_pydict(full | {"pos": (pos + j).astype(np.int32), "j": j.astype(np.int32), "e": mix(Spans(v)(j, j + WIDTH)).view(np.int64)})
 
-    large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "m", "x").mapInArrow(strings, "h long, c long, times long, j int, e long")
+    large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").mapInArrow(strings, "h long, c long, times long, k long, t int, pos int, j int, e long")
     often = large.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
-    hot = large.join(often, ["h", "e"]).select("h", "c", F.lit(-2).alias("g"), "j", F.lit(1).alias("n"))
-    return rows, runs, equal.unionByName(small.mapInArrow(scan, schema)).unionByName(hot)
-
-
-TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    hot = large.join(often, ["h", "e"])
+    if groups:
+        same = equal.select("h", "c", "n").distinct().select("h", "c", F.lit(-1).alias("g"), F.lit(0).alias("j"), "n")
+        return rows, same.unionByName(small).unionByName(hot.select("h", "c", F.lit(-2).alias("g"), "j", F.lit(1).alias("n"))), equal.drop("n").unionByName(several.where("times = 1").select("h", "c", "k", "t", "pos"))
+    single = hot.where("times = 1").select("k", "t", "pos", F.lit(1).alias("n"))
+    return rows, equal.select("k", "t", "pos", "n").unionByName(small).unionByName(single), runs
 
 
 def union(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -177,18 +191,13 @@ def union(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> tuple[DataFrame, DataFrame]:
-    rows, runs, found = repeats(docs, id_col, text_col, rest=rest)
-    return rows, runs.join(found, ["h", "c"]).select("k", "t", (F.col("pos") + F.col("j")).alias("pos"), "n")
-
-
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every occurrence of every maximal repeat of 200 bytes at least around an anchor: ``(bucket, repeat, doc_id, start, length)``.
 
     A repeat longer than a run's reach is listed once for each anchor in it, at that anchor's part; equal runs
     are repeat -1 of their bucket, single strings of very large buckets repeat -2.
     """
-    rows, runs, found = repeats(docs, id_col, text_col, groups=True)
+    _, found, runs = repeats(docs, id_col, text_col, groups=True)
     own = F.when(F.col("k") == NULL_ID, F.lit(None)).otherwise(F.col("k"))
     return runs.join(found, ["h", "c"]).select(F.col("h").alias("bucket"), F.col("g").alias("repeat"), own.alias(id_col), (F.col("pos") + F.col("j")).alias("start"), (F.col("n") - 1 + WIDTH).alias("length"))
 
@@ -205,7 +214,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occurrences lose it. Repeated rows are copies of each other. Null counts as empty; texts under 200 bytes
     lose nothing. ``kept`` leaves out pieces of a character that a span cut. Only the named columns are read.
     """
-    rows, marks = marked(docs, id_col, text_col)
+    rows, marks, _ = repeats(docs, id_col, text_col)
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
 
     def finish(batch, data, off, spans):
@@ -229,7 +238,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts stay null; a text that is repeated throughout is empty afterwards.
     """
-    rows, marks = marked(docs, id_col, text_col, rest=True)
+    rows, marks, _ = repeats(docs, id_col, text_col, rest=True)
     schema = f"kept string, rest {rows.schema['rest'].dataType.simpleString().replace('no text', '`no text`')}"
 
     def finish(batch, data, off, spans):

@@ -145,6 +145,7 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
     """``(k, cls, n)`` of each row, and ``(cls, n, tokens, first)`` of each class that may link."""
     parts = partitions(docs.sparkSession)
     keys = partition_keys(parts)
+    many = FREQUENT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +172,14 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
             toks, owner = toks[order], owner[order]
             starts, ends = group_slices(toks)
             count = ends - starts
-            often = np.repeat(count >= FREQUENT, count)
-            signal = starts[count >= FREQUENT]
+            often = np.repeat(count >= many, count)
+            signal = starts[count >= many]
             # 0: to be counted, 1: spread, 2: counts of spread shingles (owner: the count)
             flag = np.concatenate([often.astype(np.uint8), np.full(len(signal), 2, np.uint8)])
             goes = np.concatenate([np.where(often, cls[owner], toks), toks[signal]]) % U64(parts)
             number = np.concatenate([owner, np.zeros(len(signal), np.int64)])
             extra = np.zeros(len(flag), np.uint32)
-            extra[len(toks) :] = count[count >= FREQUENT]
+            extra[len(toks) :] = count[count >= many]
             toks = np.concatenate([toks, toks[signal]])
             order = np.argsort(goes, kind="stable")
             cuts = np.searchsorted(goes[order], np.arange(parts + 1, dtype=U64))

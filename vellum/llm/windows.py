@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shared import BYTE_KEYS, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, sliding_argmin, stage, unpack_arrays, utf8, words
 
-ROW = "h long, c long, k long, t int, pos int, m int"
+ROW = "kind int, h long, c long, k long, t int, pos int, m int, times long, entries long"
+#: Runs of one batch that must share an anchor hash before it is spread over all reducers.
+FREQUENT = 64
+MARKED, OPEN, SPREAD = 0, 1, 2
 NULL_ID = (1 << 63) - 1  # null ids come after all others
 
 
@@ -81,15 +84,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.hash("x")).select("k", "t", "x", *["rest"] * rest)
 
 
-def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
-    """The runs whose anchor hash occurs more than once (``across``: in more than one id), written to the shared folder.
+def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str, hashes: bool = False) -> DataFrame:
+    """What the runs alone decide, written to the shared folder; rows of three kinds.
 
-    A map task packs its runs by hash into one blob for each reducer. What it can already tell to be shared goes to
-    any reducer, with one run for each hash to tell the others; so a hash that a third of all rows have sends at
-    most one run of each batch to the reducer of that hash.
+    ``MARKED``: runs all of whose windows are repeats; with ``across`` those whose equal starts in a smaller id, else all
+    that have an equal. ``OPEN``: of anchor hashes with several distinct runs, one of each (``across``: those in the
+    run's smallest id), with the ``times`` it occurs and the ``entries`` of the hash; their windows are still to be
+    compared. ``SPREAD``: runs of anchor hashes that are frequent in some batch.
+
+    A map task packs its runs by hash into one blob for each reducer. Frequent ones go to any reducer instead, and one
+    run tells the reducer of the hash; so no reducer gets more than ``FREQUENT`` runs of a hash from a batch.
     """
     n = partitions(rows.sparkSession)
     keys = partition_keys(n)
+    many = FREQUENT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +113,10 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
             order = np.argsort(h, kind="stable")
             h, c, doc, pos, m = h[order], c[order], doc[order], pos[order], m[order]
             starts, ends = group_slices(h)
-            size = ends - starts
-            if across and len(h):
-                ids = k[doc]
-                known = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)
-            else:
-                known = size > 1
-            # 0: to be found out, 1: known to be shared, 2: tells the others only
-            flag = np.repeat(known, size).astype(np.uint8)
-            signal = starts[known]
+            often = ends - starts >= many
+            # 0: to be found out, 1: spread, 2: tells the reducer of the hash
+            flag = np.repeat(often, ends - starts).astype(np.uint8)
+            signal = starts[often]
             goes = np.concatenate([np.where(flag == 1, mix(doc.astype(U64)) % U64(n), h % U64(n)), h[signal] % U64(n)]).astype(np.int64)
             h, c, doc, pos, m = (np.concatenate([x, x[signal]]) for x in (h, c, doc, pos, m))
             flag = np.concatenate([flag, np.full(len(signal), 2, np.uint8)])
@@ -123,9 +126,8 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[b] : cuts[b + 1]]
                 used, local = np.unique(doc[at], return_inverse=True)
-                first = h[at]
                 out["to"].append(int(keys[b]))
-                out["blob"].append(pack_arrays(np.diff(first, prepend=U64(0)), c[at], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), pos[at].astype(np.uint32), m[at].astype(np.uint8), flag[at], np.diff(k[used], prepend=0), t[used]))
+                out["blob"].append(pack_arrays(np.diff(h[at], prepend=U64(0)), c[at], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), pos[at].astype(np.uint32), m[at].astype(np.uint8), flag[at], np.diff(k[used], prepend=0), t[used]))
             yield pa.RecordBatch.from_pydict({"to": pa.array(out["to"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,18 +140,44 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
         if not parts:
             return
         h, c, k, t, pos, m, flag = (np.concatenate(x) for x in zip(*parts))
-        keep = flag == 1
+        del parts
+        kind = np.full(len(h), -1, np.int8)
+        kind[flag == 1] = SPREAD
+        times, entries = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         rest = np.flatnonzero(flag != 1)
-        rest = rest[np.argsort(h[rest], kind="stable")]
-        starts, ends = group_slices(h[rest])
+        rest = rest[np.lexsort((k[rest], c[rest], h[rest]))]
+        hs, cs, ks = h[rest], c[rest], k[rest]
+        starts, ends = group_slices(hs)
         if len(starts):
-            many = np.maximum.reduceat(flag[rest], starts) == 2
-            many |= np.minimum.reduceat(k[rest], starts) < np.maximum.reduceat(k[rest], starts) if across else ends - starts > 1
-            keep[rest[np.repeat(many, ends - starts) & (flag[rest] == 0)]] = True
-        at = np.flatnonzero(keep)
+            size = ends - starts
+            told = np.repeat(np.maximum.reduceat(flag[rest], starts) == 2, size)
+            new = np.ones(len(rest), bool)
+            new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(rest)))
+            several = np.repeat(np.add.reduceat(new.astype(np.int64), starts), size)
+            equal = np.repeat(count, count)
+            least = np.repeat(ks[first], count)
+            if across:
+                mark, open_ = ks > least, (ks == least) & (several > 1)
+            else:
+                mark, open_ = equal > 1, new & (several > 1)
+            own = ~told & (flag[rest] == 0)
+            kind[rest[told & (flag[rest] == 0)]] = SPREAD
+            kind[rest[own & mark]] = MARKED
+            both = rest[own & open_]
+            times[rest], entries[rest] = equal, several
+        else:
+            both = rest
+        at = np.concatenate([np.flatnonzero(kind >= 0), both])
+        what = np.concatenate([kind[kind >= 0], np.full(len(both), OPEN, np.int8)])
+        order = np.argsort(what, kind="stable")
+        at, what = at[order], what[order]
         for lo in range(0, len(at), 50_000):
-            p = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_pydict({"h": h[p].view(np.int64), "c": c[p].view(np.int64), "k": k[p], "t": t[p], "pos": pos[p].astype(np.int32), "m": m[p].astype(np.int32)})
+            p, w = at[lo : lo + 50_000], what[lo : lo + 50_000].astype(np.int32)
+            shown = (w != MARKED) | hashes
+            cols = {"kind": w, "h": np.where(shown, h[p].view(np.int64), 0), "c": np.where(shown, c[p].view(np.int64), 0), "k": k[p], "t": t[p], "pos": pos[p].astype(np.int32), "m": m[p].astype(np.int32), "times": np.where(w == OPEN, times[p], 0), "entries": np.where(w == OPEN, entries[p], 0)}
+            yield pa.RecordBatch.from_pydict(cols)
 
     packed = rows.select("k", "t", "x").mapInArrow(cut, "to int, blob binary").repartition(n, "to")
     return stage(packed.mapInArrow(find, ROW), name)
