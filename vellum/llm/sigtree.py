@@ -35,8 +35,10 @@ SHINGLE = 3
 BITS = 1024
 FANOUT = 8
 BLOCK = 512
-#: Classes of one batch that must have a shingle before it is spread over the reducers.
-FREQUENT = 64
+#: Bytes of text whose shingles are sorted at once.
+PORTION = 4 << 20
+#: Classes of one portion that must have a shingle before it is spread over the reducers.
+FREQUENT = 32
 #: Counts of spread shingles up to this many rows are broadcast, 12 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -150,46 +152,51 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
-            if len(off) < 2:
-                continue
-            toks, sizes, cls = [], [], []
-            for lo, hi in chunks(off):
-                s, at = shingle_sets(data, off[lo : hi + 1])
-                n = np.diff(at)
-                total = np.concatenate([[U64(0)], np.cumsum(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
-                cls.append(mix((total[at[1:]] - total[at[:-1]]) + n.astype(U64) * U64(0x9E3779B97F4A7C15)))
-                sizes.append(n)
-                toks.append(s)
-            toks, sizes, cls = np.concatenate(toks), np.concatenate(sizes), np.concatenate(cls)
-            size = len(cls)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(size, np.int32)), "k": batch.column(0), "cls": cls.view(np.int64), "n": sizes, "to": pa.array(keys[np.arange(size) % parts], pa.int32()), "blob": pa.nulls(size, pa.binary())})
-            first = np.zeros(size, bool)  # one document speaks for its copies in the batch
-            first[np.unique(cls, return_index=True)[1]] = True
-            owner = np.repeat(np.arange(size), sizes)
-            pick = first[owner]
-            toks, owner = toks[pick], owner[pick]
-            order = np.argsort(toks, kind="stable")
-            toks, owner = toks[order], owner[order]
-            starts, ends = group_slices(toks)
-            count = ends - starts
-            often = np.repeat(count >= many, count)
-            signal = starts[count >= many]
-            # 0: to be counted, 1: spread, 2: counts of spread shingles (owner: the count)
-            flag = np.concatenate([often.astype(np.uint8), np.full(len(signal), 2, np.uint8)])
-            goes = np.concatenate([np.where(often, cls[owner], toks), toks[signal]]) % U64(parts)
-            number = np.concatenate([owner, np.zeros(len(signal), np.int64)])
-            extra = np.zeros(len(flag), np.uint32)
-            extra[len(toks) :] = count[count >= many]
-            toks = np.concatenate([toks, toks[signal]])
-            order = np.argsort(goes, kind="stable")
-            cuts = np.searchsorted(goes[order], np.arange(parts + 1, dtype=U64))
-            to, blob = [], []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
-                used, local = np.unique(number[at], return_inverse=True)
-                t = toks[at]  # spread ones stay sorted by shingle too, for the sort above was stable
-                to.append(int(keys[b]))
-                blob.append(pack_arrays(np.diff(t, prepend=U64(0)), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), flag[at], extra[at], cls[used], sizes[used].astype(np.uint32)))
+            for lo, hi in chunks(off, PORTION):
+                yield from portion(batch.column(0).slice(lo, hi - lo), data, off[lo : hi + 1])
+
+    def portion(ids: pa.Array, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+        toks, sizes, cls = [], [], []
+        for lo, hi in chunks(off):
+            s, at = shingle_sets(data, off[lo : hi + 1])
+            n = np.diff(at)
+            total = np.concatenate([[U64(0)], np.cumsum(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
+            cls.append(mix((total[at[1:]] - total[at[:-1]]) + n.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            sizes.append(n)
+            toks.append(s)
+        toks, sizes, cls = np.concatenate(toks), np.concatenate(sizes), np.concatenate(cls)
+        size = len(cls)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(size, np.int32)), "k": ids, "cls": cls.view(np.int64), "n": sizes, "to": pa.array(keys[np.arange(size) % parts], pa.int32()), "blob": pa.nulls(size, pa.binary())})
+        first = np.zeros(size, bool)  # one document speaks for its copies in the portion
+        first[np.unique(cls, return_index=True)[1]] = True
+        owner = np.repeat(np.arange(size, dtype=np.int32), sizes)
+        pick = first[owner]
+        toks, owner = toks[pick], owner[pick]
+        order = np.argsort(toks, kind="stable")
+        toks, owner = toks[order], owner[order]
+        starts, ends = group_slices(toks)
+        count = ends - starts
+        often = np.repeat(count >= many, count)
+        signal = starts[count >= many]
+        # 0: to be counted, 1: spread, 2: counts of spread shingles
+        flag = np.concatenate([often.astype(np.uint8), np.full(len(signal), 2, np.uint8)])
+        goes = (np.concatenate([np.where(often, cls[owner], toks), toks[signal]]) % U64(parts)).astype(np.int32)
+        number = np.concatenate([owner, np.zeros(len(signal), np.int32)])
+        extra = np.zeros(len(flag), np.uint32)
+        extra[len(toks) :] = count[count >= many]
+        toks = np.concatenate([toks, toks[signal]])
+        order = np.argsort(goes, kind="stable")
+        cuts = np.searchsorted(goes[order], np.arange(parts + 1))
+        to, blob = [], []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[b] : cuts[b + 1]]
+            used, local = np.unique(number[at], return_inverse=True)
+            to.append(int(keys[b]))
+            blob.append(pack_arrays(np.diff(toks[at], prepend=U64(0)), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), flag[at], extra[at], cls[used], sizes[used].astype(np.uint32)))
+            if len(to) == 64:
+                yield rows(2, to, blob)
+                to, blob = [], []
+        if to:
             yield rows(2, to, blob)
 
     def rows(kind: int, to: list[int], blob: list[bytes]) -> pa.RecordBatch:
@@ -205,10 +212,11 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
             for i in np.flatnonzero(kinds == 2):
                 t, local, flag, extra, cls, n = unpack_arrays(batch.column(5)[int(i)].as_py())
                 got.append((np.cumsum(t, dtype=U64), cls[local], n[local], flag, extra))
+            del batch
         if not got:
             return
         t, cls, n, flag, extra = (np.concatenate(x) for x in zip(*got))
-        got = []
+        got.clear()
         # spread shingles pass through with frequency 0, to be looked up
         out = [(t[flag == 1], cls[flag == 1], n[flag == 1], np.zeros(int((flag == 1).sum()), np.uint32))]
         signals = flag == 2

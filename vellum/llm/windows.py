@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import BYTE_KEYS, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, sliding_argmin, stage, unpack_arrays, utf8, words
 
 ROW = "kind int, h long, c long, k long, t int, pos int, m int, times long, entries long"
-#: Runs of one batch that must share an anchor hash before it is spread over all reducers.
+#: Bytes of text whose runs are sorted at once.
+PORTION = 16 << 20
+#: Runs of one portion that must share an anchor hash before it is spread over all reducers.
 FREQUENT = 64
 MARKED, OPEN, SPREAD = 0, 1, 2
 NULL_ID = (1 << 63) - 1  # null ids come after all others
@@ -101,34 +103,37 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str, hashes: bo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(2))
-            k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got = []
-            for lo, hi in chunks(off):
-                h, c, doc, pos, m = unit.runs(*unit.values(data, off[lo : hi + 1]))
-                got.append((h, c, doc + lo, pos, m))
-            if not got:
-                continue
-            h, c, doc, pos, m = map(np.concatenate, zip(*got))
-            order = np.argsort(h, kind="stable")
-            h, c, doc, pos, m = h[order], c[order], doc[order], pos[order], m[order]
-            starts, ends = group_slices(h)
-            often = ends - starts >= many
-            # 0: to be found out, 1: spread, 2: tells the reducer of the hash
-            flag = np.repeat(often, ends - starts).astype(np.uint8)
-            signal = starts[often]
-            goes = np.concatenate([np.where(flag == 1, mix(doc.astype(U64)) % U64(n), h % U64(n)), h[signal] % U64(n)]).astype(np.int64)
-            h, c, doc, pos, m = (np.concatenate([x, x[signal]]) for x in (h, c, doc, pos, m))
-            flag = np.concatenate([flag, np.full(len(signal), 2, np.uint8)])
-            order = np.argsort(goes, kind="stable")
-            cuts = np.searchsorted(goes[order], np.arange(n + 1))
-            out: dict[str, list] = {"to": [], "blob": []}
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
-                used, local = np.unique(doc[at], return_inverse=True)
-                out["to"].append(int(keys[b]))
-                out["blob"].append(pack_arrays(np.diff(h[at], prepend=U64(0)), c[at], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), pos[at].astype(np.uint32), m[at].astype(np.uint8), flag[at], np.diff(k[used], prepend=0), t[used]))
-            yield pa.RecordBatch.from_pydict({"to": pa.array(out["to"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+            data, all_off = utf8(batch.column(2))
+            for begin, end in chunks(all_off, PORTION):
+                yield from portion(batch.column(0).to_numpy()[begin:end], batch.column(1).to_numpy()[begin:end], data, all_off[begin : end + 1])
+
+    def portion(k: np.ndarray, t: np.ndarray, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+        got = []
+        for lo, hi in chunks(off):
+            h, c, doc, pos, m = unit.runs(*unit.values(data, off[lo : hi + 1]))
+            got.append((h, c, doc + lo, pos, m))
+        if not got:
+            return
+        h, c, doc, pos, m = map(np.concatenate, zip(*got))
+        order = np.argsort(h, kind="stable")
+        h, c, doc, pos, m = h[order], c[order], doc[order], pos[order], m[order]
+        starts, ends = group_slices(h)
+        often = ends - starts >= many
+        # 0: to be found out, 1: spread, 2: tells the reducer of the hash
+        flag = np.repeat(often, ends - starts).astype(np.uint8)
+        signal = starts[often]
+        goes = np.concatenate([np.where(flag == 1, mix(doc.astype(U64)) % U64(n), h % U64(n)), h[signal] % U64(n)]).astype(np.int64)
+        h, c, doc, pos, m = (np.concatenate([x, x[signal]]) for x in (h, c, doc, pos, m))
+        flag = np.concatenate([flag, np.full(len(signal), 2, np.uint8)])
+        order = np.argsort(goes, kind="stable")
+        cuts = np.searchsorted(goes[order], np.arange(n + 1))
+        out: dict[str, list] = {"to": [], "blob": []}
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[b] : cuts[b + 1]]
+            used, local = np.unique(doc[at], return_inverse=True)
+            out["to"].append(int(keys[b]))
+            out["blob"].append(pack_arrays(np.diff(h[at], prepend=U64(0)), c[at], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), pos[at].astype(np.uint32), m[at].astype(np.uint8), flag[at], np.diff(k[used], prepend=0), t[used]))
+        yield pa.RecordBatch.from_pydict({"to": pa.array(out["to"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
