@@ -22,7 +22,7 @@ BANNERS = ("ORIGINAL (?:ARTICLE|RESEARCH|PAPER)", "RESEARCH (?:ARTICLE|REPORT)",
 FURNITURE = ("©.*", "\\(c\\) \\d{4}.*", "[Cc]opyright ©?.*\\d{4}.*", "All rights reserved\\.?", "Page \\d+ of \\d+", "\\d+ ?\\| ?P ?a ?g ?e", "Downloaded from .*", "This article has been accepted.*", "This work is licensed under .*", "Creative Commons .*", "(?:Received|Accepted|Published)(?: online)?:? \\d{1,2} \\w+ \\d{4}.*", "\\*?Correspond(?:ing author|ence)[: ].*", "E-?mail(?: address)?: ?\\S+@\\S+", "ORCID:? .*", "See discussions, stats.*")
 #: Lines that leak from the front matter into the first part of a text.
 FRONT = ("Keywords?[:—-].*", "Article [Hh]istory:?.*", "Available online .*", "Author(?:s')? [Nn]ote.*", "Handling [Ee]ditor:.*", "Conflicts? of [Ii]nterest:? None.*", "ARTICLE INFO.*", "a r t i c l e +i n f o")
-TOC = "(?i)_{3,}|^table of contents$"
+TOC = "(?i:_{3,}|^table of contents$)"
 SPACED = "^(?:[a-z] ){3,}[a-z]$"
 BANNER_LINES, TOC_LINES, FRONT_CHARS = 30, 100, 8000
 
@@ -51,22 +51,13 @@ def drop_furniture(text: Column) -> Column:
 
 def drop_front_matter(text: Column) -> Column:
     """Front-matter lines that begin in the first 8,000 characters, or the first sixth, go; texts under 200 characters stay."""
-    limit = F.greatest(F.lit(FRONT_CHARS), (F.length(text) / 6).cast("int"))
-    ends = F.aggregate(
-        lines(text),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda s, l: F.struct((s["at"] + F.length(l) + 1).alias("at"), F.when((s["at"] < limit) & F.trim(l).rlike(whole(FRONT)), s["kept"]).otherwise(F.concat(s["kept"], F.array(l))).alias("kept")),
-        lambda s: text_of(s["kept"]),
-    )
-    return F.when(F.length(text) < 200, text).otherwise(ends)
-
-
-def drop_contents(text: Column) -> Column:
-    """Paragraphs of leader underscores or a contents label go, while within the first 100 lines."""
-    paragraphs = F.split(text, "\n\n+")
-    start = lambda i: F.aggregate(F.slice(paragraphs, 1, i), F.lit(0), lambda n, p: n + F.size(F.split(p, NL)) + 1)
-    kept = F.filter(paragraphs, lambda p, i: ~p.rlike("(?m)" + TOC) | (start(i) >= TOC_LINES))
-    return F.when(F.substring(text, 1, 8000).rlike("(?m)" + TOC), F.array_join(kept, "\n\n")).otherwise(text)
+    limit = F.greatest(F.lit(FRONT_CHARS), F.floor(F.length(text) / 6).cast("int"))
+    stop = F.position(F.lit(NL), text, limit)
+    head = F.when(stop > 0, F.substring(text, F.lit(1), stop - 1)).otherwise(text)
+    tail = F.when(stop > 0, F.substring(text, stop, F.length(text))).otherwise("")
+    kept = F.filter(lines(head), lambda l: ~F.trim(l).rlike(whole(FRONT)))
+    joined = F.when(F.size(kept) == 0, F.substring(tail, F.lit(2), F.length(text))).otherwise(F.concat(text_of(kept), tail))
+    return F.when(F.length(text) < 200, text).otherwise(joined)
 
 
 def close_spaced_labels(text: Column) -> Column:
@@ -91,6 +82,19 @@ def text_udf(f: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
+def drop_contents_text(text: str) -> str:
+    """Paragraphs of leader underscores or a contents label go, while they start within the first 100 lines."""
+    sign = re.compile("(?m)" + TOC)
+    if not sign.search(text[:8000]):
+        return text
+    out, at = [], 0
+    for p in re.split("\n\n+", text):
+        if at >= TOC_LINES or not sign.search(p):
+            out.append(p)
+        at += p.count(NL) + 2
+    return "\n\n".join(out)
+
+
 YEAR = re.compile(r"\((?:19|20)\d\d[a-z]?\)")
 NUMERIC = re.compile(r"^[\d\s.,%()+*<>=-]+$")
 
@@ -179,6 +183,7 @@ def interleaved_pages(text: Column) -> Column:
     return run(text)
 
 
+drop_contents = text_udf(drop_contents_text)
 repeated_lines = text_udf(drop_repeated_lines)
 page_number_clusters = text_udf(drop_page_clusters)
 running_heads = text_udf(drop_running_heads)
