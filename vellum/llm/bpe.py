@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.shared import chunks, over, utf8
+from vellum.llm.shared import chunks, over, prepare, utf8
 
 #: Words remembered by one worker before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
 END = "\n"  # stands for the word-end suffix
 
 
@@ -237,4 +237,5 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             out = {id_col: batch.column(0).slice(lo, hi - lo), "n_tokens": [len(i) // 4 for i, _ in got], "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in got], "decoded_sha256": [hashlib.sha256(d).hexdigest() for _, d in got]}
             yield out | ({"ids": [np.frombuffer(i, "<u4").tolist() for i, _ in got], "decoded": [d.decode() for _, d in got]} if keep_ids else {})
 
-    return docs.select(id_col, text_col).mapInArrow(over(schema, work), schema)
+    prepare(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(over(schema, work, lambda: codec(tokenizer).memo.clear()), schema)

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import chunks, over, utf8, words
+from vellum.llm.shared import chunks, over, prepare, utf8, words
 
 MAX_TRAIN = 4000
 MAX_TEXT = 100_000
 MIN_DOCS = 4
 CHAIN = 256
 HASHED = 1 << 17
-MEMO = 400_000
+MEMO = 300_000
 SUMMARY = 4
 
 
@@ -223,6 +223,7 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", spans: bool = Fal
     added = ["score", "predicted"] + ["spans"] * spans
     kept = [f for f in docs.schema if f.name not in added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int" + ", spans array<struct<start:long,end:long,p:double>>" * spans
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch):
@@ -241,4 +242,4 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", spans: bool = Fal
                 out["spans"] = [[{"start": int(starts[k] - off[lo + i]), "end": int(ends[k] - off[lo + i]), "p": float(p[k])} for k in np.flatnonzero(p[x:y] >= threshold) + x] for i, (x, y) in enumerate(zip(before[:-1].tolist(), before[1:].tolist()))]
             yield out
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(over(schema, work), schema)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(over(schema, work, lambda: shared.value.memo.clear()), schema)

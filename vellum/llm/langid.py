@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import chunks, over, utf8
+from vellum.llm.shared import chunks, over, prepare, utf8
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -183,6 +183,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
     labels = sorted(counts)
+    prepare(docs.sparkSession)
     if not labels:
         return Model([], np.zeros((SIZE + 1, 0)), np.zeros(0), 1.0)
     df, n = document_frequencies(rows.select(text_col))
@@ -247,6 +248,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "lang_score")) + ", lang_pred string, lang_score double"
     kept = [f.name for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch):

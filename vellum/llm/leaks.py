@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.langid import codepoints
-from vellum.llm.shared import BASE, U64, chunks, group_slices, mix, over, ragged, rolling, utf8
+from vellum.llm.shared import BASE, U64, chunks, group_slices, mix, over, prepare, ragged, rolling, utf8
 
 Q = 12
 ERROR = 0.05
@@ -172,6 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ``PASS_CHARS`` characters, so what is broadcast doesn't grow with it. There is no shuffle.
     """
     spark = docs.sparkSession
+    prepare(spark)
     items = benchmark.where(F.length(item_text) > 0).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     passes = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // PASS_CHARS))
     schema = "doc_id long, item_id long, start long, end long, edits int"
@@ -201,6 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; rows with null text stay. No shuffle."""
     spark = docs.sparkSession
+    prepare(spark)
     items = benchmark.where(F.length(item_text) > 0).select(F.col(item_text).alias("t")).distinct()
     passes = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // PASS_CHARS))
     for k in range(passes):

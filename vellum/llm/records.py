@@ -29,7 +29,7 @@ from vellum.llm.shared import chunks, over, partitions, stage, utf8, work_path
 
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BqB")
-MEMO = 400_000
+MEMO = 300_000
 MANIFEST = "file_no int, path string, n_records long, n_tokens long, n_bytes long"
 
 
@@ -165,6 +165,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
                     tokens += len(ids)
                 out = out or open_uri(path, "wb")
                 out.write(b"".join(framed))
+        enc.memo.clear()
         if out:
             out.close()
             with open_uri(f"{path}.idx", "wb") as f:

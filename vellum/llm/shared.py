@@ -6,10 +6,6 @@ documents' offsets, and every per-byte or per-word step is a numpy pass over a c
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,26 +13,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.folders import work_path
+
 U64 = np.uint64
 #: Bytes of text that one numpy pass covers; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 18
 
 
-# ---------------------------------------------------------------- the cluster's shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        made = tempfile.mkdtemp(prefix="vellum-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        path = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+# ---------------------------------------------------------------- the cluster
+#: Rows that go to Python at once; texts are long, and an executor has several workers beside its heap.
+BATCH_ROWS = 2000
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where the default keeps them for the worker
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; each call has its own."""
-    return f"{shared_dir(spark)}/vellum/{uuid.uuid4().hex}/{name}"
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +41,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession) -> int:
+    prepare(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -214,17 +209,17 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def over(spark_schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]]):
-    """A function for ``mapInArrow`` that turns each batch into column dictionaries."""
+def over(spark_schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], after: Callable[[], object] = int):
+    """A function for ``mapInArrow`` that turns each batch into column dictionaries; ``after`` is called at the end of a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(spark_schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in work(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+        for columns in (c for batch in batches for c in work(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+        after()
 
     return run
 
