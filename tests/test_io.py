@@ -66,3 +66,20 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_sql_functions(spark):
+    from vellum.functions.register import register
+
+    assert "sections" in register(spark)
+    d = spark.createDataFrame([("Abstract\n\nx\n\nMethods\n\ny",), (None,)], "t string")
+    d.createOrReplaceTempView("texts")
+    assert [r[0] for r in spark.sql("SELECT size(sections(t)) AS n FROM texts WHERE t IS NOT NULL").collect()] == [2]
+
+
+def test_cli(spark, tmp_path):
+    from vellum.cli import main
+
+    spark.createDataFrame([(1, "Abstract\n\nThe ﬁrst.\n\nMethods\n\nWe do.")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    main(["render", str(tmp_path / "in"), str(tmp_path / "out")])
+    assert "## Methods" in spark.read.parquet(str(tmp_path / "out")).first().markdown

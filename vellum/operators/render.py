@@ -32,7 +32,7 @@ def markdown(title: Column, sections: Column, text: Column) -> Column:
         F.array_sort(sections),
         lambda s: F.concat(
             F.when(s["canonical_label"] == "unknown", "").otherwise(F.concat(F.lit("## "), F.initcap(F.replace(s["label"], F.lit("_"), F.lit(" "))), F.lit("\n\n"))),
-            F.trim(F.when(s["heading_text"].isNotNull(), F.substring(text, s["char_start"] + 1 + F.length(s["heading_text"]), s["char_end"] - s["char_start"])).otherwise(F.substring(text, s["char_start"] + 1, s["char_end"] - s["char_start"]))),
+            F.trim(F.when(s["heading_text"].isNotNull(), F.substring(text, s["char_start"] + 1 + F.length(s["heading_text"]), s["char_end"] - s["char_start"] - F.length(s["heading_text"]))).otherwise(F.substring(text, s["char_start"] + 1, s["char_end"] - s["char_start"]))),
         ),
     )
     return F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(body, "\n\n"))
@@ -192,13 +192,15 @@ def title_case_headings(ls):
 
 @lines
 def inline_labels(ls):
-    """Headings of abstract parts inside the abstract are bold labels."""
+    """Headings of abstract parts inside the abstract are bold labels: those that only abstracts have, and those that come again."""
+    heads = {m[2].lower() for l in ls if (m := HEADING.match(l))}
     out, zone = [], False
     for l in ls:
         m = HEADING.match(l)
         if m and m[1] == "##":
-            zone = m[2].lower() == "abstract" or (zone and m[2].lower() in ("background", "methods", "results", "conclusions", "objective"))
-            if zone and m[2].lower() != "abstract":
+            s = m[2].lower()
+            zone = s == "abstract" or (zone and (s in ("background", "objective", "aims") or f"{s} 2" in heads))
+            if zone and s != "abstract":
                 l = f"**{m[2]}**"
         out.append(l)
     return out
