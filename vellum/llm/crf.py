@@ -30,13 +30,17 @@ CHAIN = 256
 HASHED = 1 << 17
 MEMO = 300_000
 SUMMARY = 4
+#: Share of training words that show only what all words have.
+UNSEEN = 0.3
+#: Words less likely toxic than this count for nothing in a document's measures.
+FAINT = 0.3
 
 
 def features(word: bytes) -> tuple[int, ...]:
-    """Hashes of a word's letters and affixes; a word without letters has none but its own form."""
+    """Hashes of a word's letters and affixes, and one that all words have, so that unseen words lean to neither side by chance."""
     w = word.decode("utf-8", "replace").lower()
     w = "".join(filter(str.isalnum, w)) or w
-    parts = {"w" + w, *("p" + w[:n] for n in (3, 4, 5, 6) if len(w) > n), *(("s" + w[-3:],) if len(w) > 3 else ())}
+    parts = {"", "w" + w, *("p" + w[:n] for n in (3, 4, 5, 6) if len(w) > n), *(("s" + w[-3:],) if len(w) > 3 else ())}
     return tuple(zlib.crc32(p.encode()) & (HASHED - 1) for p in sorted(parts))
 
 
@@ -112,7 +116,7 @@ class Field:
         full = np.flatnonzero(lengths)
         if len(full):
             at = np.concatenate([[0], np.cumsum(lengths)[:-1]])[full]
-            total, most = np.add.reduceat(np.where(p > 0.05, p, 0.0), at), np.maximum.reduceat(p, at)
+            total, most = np.add.reduceat(np.where(p > FAINT, p, 0.0), at), np.maximum.reduceat(p, at)
             out[full, 0], out[full, 1] = np.log1p(total), most
             out[full, 2] = np.sqrt(total / lengths[full])
         return out
@@ -159,6 +163,8 @@ def train(docs: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: flo
             real = np.arange(t_max)[:, None] < n
             y = np.zeros(real.shape)
             flat = [cache[w] for ws, _ in part for w in ws]
+            unseen = rng.random(len(flat)) < UNSEEN
+            flat = [f[:1] if u else f for f, u in zip(flat, unseen)]  # as a word that training doesn't know
             owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
             ids = np.array([i for f in flat for i in f])
             ut = np.bincount(owner, model.weights[ids], len(flat))
@@ -185,11 +191,15 @@ def train(docs: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: flo
     sizes = np.array([len(d) for d in rest])
     x = model.summary(model.marginals(model.emission([w for d in rest for w in d]), sizes), sizes)
     y = toxic[~half].astype(float)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.025 * w @ w
     top = np.zeros(SUMMARY)
-    for _ in range(30):  # Newton steps of penalised logistic regression
+    for _ in range(40):  # Newton steps of penalised logistic regression, halved until they help
         p = sigmoid(x @ top)
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(SUMMARY)
-        top += np.linalg.solve(h, x.T @ (y - p) - 0.05 * top)
+        step = np.linalg.solve(h, x.T @ (y - p) - 0.05 * top)
+        while np.abs(step).max() > 1e-6 and loss(top + step) > loss(top):
+            step /= 2
+        top += step
     model.top = top
     model.memo = {}
     return model
