@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ LEADING = r"^[^0-9.+−-]*([+−-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 PAIR = r"([+−-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)) *(?:,|;|to|–|—) *([+−-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def role(header: Column) -> Column:
     """The role of a column by its header; of a folded header, parts joined by ``||``, the last part that has one."""
 
@@ -54,18 +61,16 @@ def number(cell: Column) -> Column:
 
 def p_value(cell: Column) -> Column:
     """``struct(op, value)``: ``<.001`` is '<' and 0.001; a bare value has '='; values outside 0 .. 1 are null."""
-    v = number(F.regexp_replace(cell, r"(?i)^\s*p", ""))
     op = F.coalesce(F.nullif(F.regexp_extract(cell, r"([<>=≤≥])", 1), F.lit("")), F.lit("="))
-    return F.when(v.between(0, 1), F.struct(op.alias("op"), v.alias("value")))
+    return let(number(F.regexp_replace(cell, r"(?i)^\s*p", "")), lambda v: F.when(v.between(0, 1), F.struct(op.alias("op"), v.alias("value"))))
 
 
 def interval(cell: Column) -> Column:
     """``struct(lower, upper)`` of the last bracketed pair of a cell, or of the pair that is the whole cell; lower <= upper."""
-    inner = F.element_at(F.regexp_extract_all(cell, F.lit(r"[\[(]([^\[\]()]*)[\])]"), F.lit(1)), -1)
-    body = F.coalesce(F.when(F.size(F.regexp_extract_all(cell, F.lit(r"[\[(]([^\[\]()]*)[\])]"), F.lit(1))) > 0, inner), cell)
-    lo = F.translate(F.regexp_extract(body, PAIR, 1), "−", "-").try_cast("double")
-    hi = F.translate(F.regexp_extract(body, PAIR, 2), "−", "-").try_cast("double")
-    return F.when(lo.isNotNull() & hi.isNotNull() & (lo <= hi), F.struct(lo.alias("lower"), hi.alias("upper")))
+    inner = F.try_element_at(F.regexp_extract_all(cell, F.lit(r"[\[(]([^\[\]()]*)[\])]"), F.lit(1)), F.lit(-1))
+    bound = lambda body, k: F.translate(F.regexp_extract(body, PAIR, k), "−", "-").try_cast("double")
+    pair = let(F.coalesce(inner, cell), lambda body: F.struct(bound(body, 1).alias("lower"), bound(body, 2).alias("upper")))
+    return let(pair, lambda c: F.when(c["lower"] <= c["upper"], c))
 
 
 def upper_with_sign(est: Column, lower: Column, upper: Column) -> Column:
@@ -82,17 +87,17 @@ FIELDS = (*GUARDS, "p_op", "p", "CI_lower", "CI_upper")
 def fields(cells: Column) -> Column:
     """Typed fields of one row from an array of ``struct(role, text)``: the first cell of each role; what fails its guard is null."""
     cell = lambda r: F.get(F.filter(cells, lambda c: c["role"] == r), F.lit(0))["text"]
+    raw = F.struct(*(number(cell(n)).alias(n) for n in GUARDS), p_value(cell("p")).alias("p"), interval(cell("CI")).alias("ci"), number(cell("CI_lower")).alias("lo"), number(cell("CI_upper")).alias("hi"))
 
-    def value(name: str) -> Column:
-        v, guard = number(cell(name)), GUARDS[name]
-        return (v if guard is None else F.when(guard(v), v)).alias(name)
+    def typed(r: Column) -> Column:
+        est = F.coalesce(r["est"], r["d"], r["r"])
+        bounds = F.struct(F.coalesce(r["ci"]["lower"], r["lo"]).alias("lo"), F.coalesce(r["ci"]["upper"], r["hi"]).alias("hi"))
+        ci = let(bounds, lambda c: F.struct(c["lo"].alias("lo"), F.when(est.isNotNull(), upper_with_sign(est, c["lo"], c["hi"])).otherwise(c["hi"]).alias("hi")))
+        good = let(ci, lambda c: F.when(c["lo"] <= c["hi"], c))
+        value = lambda n: (r[n] if GUARDS[n] is None else F.when(GUARDS[n](r[n]), r[n])).alias(n)
+        return let(good, lambda c: F.struct(*map(value, GUARDS), r["p"]["op"].alias("p_op"), r["p"]["value"].alias("p"), c["lo"].alias("CI_lower"), c["hi"].alias("CI_upper")))
 
-    p, ci = p_value(cell("p")), interval(cell("CI"))
-    lo, hi = F.coalesce(ci["lower"], number(cell("CI_lower"))), F.coalesce(ci["upper"], number(cell("CI_upper")))
-    est = F.coalesce(number(cell("est")), number(cell("d")), number(cell("r")))
-    hi = F.when(est.isNotNull(), upper_with_sign(est, lo, hi)).otherwise(hi)
-    good = lo <= hi
-    return F.struct(*map(value, GUARDS), p["op"].alias("p_op"), p["value"].alias("p"), F.when(good, lo).alias("CI_lower"), F.when(good, hi).alias("CI_upper"))
+    return let(raw, typed)
 
 
 def shown(v: Column) -> Column:
@@ -107,13 +112,16 @@ def bare(v: Column) -> Column:
 
 def sentence(label: Column, f: Column) -> Column:
     """``Effort: t(741) = 3.93, p < .001, d = 0.29``: the parts whose fields are there; null without any part."""
+    return let(f, lambda g: let(_parts(g), lambda body: F.when(body != "", F.concat(F.when(F.coalesce(label, F.lit("")) != "", F.concat(label, F.lit(": "))).otherwise(""), body))))
+
+
+def _parts(f: Column) -> Column:
     eq = lambda name, text: F.when(f[name].isNotNull(), F.concat(F.lit(f"{name} = "), text(f[name])))
     t = F.when(f["t"].isNotNull(), F.concat(F.lit("t"), F.when(f["df"].isNotNull(), F.concat(F.lit("("), shown(f["df"]), F.lit(")"))).otherwise(""), F.lit(" = "), shown(f["t"])))
     fs = F.when(f["F"].isNotNull(), F.concat(F.lit("F"), F.when(f["df1"].isNotNull() & f["df2"].isNotNull(), F.concat(F.lit("("), shown(f["df1"]), F.lit(", "), shown(f["df2"]), F.lit(")"))).otherwise(""), F.lit(" = "), shown(f["F"])))
     p = F.when(f["p"].isNotNull(), F.concat(F.lit("p "), f["p_op"], F.lit(" "), bare(f["p"])))
     ci = F.when(f["CI_lower"].isNotNull() & f["CI_upper"].isNotNull(), F.concat(F.lit("95% CI ["), shown(f["CI_lower"]), F.lit(", "), shown(f["CI_upper"]), F.lit("]")))
-    body = F.concat_ws(", ", eq("M", shown), eq("SD", shown), eq("n", shown), eq("est", shown), t, fs, eq("chi2", shown), eq("z", shown), eq("r", bare), p, eq("d", shown), eq("eta2", bare), ci)
-    return F.when(body != "", F.concat(F.when(F.coalesce(label, F.lit("")) != "", F.concat(label, F.lit(": "))).otherwise(""), body))
+    return F.concat_ws(", ", eq("M", shown), eq("SD", shown), eq("n", shown), eq("est", shown), t, fs, eq("chi2", shown), eq("z", shown), eq("r", bare), p, eq("d", shown), eq("eta2", bare), ci)
 
 
 def arms(cell: Column) -> Column:
