@@ -63,11 +63,11 @@ def test_p_values(spark, cell, op, value):
 
 
 def test_one_row_as_a_sentence(spark):
-    cs = [("t", "3.93"), ("df", "741"), ("p", "<.001"), ("d", "0.29"), ("r", "1.4")]
+    cs = [("t", "2.50"), ("df", "38"), ("p", "<.05"), ("d", "0.80"), ("r", "1.4")]
     cells = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(t).alias("text")) for r, t in cs))
     f = spark.range(1).select(flatten.fields(cells).alias("f"))
     assert f.first().f.r is None
-    assert f.select(flatten.sentence(F.lit("Effort"), F.col("f"))).first()[0] == "Effort: t(741) = 3.93, p < .001, d = 0.29"
+    assert f.select(flatten.sentence(F.lit("Recall"), F.col("f"))).first()[0] == "Recall: t(38) = 2.5, p < .05, d = 0.8"
 
 
 @pytest.mark.parametrize("name", list(REPAIRS))

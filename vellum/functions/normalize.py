@@ -19,9 +19,8 @@ STANDARD, ACADEMIC = "standard", "academic"
 GAP = r"\s*"
 WRAP = rf"{GAP}\n{GAP}"
 CMP = "[<=>]"
-SIGNED = r"[-+]?\d*\.?\d+"
+SIGNED = "[-+]?[0-9]*[.]?[0-9]+"
 DECIMAL = r"[-+]?\d+\.\d+"
-THOUSANDS = r"\d{1,3}(?:,\d{3})+"
 STOP = r"\s|[,;)\]]|\.\D|\.$|$"
 
 

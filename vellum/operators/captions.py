@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: A line that starts with the label, its number, and either a stop or a capital.
-LINE = {"table": r"^\s*(?:Table|TABLE)\s+(\d{1,3})(?:[.:]|\s+[A-Z]|\s*$)", "figure": r"^\s*(?:Figure|FIGURE|Fig\.|FIG\.)\s+(\d{1,3})(?:[.:]|\s+[A-Z]|\s*$)"}
+NUMBERED = r"\s+([0-9]{1,3})(?:[.:]|\s*$|\s+[A-Z])"
+LINE = {"table": rf"^\s*T(?:able|ABLE){NUMBERED}", "figure": rf"^\s*F(?:igure|IGURE|ig\.|IG\.){NUMBERED}"}
 COMPILED = {k: re.compile(p) for k, p in LINE.items()}
 STANZA = 800
+ENDS = tuple(".!?")
 
 CAPTION = StructType([StructField("kind", StringType()), StructField("number", IntegerType()), StructField("label", StringType()), StructField("page", IntegerType()), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("line_text", StringType()), StructField("is_reference", BooleanType()), StructField("caption", StringType())])
 
@@ -36,12 +38,12 @@ def caption_text(text: str, start: int, end: int, stop: int) -> str:
     at = 0
     while (gap := re.compile(r"\n\s*\n").search(body, at)) is not None:
         tail = body[max(0, gap.start() - 40) : gap.start()].strip()
-        if len(tail.split()) > 2 or tail.endswith((".", "!", "?")) and gap.start() > end - start:
+        if len(tail.split()) > 2 or tail[-1:] in ENDS and gap.start() > end - start:
             body = body[: gap.start()]
             break
         at = gap.end()
     body = re.sub(r"\s+", " ", body).strip()
-    return body if len(body) <= 400 else body[:400].rsplit(" ", 1)[0] + "…"
+    return body if len(body) <= 400 else body[: body.rfind(" ", 0, 401)] + "…"
 
 
 def captions_of(text: str) -> list[dict]:

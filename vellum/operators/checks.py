@@ -14,7 +14,7 @@ LINT: tuple[tuple[str, str], ...] = (
     ("private_use", "[-]"),
     ("empty_heading", r"^#{1,6}\s*$"),
     ("spaced_letters", r"(?:^| )(?:[A-Za-z] ){5,}"),
-    ("page_number", r"^\s*\d{1,4}\s*$"),
+    ("page_number", r"^\s*[0-9]{1,4}\s*$"),
     ("hyphen_end", r"[a-z]-$"),
 )
 

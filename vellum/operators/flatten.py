@@ -111,7 +111,7 @@ def bare(v: Column) -> Column:
 
 
 def sentence(label: Column, f: Column) -> Column:
-    """``Effort: t(741) = 3.93, p < .001, d = 0.29``: the parts whose fields are there; null without any part."""
+    """``Recall: t(38) = 2.5, p < .05, d = 0.8``: the parts whose fields are there; null without any part."""
     return let(f, lambda g: let(_parts(g), lambda body: F.when(body != "", F.concat(F.when(F.coalesce(label, F.lit("")) != "", F.concat(label, F.lit(": "))).otherwise(""), body))))
 
 

@@ -23,7 +23,7 @@ FURNITURE = ("©.*", "\\(c\\) \\d{4}.*", "[Cc]opyright ©?.*\\d{4}.*", "All righ
 #: Lines that leak from the front matter into the first part of a text.
 FRONT = ("Keywords?[:—-].*", "Article [Hh]istory:?.*", "Available online .*", "Author(?:s')? [Nn]ote.*", "Handling [Ee]ditor:.*", "Conflicts? of [Ii]nterest:? None.*", "ARTICLE INFO.*", "a r t i c l e +i n f o")
 TOC = "(?i:_{3,}|^table of contents$)"
-SPACED = "^(?:[a-z] ){3,}[a-z]$"
+SPACED = "^[a-z](?: [a-z]){3,}$"
 BANNER_LINES, TOC_LINES, FRONT_CHARS = 30, 100, 8000
 
 
@@ -71,7 +71,7 @@ def page_numbers(text: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(shown), lambda n: F.size(F.filter(shown, lambda m: m == n)) >= 2))
 
 
-# ---------------------------------------------------------------- counted within a text: one Arrow pass
+# Counted within a text: one Arrow pass:
 def text_udf(f: Callable[[str], str]) -> Callable[[Column], Column]:
     """An Arrow-batched column function of a text rewrite; null stays null."""
 
@@ -95,7 +95,7 @@ def drop_contents_text(text: str) -> str:
     return "\n\n".join(out)
 
 
-YEAR = re.compile(r"\((?:19|20)\d\d[a-z]?\)")
+YEAR = re.compile("[(](?:20|19)[0-9]{2}[a-z]?[)]")
 NUMERIC = re.compile(r"^[\d\s.,%()+*<>=-]+$")
 
 
@@ -131,7 +131,7 @@ def page_clusters(numbers: Counter[str]) -> set[str]:
 def drop_page_clusters(text: str) -> str:
     """Standalone four-digit page numbers are blanked, unless the nearest lines on both sides are numeric too."""
     ls = text.split(NL)
-    found = Counter(s for s in map(str.strip, ls) if len(s) == 4 and s.isascii() and s.isdigit() and s[0] != "0")
+    found = Counter(s for s in map(str.strip, ls) if re.fullmatch("[1-9][0-9]{3}", s))
     gone = page_clusters(found)
     if not gone:
         return text

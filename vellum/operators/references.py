@@ -13,8 +13,8 @@ from vellum.operators.lines import text_udf
 from vellum.operators.sections import BACK, label_of
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
-ENTRY = re.compile(r"^\s*(?:\[\d{1,3}\]|\d{1,3}\.\s+[A-Z]|[A-Z][\w'’-]+,\s+(?:[A-Z]\.\s*)+)")
-NUMBER = re.compile(r"^\s*(\d{1,3})\.\s*$")
+ENTRY = re.compile(r"^\s*(?:\[[0-9]{1,3}\]|[0-9]{1,3}[.]\s+[A-Z]|[A-Z][\w'’-]+,\s+(?:[A-Z]\.\s*)+)")
+NUMBER = re.compile(r"^\s*([0-9]{1,3})[.]\s*$")
 AHEAD = 5000
 NOUNS = re.compile(r"\s*\S*\s*(?:participants?|trials?|items?|years?|months?|days?|students?|patients?|percent|studies|people|women|men|children)\b")
 QUANTIFIERS = {"than", "of", "about", "only", "all", "the", "least", "most", "over", "under", "nearly", "approximately", "these", "other"}

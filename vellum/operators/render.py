@@ -260,7 +260,7 @@ def numbered_headings(ls):
     out = []
     for i, l in enumerate(ls):
         alone = (not i or not ls[i - 1].strip()) and (i + 1 == len(ls) or not ls[i + 1].strip())
-        if alone and re.fullmatch(r"\d{1,2}\.\d{1,2}(?:\.\d{1,2})?\.? [A-Z][^.!?]{1,70}", l):
+        if alone and re.fullmatch(r"[0-9]{1,2}[.][0-9]{1,2}(?:[.][0-9]{1,2})?[.]? [A-Z][^.!?]{1,70}", l):
             l = f"### {l}"
         elif alone and re.fullmatch(r"\d{1,2}\. [A-Z][A-Za-z ,&-]{2,60}", l):
             l = f"## {l}"
@@ -276,7 +276,7 @@ def orphan_numerals(ls):
         j = i + 1
         while j < len(ls) and not ls[j].strip():
             j += 1
-        if re.fullmatch(r"\s*(?:[IVX]{1,5}|\d{1,2}(?:\.\d{1,2})*)\.?\s*", ls[i]) and ls[i].strip() and j < len(ls) and (m := HEADING.match(ls[j])):
+        if re.fullmatch(r"\s*(?:[IVX]{1,5}|[0-9]{1,2}(?:[.][0-9]{1,2})*)[.]?\s*", ls[i]) and ls[i].strip() and j < len(ls) and (m := HEADING.match(ls[j])):
             out.append(f"{m[1]} {ls[i].strip()} {m[2]}")
             i = j + 1
         else:

@@ -150,7 +150,7 @@ def numbered_heading(text: str, headings: frozenset[str] | None = None) -> str:
 
     ls, i = text.split("\n"), 0
     while i < len(ls):
-        if re.fullmatch(r"\s*\d+(?:\.\d+)*\.?\s*", ls[i]) and ls[i].strip():
+        if re.fullmatch(r"\s*[0-9]+(?:[.][0-9]+)*[.]?\s*", ls[i]) and ls[i].strip():
             for j in range(i + 1, min(i + 4, len(ls))):
                 s = ls[j].strip()
                 if s:

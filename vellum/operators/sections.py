@@ -34,16 +34,17 @@ VARIANTS: dict[str, tuple[str, ...]] = {
     "conflict_of_interest": ("conflict of interest", "competing interests", "declaration of competing interest"),
     "data_availability": ("data availability", "data availability statement", "open practices"),
     "author_contributions": ("author contributions", "contributors"),
-    "references": ("references", "bibliography", "works cited", "literature cited"),
+    "references": ("works cited", "references", "literature cited", "bibliography"),
     "appendix": ("appendix", "supplementary material", "supplemental materials"),
     "footnotes": ("footnotes", "notes"),
 }
 LABEL = {v: label for label, vs in VARIANTS.items() for v in vs}
-BACK = {"references", "appendix", "acknowledgments", "funding", "conflict_of_interest", "data_availability", "author_contributions", "footnotes"}
-BODY = {"introduction", "literature_review", "methods", "results", "discussion"}
+BACK = set("references appendix acknowledgments funding conflict_of_interest data_availability author_contributions footnotes".split())
+BODY = set("methods results discussion introduction literature_review".split())
 UNKNOWN = "unknown"
-NUMBERING = re.compile(r"^(?:\d+(?:\.\d+)*\.?|[IVX]+\.)\s+")
+NUMBERING = re.compile(r"^(?:[0-9]+(?:[.][0-9]+)*[.]?|[IVX]+[.])\s+")
 NEAR = 100
+BREAK = re.compile("(\n\\s*\n)")
 
 SECTION = StructType([StructField("ord", IntegerType()), StructField("label", StringType()), StructField("canonical_label", StringType()), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("confidence", StringType()), StructField("detected_via", StringType()), StructField("heading_text", StringType()), StructField("subheadings", ArrayType(StringType()))])
 HINT = StructType([StructField("text", StringType()), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("strength", StringType()), StructField("source", StringType()), StructField("label", StringType())])
@@ -116,20 +117,24 @@ def relabel(sections: list[dict], i: int, cut: int, label: str) -> list[dict]:
     return [x | {"ord": j} for j, x in enumerate(out)]
 
 
+def first_of(sections: list[dict], labels: set[str], otherwise: int) -> int:
+    return min((x["ord"] for x in sections if x["canonical_label"] in labels), default=otherwise)
+
+
 def synthesize(text: str, sections: list[dict]) -> list[dict]:
     """An abstract split off a long unlabelled front, and an introduction off a long abstract or keywords section."""
     labels = {s["canonical_label"] for s in sections}
     first = sections[0]
     if first["canonical_label"] == UNKNOWN and first["char_end"] - first["char_start"] >= 1500 and labels & BODY and "abstract" not in labels:
         at = 0
-        for p in re.split(r"(\n\s*\n)", text[: first["char_end"]]):
+        for p in re.split(BREAK, text[: first["char_end"]]):
             if len(p.strip()) >= 600:
                 sections = relabel(sections, 0, at, "abstract")
                 break
             at += len(p)
     labels = {s["canonical_label"] for s in sections}
     if "introduction" not in labels:
-        stop = next((i for i, s in enumerate(sections) if s["canonical_label"] in BODY), next((i for i, s in enumerate(sections) if s["canonical_label"] in BACK), len(sections)))
+        stop = first_of(sections, BODY, first_of(sections, BACK, len(sections)))
         if stop and sections[stop - 1]["canonical_label"] in ("abstract", "keywords"):
             s = sections[stop - 1]
             size = s["char_end"] - s["char_start"]

@@ -74,7 +74,7 @@ def version_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.versions(spark)
 
 
-# ---------------------------------------------------------------- checks
+# Checks:
 _words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
@@ -130,7 +130,7 @@ def unique_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(checks.unique_repair(F.split(mine, " "), F.split(other, " ")), " ").alias("text"))
 
 
-# ---------------------------------------------------------------- windows over rows
+# Windows over rows:
 @query("value_clusters", """WITH v AS (SELECT DISTINCT user_id, floor(value * 10)::BIGINT AS v FROM events), o AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY v) > 5 AS new FROM v),
     k AS (SELECT user_id, v, sum(coalesce(new, false)::INT) OVER (PARTITION BY user_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS k FROM o)
     SELECT user_id, k::BIGINT AS cluster, count(*) AS n, min(v) AS low, max(v) AS high FROM k GROUP BY user_id, k HAVING count(*) >= 3""")
@@ -157,7 +157,7 @@ def page_number_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "v").count().where("count >= 2").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- streams
+# Streams:
 @query("stream_quality", _q)
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "documents").select("doc_id", "text").schema

@@ -40,7 +40,7 @@ SPANS_SQL = f"""
     l AS (SELECT doc_id, length(text) AS size, i, trim(ls[i], ' ') AS s, CASE WHEN i = 1 THEN '' ELSE trim(ls[i - 1], ' ') END AS before,
                  coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::INT AS starts
           FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM src), unnest(range(1, len(ls) + 1)) AS u(i)),
-    m AS (SELECT doc_id, size, s, starts, label FROM l JOIN {_dim} ON lower(rtrim(regexp_replace(s, '^(?:\\d+(?:\\.\\d+)*\\.?|[IVX]+\\.)\\s+', ''), ' :.')) = variant WHERE before = '' AND regexp_matches(s, '^[0-9. ]*[A-Z]')),
+    m AS (SELECT doc_id, size, s, starts, label FROM l JOIN {_dim} ON lower(rtrim(regexp_replace(s, '^(?:[0-9]+(?:[.][0-9]+)*[.]?|[IVX]+[.])\\s+', ''), ' :.')) = variant WHERE before = '' AND regexp_matches(s, '^[0-9. ]*[A-Z]')),
     a AS (SELECT * FROM m UNION ALL SELECT doc_id, length(text), NULL, 0, 'unknown' FROM src WHERE doc_id NOT IN (SELECT doc_id FROM m WHERE starts = 0)),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY starts) - 1 AS ord, row_number() OVER (PARTITION BY doc_id, label ORDER BY starts) AS nth,
                  lead(starts, 1, size) OVER (PARTITION BY doc_id ORDER BY starts) AS ends FROM a)
@@ -71,12 +71,12 @@ def section_text_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", sections.text_for(F.col("text"), F.col("found"), "results", "references").alias("text"))
 
 
-@query("headings_lookup", f"SELECT h AS heading, label FROM (VALUES {', '.join(f'({quote(h)})' for h in (*HEADINGS, 'Zebra', 'SUMMARY:'))}) AS t(h) LEFT JOIN {_dim} ON lower(rtrim(regexp_replace(h, '^(?:\\d+(?:\\.\\d+)*\\.?|[IVX]+\\.)\\s+', ''), ' :.')) = variant")
+@query("headings_lookup", f"SELECT h AS heading, label FROM (VALUES {', '.join(f'({quote(h)})' for h in (*HEADINGS, 'Zebra', 'SUMMARY:'))}) AS t(h) LEFT JOIN {_dim} ON lower(rtrim(regexp_replace(h, '^(?:[0-9]+(?:[.][0-9]+)*[.]?|[IVX]+[.])\\s+', ''), ' :.')) = variant")
 def headings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings joined to the dictionary, a dimension of fixed size."""
     found = spark.createDataFrame([(h,) for h in (*HEADINGS, "Zebra", "SUMMARY:")], "heading string")
     dim = spark.createDataFrame(list(sections.LABEL.items()), "variant string, label string")
-    key = F.lower(F.rtrim(F.regexp_replace(F.regexp_replace("heading", r"^(?:\d+(?:\.\d+)*\.?|[IVX]+\.)\s+", ""), "[ :.]+$", "")))
+    key = F.lower(F.rtrim(F.regexp_replace(F.regexp_replace("heading", r"^(?:[0-9]+(?:[.][0-9]+)*[.]?|[IVX]+[.])\s+", ""), "[ :.]+$", "")))
     return found.withColumn("variant", key).join(F.broadcast(dim), "variant", "left").select("heading", "label")
 
 
@@ -133,7 +133,7 @@ def section_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(F.filter("ls", sections.is_boundary)).cast("long").alias("n_boundaries"))
 
 
-# ---------------------------------------------------------------- captions
+# Captions:
 CAPTIONED = "(SELECT doc_id, concat('Table 1. Means of ', doc_id::VARCHAR, chr(10), text, chr(10), 'as we show in', chr(10), 'Table 2 Shows more', chr(10), chr(10), 'Figure ', (doc_id % 4 + 1)::VARCHAR, ': Plot', chr(10), 'Table 1. Again', chr(10), 'Table 13 below shows') AS text FROM documents)"
 
 

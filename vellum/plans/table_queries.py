@@ -132,7 +132,7 @@ def caption_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.match_captions(t, c, "page")
 
 
-# ---------------------------------------------------------------- statistical rows
+# Statistical rows:
 HEADERS = ("t-value", "df", "p", "Cohen's d", "95% CI", "Group || M", "SD", "N", "η²", "F", "zebra", "Study 1||p-value")
 _case = "CASE " + " ".join(f"WHEN regexp_matches(h, {quote(p)}) THEN {quote(r)}" for r, p in flatten.ROLES) + " END"
 

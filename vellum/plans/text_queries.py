@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# ---------------------------------------------------------------- quality
+# Quality:
 @query("quality_score", quality.quality_sql("documents"))
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(quality.quality(F.col("text")))))
@@ -58,13 +58,13 @@ def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_samples(spark, sf_dir, *GREEK).select("doc_id", *quality.char_counts(F.col("text")))
 
 
-# ---------------------------------------------------------------- HTML
+# HTML:
 @query("html_to_text", f"SELECT page_id, {html.html_to_text_sql('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
-# ---------------------------------------------------------------- normalization, step by step
+# Normalization, step by step:
 def step_query(step: normalize.Step) -> None:
     samples = step.positive + step.negative + (step.positive[0] + "\n" + step.positive[0],)
     rewritten = step.rewrite.sql("text")
@@ -123,7 +123,7 @@ def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_samples(spark, sf_dir, *ACCENTED).select("doc_id", F.when(t.rlike("[^\\x00-\\x{2ff}]"), lines.nfc(t)).otherwise(t).alias("text"))
 
 
-# ---------------------------------------------------------------- lines
+# Lines:
 def kept_sql(source: str, keep: str) -> str:
     """Lines of ``source`` for which ``keep`` (of l, trimmed s, 0-based i) holds, put together again."""
     return f"""SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM (
