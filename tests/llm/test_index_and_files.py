@@ -20,7 +20,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 
 
-# ---------------------------------------------------------------- shared parts
+# Shared parts:
 def test_rolling_and_argmin():
     v = np.random.default_rng(0).integers(0, 2**63, 300, dtype=np.uint64)
     for k in (1, 2, 5, 13, 32):
@@ -52,7 +52,7 @@ def test_packing_and_keys(spark):
     assert [p[0] for p in got] == keys.tolist()
 
 
-# ---------------------------------------------------------------- nearest neighbours
+# Nearest neighbours:
 def brute(ids, vs, q, k):
     s = vs @ vs[q]
     order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
@@ -87,7 +87,7 @@ def test_forest_odd_vectors(spark):
     assert forest.nearest(d.limit(0), d).count() == 0
 
 
-# ---------------------------------------------------------------- archives
+# Archives:
 def test_archives_round_trip(spark):
     long = "<p>" + "é" * 200
     rows = [(3, "u", long, "x"), (1, None, long, "y"), (2, "u\r\nv", long, "z"), (4, "u", "short", ""), (5, "u", "short", ""), (6, "u", None, ""), (7, "u", "", ""), (None, "u", long, ""), (1, "u", long, "")]
@@ -132,7 +132,7 @@ def test_gaps_are_reported(spark, tmp_path):
     assert {r.page_id for r in warc.read_archives(m).collect()} == {1, 2}
 
 
-# ---------------------------------------------------------------- BPE and token files
+# BPE and token files:
 ODD = ["", " ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|", "it's I'LL don't 'S", "İstanbul ΣΑΣ ς", "\x1c\x1da b", "x" * 3000, "!!!'s??'ll", "１２ ½ ²", "ǅ ǆ", "ﬁ Å 中文 😀", "é"]
 
 

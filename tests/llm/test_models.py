@@ -13,7 +13,7 @@ from vellum.llm import crf, langid, leaks
 SF = "/root/testdata/sf0.001"
 
 
-# ---------------------------------------------------------------- language
+# Language:
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -61,7 +61,7 @@ def test_temperature_lowers_the_loss():
     assert loss(langid.calibrate(logits * 20, y)) < loss(1.0)
 
 
-# ---------------------------------------------------------------- toxicity
+# Toxicity:
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     u, trans, start = rng.standard_normal((5, 1)), rng.standard_normal((2, 2)), 0.3
@@ -105,7 +105,7 @@ def test_odd_texts_score(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == 0 for r in got)
 
 
-# ---------------------------------------------------------------- decontamination
+# Decontamination:
 def edit(a, b):
     c = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
@@ -162,7 +162,7 @@ def test_several_passes_find_the_same(spark, monkeypatch):
     assert once and sorted(map(tuple, leaks.leaks(docs, b).collect())) == once
 
 
-# ---------------------------------------------------------------- pipeline
+# Pipeline:
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -20,7 +20,7 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 18
 
 
-# ---------------------------------------------------------------- the cluster
+# The cluster:
 #: Rows that go to Python at once; texts are long, and an executor has several workers beside its heap.
 BATCH_ROWS = 2000
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where the default keeps them for the worker
@@ -45,7 +45,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-# ---------------------------------------------------------------- text as arrays
+# Text as arrays:
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as the empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -75,7 +75,7 @@ def texts_of(col: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield bytes(view[a:b])
 
 
-# ---------------------------------------------------------------- hashes
+# Hashes:
 _rng = np.random.default_rng(0x5EED)
 BYTE_KEYS = _rng.integers(0, 2**64, 256, dtype=U64)
 BASE = int(_rng.integers(0, 2**63)) * 8 + 5  # odd, of large order
@@ -157,7 +157,7 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (best[:n] & U64(0xFFFFFFFF)).astype(np.int64)
 
 
-# ---------------------------------------------------------------- words
+# Words:
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -186,7 +186,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts + base, ends + base, np.searchsorted(starts + base, off)
 
 
-# ---------------------------------------------------------------- packed shuffles
+# Packed shuffles:
 def group_slices(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values of a sorted array."""
     if not len(keys):
