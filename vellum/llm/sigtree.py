@@ -37,6 +37,8 @@ FANOUT = 8
 BLOCK = 512
 #: Bytes of text whose shingles are sorted at once.
 PORTION = 4 << 20
+#: Parts in which a reducer sorts its shingles.
+SLICES = 4
 #: Classes of one portion that must have a shingle before it is spread over the reducers.
 FREQUENT = 32
 #: Counts of spread shingles up to this many rows are broadcast, 12 bytes each.
@@ -204,42 +206,49 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(n, kind, np.int32)), "k": none(), "cls": none(), "n": none(), "to": pa.array(to, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        blobs: list[bytes] = []
         for batch in batches:
             kinds = batch.column(0).to_numpy()
             if (kinds == 0).any():
                 yield batch.filter(pa.array(kinds == 0))
-            for i in np.flatnonzero(kinds == 2):
-                t, local, flag, extra, cls, n = unpack_arrays(batch.column(5)[int(i)].as_py())
-                got.append((np.cumsum(t, dtype=U64), cls[local], n[local], flag, extra))
+            blobs += [batch.column(5)[int(i)].as_py() for i in np.flatnonzero(kinds == 2)]
             del batch
-        if not got:
+        if not blobs:
             return
-        t, cls, n, flag, extra = (np.concatenate(x) for x in zip(*got))
-        got.clear()
-        # spread shingles pass through with frequency 0, to be looked up
-        out = [(t[flag == 1], cls[flag == 1], n[flag == 1], np.zeros(int((flag == 1).sum()), np.uint32))]
-        signals = flag == 2
-        st, sc = np.unique(t[signals]), None
-        if len(st):
-            sc = np.bincount(np.searchsorted(st, t[signals]), extra[signals], len(st)).astype(np.int64)
-        rest = np.flatnonzero(flag == 0)
-        order = rest[np.lexsort((cls[rest], t[rest]))]
-        t, cls, n = t[order], cls[order], n[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (cls[1:] != cls[:-1])
-        t, cls, n = t[new], cls[new], n[new]
-        starts, ends = group_slices(t)
-        df = ends - starts
-        spread = np.zeros(len(starts), bool)
-        if len(st):
-            at = np.minimum(np.searchsorted(st, t[starts]), len(st) - 1)
-            spread = st[at] == t[starts]
-            np.add.at(sc, at[spread], df[spread])
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(st), 1, np.int32)), "k": st.view(np.int64), "cls": pa.nulls(len(st), pa.int64()), "n": sc, "to": pa.nulls(len(st), pa.int32()), "blob": pa.nulls(len(st), pa.binary())})
-        keep = np.repeat((df > 1) | spread, df)
-        freq = np.repeat(np.where(spread, 0, df), df).astype(np.uint32)
-        out.append((t[keep], cls[keep], n[keep], freq[keep]))
+        out = []
+        for part in range(SLICES):  # by the shingles' highest bits, so that one part is unpacked and sorted at a time
+            got = []
+            for blob in blobs:
+                t, local, flag, extra, cls, n = unpack_arrays(blob)
+                t = np.cumsum(t, dtype=U64)
+                at = np.flatnonzero((t >> U64(56)).astype(np.int64) * SLICES >> 8 == part)
+                got.append((t[at], cls[local[at]], n[local[at]], flag[at], extra[at]))
+            t, cls, n, flag, extra = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            # spread shingles pass through with frequency 0, to be looked up
+            out.append((t[flag == 1], cls[flag == 1], n[flag == 1], np.zeros(int((flag == 1).sum()), np.uint32)))
+            signals = flag == 2
+            st, sc = np.unique(t[signals]), None
+            if len(st):
+                sc = np.bincount(np.searchsorted(st, t[signals]), extra[signals], len(st)).astype(np.int64)
+            rest = np.flatnonzero(flag == 0)
+            order = rest[np.lexsort((cls[rest], t[rest]))]
+            t, cls, n = t[order], cls[order], n[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (cls[1:] != cls[:-1])
+            t, cls, n = t[new], cls[new], n[new]
+            starts, ends = group_slices(t)
+            df = ends - starts
+            spread = np.zeros(len(starts), bool)
+            if len(st):
+                at = np.minimum(np.searchsorted(st, t[starts]), len(st) - 1)
+                spread = st[at] == t[starts]
+                np.add.at(sc, at[spread], df[spread])
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(st), 1, np.int32)), "k": st.view(np.int64), "cls": pa.nulls(len(st), pa.int64()), "n": sc, "to": pa.nulls(len(st), pa.int32()), "blob": pa.nulls(len(st), pa.binary())})
+            keep = np.repeat((df > 1) | spread, df)
+            freq = np.repeat(np.where(spread, 0, df), df).astype(np.uint32)
+            out.append((t[keep], cls[keep], n[keep], freq[keep]))
+        blobs.clear()
         t, cls, n, freq = (np.concatenate(x) for x in zip(*out))
         goes = cls % U64(parts)
         order = np.lexsort((cls, goes))
