@@ -143,6 +143,17 @@ def test_one_of_each_group_stays(docs):
     assert ids.count(4) == 0  # the words of 3, in capitals
 
 
+def test_only_linked_rows_of_a_repeated_id_go(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"{x}{rng.randint(0, 10**6)}" for _ in range(40)) for x in "abcd")
+    rows = [(5, a), (7, a), (7, b), (7, c), (7, c + " more"), (8, d), (8, d.upper()), (8, b + " more"), (9, ""), (9, None), (9, ""), (None, a)]
+    out = sigtree.one_of_each(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, cls int"))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    of_c = [t for i, t in got if i == 7 and t != b]
+    assert out.columns == ["doc_id", "text", "cls"] and len(of_c) == 1 and of_c[0] in (c, c + " more")
+    assert got == Counter([(5, a), (7, b), (7, of_c[0]), (8, d.upper()), (9, ""), (9, None), (None, a)])
+
+
 def test_no_documents(docs):
     assert sigtree.join(docs.limit(0)).count() == 0
 

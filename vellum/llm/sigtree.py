@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vellum.llm.components import components
 from vellum.llm.shared import BYTE_KEYS, LOWER, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, stage, unpack_arrays, utf8, words
@@ -67,6 +68,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tupl
     return s, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
+def class_hashes(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The class of each text, from the shingles and offsets of ``shingle_sets``."""
+    total = np.concatenate([[U64(0)], np.cumsum(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
+    return mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 def needed(n: int, threshold: int) -> int:
     """The least overlap with any set that links to one of size n."""
     return -(-threshold * n // 100)
@@ -161,10 +168,8 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
         toks, sizes, cls = [], [], []
         for lo, hi in chunks(off):
             s, at = shingle_sets(data, off[lo : hi + 1])
-            n = np.diff(at)
-            total = np.concatenate([[U64(0)], np.cumsum(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
-            cls.append(mix((total[at[1:]] - total[at[:-1]]) + n.astype(U64) * U64(0x9E3779B97F4A7C15)))
-            sizes.append(n)
+            cls.append(class_hashes(s, at))
+            sizes.append(np.diff(at))
             toks.append(s)
         toks, sizes, cls = np.concatenate(toks), np.concatenate(sizes), np.concatenate(cls)
         size = len(cls)
@@ -317,6 +322,11 @@ def join(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col:
     and empty texts too) have no shingle and no link, and are their own component. A null id never is the smallest;
     a component of null ids has a null id. Other columns aren't read.
     """
+    return rooted(docs, threshold, id_col, text_col).drop("root_class")
+
+
+def rooted(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """As ``join``, with ``root_class``: the least class of the component, which tells apart components of one smallest id."""
     spark = docs.sparkSession
     member, candidates = classes_and_candidates(docs, threshold, id_col, text_col)
     classes = member.where("n > 0").groupBy("cls").agg(F.count("*").alias("weight"), F.min("k").alias("least"))
@@ -380,8 +390,8 @@ def join(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col:
     linked = stage(tasks.mapInArrow(verify, "cls long, links long, head long"), "links")
     reach = components(linked.select(F.col("cls").alias("a"), F.col("head").alias("b")))
     least_of = reach.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    per_class = linked.groupBy("cls").agg(F.sum("links").alias("links")).join(reach.withColumnRenamed("node", "cls").join(least_of, "root").select("cls", "component"), "cls")
-    full = classes.join(per_class, "cls", "left").select("cls", "weight", "links", F.coalesce(F.when(F.col("links").isNotNull(), F.col("component")), "least").alias("component"))
+    per_class = linked.groupBy("cls").agg(F.sum("links").alias("links")).join(reach.withColumnRenamed("node", "cls").join(least_of, "root").select("cls", "root", "component"), "cls")
+    full = classes.join(per_class, "cls", "left").select("cls", "weight", "links", "root", F.coalesce(F.when(F.col("links").isNotNull(), F.col("component")), "least").alias("component"))
     alone = F.col("n") == 0
     out = member.join(full, "cls", "left")
     return out.select(
@@ -390,21 +400,47 @@ def join(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col:
         F.when(alone, F.lit(0)).otherwise(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_similar"),
         F.when(alone, F.col("k")).otherwise(F.col("component")).cast(docs.schema[id_col].dataType).alias("component_id"),
         F.col("cls").alias("class_id"),
+        F.coalesce("root", "cls").alias("root_class"),
     )
 
 
+def with_classes(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(cls, n, row)``: the class and number of shingles of each row, and the row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            cls, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for lo, hi in chunks(off):
+                s, at = shingle_sets(data, off[lo : hi + 1])
+                cls.append(class_hashes(s, at))
+                n.append(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cls).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), batch.column(1)], ["cls", "n", "row"])
+
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(work, StructType([StructField("cls", LongType()), StructField("n", LongType()), StructField("row", rows.schema["row"].dataType)]))
+
+
 def one_of_each(docs: DataFrame, threshold: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of linked rows: the one of smallest id.
+    """``docs`` with one row of each component of linked rows: the one of smallest id, then of least class, then of least text.
 
-    Rows without words and rows with null id stay. Of rows with equal id and equal text one stays. The ids that go are
+    Rows without words and rows with null id stay. Of rows with equal id and equal text one stays. A row goes for its own
+    links only: of an id on several rows, those that link with nothing stay. The ids, or ids and classes, that go are
     broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
     """
-    found = stage(join(docs, threshold, id_col, text_col), "components")
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    found = stage(rooted(docs, threshold, id_col, text_col), "components").where(F.col(id_col).isNotNull())
+    twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
     hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    kept = docs.join(hint(gone), id_col, "left_anti").select(*docs.columns)
+    gone = found.where(F.col(id_col) > F.col("component_id")).select(id_col)
     if twice.isEmpty():
-        return kept
+        return docs.join(hint(gone), id_col, "left_anti").select(*docs.columns)
     again = hint(stage(twice, "repeated ids"))
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
+    once = docs.join(again, id_col, "left_anti").join(hint(gone.distinct()), id_col, "left_anti").select(*docs.columns)
+    row = found.where("n_shingles > 0").select("root_class", F.struct(F.col(id_col).alias("i"), F.col("class_id").alias("c")).alias("row"))
+    first = row.groupBy("root_class").agg(F.min("row").alias("first"))
+    gone = hint(stage(row.join(first, "root_class").where("row > first").select("row.*").distinct(), "gone"))
+    several = with_classes(docs.join(again, id_col, "left_semi").select(*docs.columns), text_col)
+    own, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    kept = several.join(gone, (own == F.col("i")) & (F.col("cls") == F.col("c")), "left_anti")
+    least = kept.groupBy(own, "cls", "n", F.when(F.col("n") == 0, text)).agg(F.min_by("row", F.coalesce(text, F.lit(""))).alias("row"))
+    return once.unionByName(least.select("row.*"))
