@@ -102,6 +102,38 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert max(r.start + r.length for r in rows if r.doc_id == 1) == 501
 
 
+def test_repeat_groups_are_the_maximal_repeats(spark, monkeypatch):
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q, long = made(230), made(260), made(900)
+    rows = ROWS + [(500 + i, made(40) + p + made(40)) for i in range(6)]  # one passage in many contexts
+    rows += [(600, long), (601, long[:700]), (602, made(9) + long[300:]), (603, "1" + q[:200] + "2"), (604, "3" + q[:200] + "4"), (605, q[30:] + "5"), (606, "6" + q[30:]), (None, made(30) + long[100:450])]
+    found: dict = defaultdict(list)
+    texts = [(t or "").encode() for _, t in rows]
+    for d, w in enumerate(texts):
+        for s in range(len(w) - 199):
+            found[w[s : s + 200]].append((d, s))
+    want, length = Counter(), 200
+    while found := {x: at for x, at in found.items() if len(at) > 1}:
+        longer = defaultdict(list)
+        for x, at in found.items():
+            before = {texts[d][s - 1] if s else (d, s) for d, s in at}
+            after = {texts[d][s + length] if s + length < len(texts[d]) else (d, s) for d, s in at}
+            if len(before) > 1 and len(after) > 1:
+                want[tuple(sorted(((rows[d][0] or 0), s, length) for d, s in at))] += 1
+            for d, s in at:
+                if s + length < len(texts[d]):
+                    longer[x + texts[d][s + length : s + length + 1]].append((d, s))
+        found, length = longer, length + 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (2000, 2):
+        monkeypatch.setattr(esa, "BUCKET", bucket)
+        got: dict = defaultdict(list)
+        for r in esa.repeat_groups(docs).collect():
+            got[r.bucket, r.repeat].append((r.doc_id or 0, r.start, r.length))
+        assert Counter(tuple(sorted(x)) for x in got.values()) == want
+
+
 def links(threshold: int):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = []

@@ -7,7 +7,8 @@ tree that this visits holds the entries that share ``right`` bytes from the anch
 before the anchor are sorted and scanned the same way: where these extensions to the left differ, the entries are
 a maximal repeat of ``left + right`` bytes, and all its occurrences come out, not just neighbours.
 
-A bucket of more than ``BUCKET`` distinct entries isn't gathered in one task: its strings are counted by their hashes.
+To mark windows, a bucket of more than ``BUCKET`` distinct entries isn't gathered in one task: its strings are
+counted by their hashes. ``repeat_groups`` scans the stretches that the marked windows cover, whole, in a second pass.
 """
 
 from __future__ import annotations
@@ -52,8 +53,11 @@ def intervals(lcp: list[int], n: int) -> Iterator[tuple[int, int, int]]:
             yield d, left, n - 1
 
 
-def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH) -> Iterator[tuple[int, int, list[int]]]:
-    """``(left, right, members)`` of each maximal repeat around the anchors of ``(bytes, anchor)`` of ``least`` bytes at least."""
+def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH, exact: bool = False) -> Iterator[tuple[int, int, list[int]]]:
+    """``(left, right, members)`` of each maximal repeat around the anchors of ``(bytes, anchor)`` of ``least`` bytes at least.
+
+    Members that share more than ``right`` bytes come out at their own depth too; with ``exact`` only there.
+    """
     if len(texts) == 2:
         (x, a), (y, b) = texts
         right, left = common(x[a:], y[b:]), common(x[:a][::-1], y[:b][::-1])
@@ -65,6 +69,7 @@ def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH) -> Itera
     order = sorted(range(len(texts)), key=rights.__getitem__)
     lcp = [common(rights[i], rights[j]) for i, j in zip(order, order[1:])]
     longest = max(map(len, lefts))
+    rank = dict(zip(order, range(len(order))))
     for right, first, last in intervals(lcp, len(order)):
         if right + longest < least:
             continue
@@ -72,17 +77,21 @@ def maximal_repeats(texts: list[tuple[bytes, int]], least: int = WIDTH) -> Itera
         ext = [common(lefts[i], lefts[j]) for i, j in zip(inside, inside[1:])]
         for left, a, b in intervals(ext, len(inside)):
             if left + right >= least:
-                yield left, right, inside[a : b + 1]
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: bool = False, rest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows keyed; the windows that occur elsewhere ``(k, t, pos, n)``; the runs, with their hashes if ``groups``.
-
-    With ``groups`` the second has a row for each maximal repeat and entry instead: ``(h, c, g, j, n)``.
-    """
+                members = inside[a : b + 1]
+                if exact and left == 0 and min(ext) > 0:  # the root, whose members share more
+                    continue
+                if exact and len(members) < last - first + 1:
+                    places = [rank[i] for i in members]
+                    if min(lcp[min(places) : max(places)]) > right:
+                        continue
+                yield left, right, members
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows keyed; the windows that occur elsewhere ``(k, t, pos, n)``."""
     n = partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col, rest).repartition(n, "k", "t")
-    runs = shared_runs(keyed(docs, id_col, text_col), BYTES, False, "runs", groups)
+    runs = shared_runs(keyed(docs, id_col, text_col), BYTES, False, "runs")
     equal = runs.where(F.col("kind") == MARKED).select("h", "c", "k", "t", "pos", F.col("m").alias("n"))
     several = runs.where(F.col("kind") == OPEN).select("h", "c", "times", "entries", "k", "t", "pos", "m")
 
@@ -119,9 +128,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
         v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
         return BYTES.place(v)
 
-    fields = ("h", "c", "g", "j", "n") if groups else ("k", "t", "pos", "n")
-    types = [pa.int64(), pa.int64(), *(pa.int32(),) * 3] if groups else [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    schema = "h long, c long, g int, j int, n int" if groups else "k long, t int, pos int, n int"
+    fields = ("k", "t", "pos", "n")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    schema = "k long, t int, pos int, n int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -137,10 +146,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
                     first, end = max(0, a - left), min(m - 1, a - max(0, WIDTH - right))
                     if first <= end:
                         ranges[i].append((first, end, g))
-            for (c, times, k, t, pos, _, _), got in zip(bucket, ranges):
-                if groups:
-                    out.extend((last, c, g, first, end - first + 1) for first, end, g in got)
-                elif times == 1:  # equal ones are marked already
+            for (_, times, k, t, pos, *_), got in zip(bucket, ranges):
+                if times == 1:  # equal ones are marked already
                     out.extend((k, t, pos + first, end - first + 1) for first, end, _ in union(got))
 
         def made() -> pa.RecordBatch:
@@ -173,11 +180,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").mapInArrow(strings, "h long, c long, times long, k long, t int, pos int, j int, e long")
     often = large.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
     hot = large.join(often, ["h", "e"])
-    if groups:
-        same = equal.select("h", "c", "n").distinct().select("h", "c", F.lit(-1).alias("g"), F.lit(0).alias("j"), "n")
-        return rows, same.unionByName(small).unionByName(hot.select("h", "c", F.lit(-2).alias("g"), "j", F.lit(1).alias("n"))), equal.drop("n").unionByName(several.where("times = 1").select("h", "c", "k", "t", "pos"))
     single = hot.where("times = 1").select("k", "t", "pos", F.lit(1).alias("n"))
-    return rows, equal.select("k", "t", "pos", "n").unionByName(small).unionByName(single), runs
+    return rows, equal.select("k", "t", "pos", "n").unionByName(small).unionByName(single)
 
 
 def union(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -191,15 +195,85 @@ def union(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every occurrence of every maximal repeat of 200 bytes at least around an anchor: ``(bucket, repeat, doc_id, start, length)``.
+def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(k, at, u, x)``: the stretches of each row that its repeated windows cover, with a hash of their bytes."""
+    rows, marks = repeats(docs, id_col, text_col)
+
+    def finish(batch, data, off, spans):
+        view, ks = memoryview(data), batch.column(0).to_numpy()
+        for k, a, (starts, ends) in zip(ks, off[:-1].tolist(), spans):
+            for lo in range(0, len(starts), 500):
+                s, e = starts[lo : lo + 500].tolist(), ends[lo : lo + 500].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), pa.array(s, pa.int64()), pa.array([bytes(view[a + i : a + j]) for i, j in zip(s, e)], pa.binary())], ["k", "at", "x"])
 
-    A repeat longer than a run's reach is listed once for each anchor in it, at that anchor's part; equal runs
-    are repeat -1 of their bucket, single strings of very large buckets repeat -2.
+    return covered_rows(rows, marks, BYTES, "k long, at long, x binary", finish).withColumn("u", F.sha2("x", 256))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every occurrence of every maximal repeat of 200 bytes at least: ``(bucket, repeat, doc_id, start, length)``.
+
+    A repeat is named by ``(bucket, repeat)`` and is maximal: its occurrences don't all have the same byte before or the
+    same byte after them. All of them lie inside the stretches that ``drop_repeats`` cuts out, and hold at the same
+    place the anchor of the repeat's first window. So the suffixes of the distinct stretches at each anchor, with the
+    bytes before it that can be in the same first window, are the bucket, and a repeat comes out of one bucket
+    only. Buckets of any size are scanned whole, in one task each; a stretch's suffix is shuffled for each
+    anchor in it, and the output is as large as all occurrences, nested repeats included.
     """
-    _, found, runs = repeats(docs, id_col, text_col, groups=True)
+    n = partitions(docs.sparkSession)
+    found = stage(pieces(docs, id_col, text_col), "stretches")
+    distinct = found.groupBy("u").agg(F.count("*").alias("times"), F.first("x").alias("x"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, times, x in zip(*(c.to_pylist() for c in batch.columns)):
+                at = BYTES.places(BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0])
+                h, first = at[0], np.flatnonzero(np.diff(at[1], prepend=-1))
+                last = np.append(first[1:], len(h)) - 1
+                for lo in range(0, len(first), 500):
+                    f, e = first[lo : lo + 500], last[lo : lo + 500]
+                    a, begin = at[1][f], np.maximum(f - 1, 0)
+                    yield pa.RecordBatch.from_pydict({"h": h[f].view(np.int64), "u": [u] * len(f), "times": np.full(len(f), times), "begin": begin, "a": a - begin, "low": a - e, "high": a - f, "x": pa.array([x[i:] for i in begin.tolist()], pa.binary())})
+
+    entries = stage(distinct.mapInArrow(cut, "h long, u string, times long, begin long, a long, low long, high long, x binary"), "suffixes")
+    shared = entries.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h")
+    buckets = entries.join(shared, "h").repartition(n, "h").sortWithinPartitions("h", "u", "begin")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            # a stretch that occurs again stands twice, so that what only its copies share is an interval too
+            owner = [i for i, e in enumerate(bucket) for _ in range(min(e[1], 2))]
+            out, g = [], 0
+            if len(owner) > 1:
+                for left, right, members in maximal_repeats([(bucket[i][-1], bucket[i][3]) for i in owner], exact=True):
+                    if bucket[owner[members[0]]][4] <= left <= bucket[owner[members[0]]][5]:
+                        for i in sorted({owner[j] for j in members}):
+                            u, _, begin, a, *_ = bucket[i]
+                            out.append((last, g, u, begin + a - left, left + right))
+                        g += 1
+                    if len(out) > 20_000:
+                        yield made(out)
+                        out.clear()
+            yield made(out)
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["h", "g", "u", "j", "length"])
+
+        for batch in batches:
+            for h, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != last:
+                    if bucket:
+                        yield from close()
+                    bucket, last = [], h
+                bucket.append(entry)
+        if bucket:
+            yield from close()
+
+    groups = buckets.mapInArrow(scan, "h long, g int, u string, j long, length long")
     own = F.when(F.col("k") == NULL_ID, F.lit(None)).otherwise(F.col("k"))
-    return runs.join(found, ["h", "c"]).select(F.col("h").alias("bucket"), F.col("g").alias("repeat"), own.alias(id_col), (F.col("pos") + F.col("j")).alias("start"), (F.col("n") - 1 + WIDTH).alias("length"))
+    return groups.join(found.select("u", "k", "at"), "u").select(F.col("h").alias("bucket"), F.col("g").alias("repeat"), own.alias(id_col), (F.col("at") + F.col("j")).alias("start"), "length")
 
 
 def cut_out(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -214,7 +288,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occurrences lose it. Repeated rows are copies of each other. Null counts as empty; texts under 200 bytes
     lose nothing. ``kept`` leaves out pieces of a character that a span cut. Only the named columns are read.
     """
-    rows, marks, _ = repeats(docs, id_col, text_col)
+    rows, marks = repeats(docs, id_col, text_col)
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * text
 
     def finish(batch, data, off, spans):
@@ -238,7 +312,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts stay null; a text that is repeated throughout is empty afterwards.
     """
-    rows, marks, _ = repeats(docs, id_col, text_col, rest=True)
+    rows, marks = repeats(docs, id_col, text_col, rest=True)
     schema = f"kept string, rest {rows.schema['rest'].dataType.simpleString().replace('no text', '`no text`')}"
 
     def finish(batch, data, off, spans):

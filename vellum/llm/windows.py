@@ -51,6 +51,12 @@ class Unit:
         """Where the anchor of the first window stands."""
         return int(sliding_argmin(mix(rolling(v[: self.width], self.gram)), self.width - self.gram + 1)[0])
 
+    def places(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of one text: hash of the anchor, and where it stands in the text."""
+        g = mix(rolling(v, self.gram))
+        at = sliding_argmin(g, self.width - self.gram + 1)
+        return g[at], at
+
     def runs(self, v: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each run: hash of the anchor, hash of the run, text, first window, windows."""
         none = (np.zeros(0, U64), np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
@@ -86,7 +92,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.hash("x")).select("k", "t", "x", *["rest"] * rest)
 
 
-def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str, hashes: bool = False) -> DataFrame:
+def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
     """What the runs alone decide, written to the shared folder; rows of three kinds.
 
     ``MARKED``: runs all of whose windows are repeats; with ``across`` those whose equal starts in a smaller id, else all
@@ -180,7 +186,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str, hashes: bo
         at, what = at[order], what[order]
         for lo in range(0, len(at), 50_000):
             p, w = at[lo : lo + 50_000], what[lo : lo + 50_000].astype(np.int32)
-            shown = (w != MARKED) | hashes
+            shown = w != MARKED
             cols = {"kind": w, "h": np.where(shown, h[p].view(np.int64), 0), "c": np.where(shown, c[p].view(np.int64), 0), "k": k[p], "t": t[p], "pos": pos[p].astype(np.int32), "m": m[p].astype(np.int32), "times": np.where(w == OPEN, times[p], 0), "entries": np.where(w == OPEN, entries[p], 0)}
             yield pa.RecordBatch.from_pydict(cols)
 
