@@ -81,6 +81,17 @@ def test_kept_bytes(docs, monkeypatch):
     assert esa.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_whose_32_bit_hashes_clash(spark):
+    sha = lambda x: hashlib.sha512(x.encode()).hexdigest()
+    a, b = (f"{i:08d}" + sha(str(i)) + sha(f"{i}x") for i in (148429, 177979))
+    wordy = lambda t: " ".join(t[i : i + 4] for i in range(0, len(t), 4))
+    d = spark.createDataFrame([(1, a), (1, b), (2, a)], "doc_id long, text string")
+    assert d.selectExpr("hash(text) AS h").distinct().count() == 1
+    assert sorted((r.doc_id, r.n_removed) for r in esa.drop_repeats(d).collect()) == [(1, 0), (1, 264), (2, 264)]
+    d = spark.createDataFrame([(0, wordy(a)), (1, wordy(a)), (1, wordy(b))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in debruijn.drop_repeats(d).collect()) == [(0, 0), (1, 0), (1, 66)]
+
+
 def test_cut_texts_keep_rows_and_columns(docs):
     out = esa.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)

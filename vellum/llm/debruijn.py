@@ -52,12 +52,12 @@ def first_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 which = np.repeat(np.arange(len(h)), m)
                 at = pos[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
                 edge = mix(Spans(v)(at, at + WORDS.width) ^ h[which].view(np.uint64)).view(np.int64)
-                for a, x in zip(out, (edge, np.full(len(which), ks[i]), np.full(len(which), ts[i], np.int32), at.astype(np.int32))):
+                for a, x in zip(out, (edge, np.full(len(which), ks[i]), np.full(len(which), ts[i]), at.astype(np.int32))):
                     a.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_pydict(dict(zip(("e", "k", "t", "pos"), map(np.concatenate, out))))
 
-    edges = sought.mapInArrow(expand, "e long, k long, t int, pos int")
+    edges = sought.mapInArrow(expand, "e long, k long, t long, pos int")
     earliest = edges.groupBy("e").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("e", "first")
     later = edges.join(earliest, "e").where("k > first").select("k", "t", "pos", F.lit(1).alias("n"))
     marks = whole.unionByName(later)

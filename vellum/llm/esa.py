@@ -118,19 +118,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
                     for f, col in zip(names, cols):
                         out[f].append(col)
                     out["k"].append(np.full(len(cols[0]), ks[i]))
-                    out["t"].append(np.full(len(cols[0]), ts[i], np.int32))
+                    out["t"].append(np.full(len(cols[0]), ts[i]))
                     out["x"] += [bytes(view[a : a + l]) for a, l in zip((off[i] + cols[4]).tolist(), (cols[5] - 1 + WIDTH).tolist())]
                 yield pa.RecordBatch.from_pydict({f: np.concatenate(v) if f != "x" else pa.array(v, pa.binary()) for f, v in out.items()})
 
-    found = sought.mapInArrow(contexts, "k long, t int, h long, c long, times long, entries long, pos int, m int, x binary")
+    found = sought.mapInArrow(contexts, "k long, t long, h long, c long, times long, entries long, pos int, m int, x binary")
 
     def anchor(x: bytes) -> int:
         v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
         return BYTES.place(v)
 
     fields = ("k", "t", "pos", "n")
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    schema = "k long, t int, pos int, n int"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    schema = "k long, t long, pos int, n int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -174,10 +174,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
             for h, c, times, k, t, pos, m, x in zip(*(col.to_pylist() for col in batch.columns)):
                 v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
                 j = np.arange(m)
-                full = {"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "k": np.full(m, k), "t": np.full(m, t, np.int32)}
+                full = {"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "k": np.full(m, k), "t": np.full(m, t)}
                 yield pa.RecordBatch.from_pydict(full | {"pos": (pos + j).astype(np.int32), "j": j.astype(np.int32), "e": mix(Spans(v)(j, j + WIDTH)).view(np.int64)})
 
-    large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").mapInArrow(strings, "h long, c long, times long, k long, t int, pos int, j int, e long")
+    large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").mapInArrow(strings, "h long, c long, times long, k long, t long, pos int, j int, e long")
     often = large.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
     hot = large.join(often, ["h", "e"])
     single = hot.where("times = 1").select("k", "t", "pos", F.lit(1).alias("n"))

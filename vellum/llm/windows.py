@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shared import BYTE_KEYS, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, sliding_argmin, stage, unpack_arrays, utf8, words
 
-ROW = "kind int, h long, c long, k long, t int, pos int, m int, times long, entries long"
+ROW = "kind int, h long, c long, k long, t long, pos int, m int, times long, entries long"
 #: Bytes of text whose runs are sorted at once.
 PORTION = 16 << 20
 #: Runs of one portion that must share an anchor hash before it is spread over all reducers.
@@ -85,11 +85,11 @@ WORDS = Unit("word", 13, 4)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
-    """``(k, t, x)``: an id that is never null, a hash that tells rows of one id apart, the text; with ``rest`` also the row."""
+    """``(k, t, x)``: an id that is never null, 64 bits of hash that tell rows of one id apart, the text; with ``rest`` also the row."""
     x = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     extra = [F.struct(F.col(text_col).isNull().alias("no text"), *others).alias("rest")] if rest else []
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.hash("x")).select("k", "t", "x", *["rest"] * rest)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.xxhash64("x")).select("k", "t", "x", *["rest"] * rest)
 
 
 def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
