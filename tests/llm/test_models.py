@@ -154,6 +154,16 @@ def test_planted_items_are_found_and_nothing_else(spark):
     assert leaks.leaks(d, b.limit(0)).count() == 0 and leaks.leaks(d.limit(0), b).count() == 0
 
 
+def test_items_under_a_gram_match_whole(spark, caplog):
+    items = [(1, "什么是光合作用?"), (2, "Who am I"), (3, "Who am I"), (4, "?!"), (None, "x-7")]
+    texts = [(1, "问：什么是光合作用？答"), (2, "什么是光合作用呢"), (3, "Say: WHO am  I? who am I"), (4, "who am in"), (5, "so who am"), (6, "i x 7"), (7, "x 7b"), (None, "x7"), (8, None)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    got = {tuple(r) for r in leaks.leaks(d, b).collect()}
+    assert got == {(1, 1, 2, 9, 0), *((3, i, s, e, 0) for i in (2, 3) for s, e in ((5, 14), (16, 24))), (6, None, 2, 5, 0)}
+    assert "1 benchmark items" in caplog.text
+    assert {r.doc_id for r in leaks.clean(d, b).collect()} == {2, 4, 5, 7, 8, None}
+
+
 def test_several_passes_find_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     b = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -7,12 +7,14 @@ position) of those lie at most e apart. So hits are counted in bands of 2 (e + 1
 half: the region's hits lie in one of them. Bands that reach the bound are aligned.
 
 Where q e would take the whole bound (items under about 60 characters), e is lowered so that one q-gram at least must
-be shared; items under ``Q`` characters can't be told from chance and never match.
+be shared. Items under ``Q`` characters match exactly, as a whole that no compared character adjoins. Items without
+a compared character can't match; their number is logged as a warning.
 """
 
 from __future__ import annotations
 
 import functools
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,10 +99,12 @@ class Bench:
     first: np.ndarray
     item: np.ndarray
     pos: np.ndarray
+    #: Items under q characters, by length and characters; they come after the others in ``ids`` and ``items``.
+    short: dict[int, dict[bytes, list[int]]]
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]], q: int = Q, error: float = ERROR) -> Bench:
-        ids, items = [], []
+        ids, items, small, lost = [], [], [], 0
         for i, text in rows:
             cps = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
             y = normal(cps, np.array([0, len(cps)]))[0]
@@ -109,6 +113,15 @@ class Bench:
             if len(y) >= q:
                 ids.append(i)
                 items.append(y)
+            elif len(y):
+                small.append((i, y))
+            else:
+                lost += 1
+        if lost:
+            logging.getLogger(__name__).warning("%d benchmark items have no letter or digit and can't be matched", lost)
+        short: dict[int, dict[bytes, list[int]]] = {}
+        for j, (_, y) in enumerate(small, len(items)):
+            short.setdefault(len(y), {}).setdefault(y.tobytes(), []).append(j)
         size = np.array([len(y) for y in items], np.int64)
         edits = np.minimum((error * size).astype(np.int64), (size - q) // q)
         bound = size - q + 1 - q * edits
@@ -120,10 +133,29 @@ class Bench:
         starts, ends = group_slices(h)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
-        return cls(ids, items, edits, bound, table, h[starts], np.append(starts, len(h)), item, pos)
+        return cls(ids + [i for i, _ in small], items + [y for _, y in small], edits, bound, table, h[starts], np.append(starts, len(h)), item, pos, short)
+
+    def whole(self, y: np.ndarray, off: np.ndarray):
+        """Where items under q characters stand on their own, as ``matches``."""
+        edge = np.ones(len(y) + 1, bool)  # between the characters before and at a position no word goes on
+        edge[1:-1] = (y[:-1] == 32) | (y[1:] == 32)
+        edge[off] = True
+        for n, items in self.short.items():
+            at = np.flatnonzero(edge[: max(0, len(y) - n + 1)] & edge[n:])
+            known = np.unique(np.concatenate([grams(np.frombuffer(b, y.dtype), n) for b in items]))
+            h = grams(y, n)[at]
+            at = at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+            doc = np.searchsorted(off, at, side="right") - 1
+            last: dict[int, tuple[int, int]] = {}
+            for d, a in zip(doc[at + n <= off[doc + 1]].tolist(), at[at + n <= off[doc + 1]].tolist()):
+                for i in items.get(y[a : a + n].tobytes(), ()):
+                    if last.get(i, (-1, 0))[0] != d or last[i][1] <= a:
+                        last[i] = d, a + n
+                        yield d, i, a, a + n, 0
 
     def matches(self, y: np.ndarray, off: np.ndarray, q: int = Q):
         """``(document, item, start, end, edits)`` of each leak, as positions in ``y``."""
+        yield from self.whole(y, off)
         h = grams(y, q)
         if not len(h) or not len(self.keys):
             return
