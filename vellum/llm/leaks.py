@@ -137,6 +137,8 @@ class Bench:
 
     def whole(self, y: np.ndarray, off: np.ndarray):
         """Where items under q characters stand on their own, as ``matches``."""
+        if not self.short:
+            return
         edge = np.ones(len(y) + 1, bool)  # between the characters before and at a position no word goes on
         edge[1:-1] = (y[:-1] == 32) | (y[1:] == 32)
         edge[off] = True
