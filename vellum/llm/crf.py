@@ -6,8 +6,10 @@ least ``MIN_DOCS`` toxic documents of the sample and almost only there. The fiel
 conditional likelihood. Forward-backward marginals of every word of every text aggregate to a score by a logistic
 regression fitted on documents that the field wasn't fitted on.
 
-Chains are runs of at most ``CHAIN`` consecutive words; a text is covered by its chains from first word to last. The
-sample is bounded: ``MAX_TRAIN`` labelled rows, half of each class, none above ``MAX_TEXT`` bytes.
+A text is one chain from first word to last. A long one is computed in blocks of ``BLOCK`` words side by side: the
+product of a block's transfer matrices carries the state over it, so blocks change nothing but the order of the sums.
+The sample is bounded: ``MAX_TRAIN`` labelled rows, half of each class, in the order of a hash, of ``MAX_BYTES`` bytes of text together;
+a row of any length can be drawn. The gradient is taken over pieces of ``PIECE`` words of these.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import chunks, over, prepare, utf8, words
+from vellum.llm.shared import chunks, column, fields, over, prepare, utf8, words
 
 MAX_TRAIN = 4000
-MAX_TEXT = 100_000
+MAX_BYTES = 64 << 20
 MIN_DOCS = 4
-CHAIN = 256
+BLOCK = 256
+PIECE = 64
 HASHED = 1 << 17
 MEMO = 300_000
 SUMMARY = 4
@@ -44,19 +47,48 @@ def features(word: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(p.encode()) & (HASHED - 1) for p in sorted(parts))
 
 
-def forward_backward(u: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float):
-    """Of chains padded to a (time, chain) array of emission log-odds: log-odds of the prefixes, of the suffixes."""
-    t_max = len(u)
-    e = np.exp(trans)
-    a, b = np.zeros_like(u), np.zeros_like(u)
-    a[0] = u[0] + start
-    for t in range(1, t_max):
-        x = np.exp(np.clip(a[t - 1], -30, 30))
-        a[t] = u[t] + np.log((e[0, 1] + x * e[1, 1]) / (e[0, 0] + x * e[1, 0]))
-    for t in range(t_max - 2, -1, -1):
-        x = np.exp(np.clip(u[t + 1] + b[t + 1], -30, 30))
-        b[t] = np.where(t + 1 < size, np.log((e[1, 0] + x * e[1, 1]) / (e[0, 0] + x * e[0, 1])), 0.0)
-    return a, b
+def recur(first: np.ndarray, emission: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Odds x[0] = first, x[t] = emission[t] (way01 + x way11) / (way00 + x way10), each kept in a range that doubles hold."""
+    out = np.empty_like(emission)
+    x = out[0] = np.clip(first, 1e-14, 1e14)
+    for t in range(1, len(emission)):
+        x = emission[t] * ((way[0, 1] + x * way[1, 1]) / (way[0, 0] + x * way[1, 0]))
+        np.clip(x, 1e-14, 1e14, out=x)
+        out[t] = x
+    return out
+
+
+def forward_backward(u: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float | np.ndarray, after: np.ndarray | float = 1.0):
+    """Of chains padded to a (time, chain) array of emission log-odds: log-odds of the prefixes, of the suffixes.
+
+    ``start`` is the log-odds of a chain's first state, ``after`` the odds that what follows its last word lends that word.
+    """
+    e, w = np.exp(trans), np.exp(np.clip(u, -30, 30))
+    a = recur(w[0] * np.exp(start), w, e)
+    # backwards in time each step takes the word's own emission in first; padding passes on what comes after
+    b = np.empty_like(w)
+    x = b[-1] = np.broadcast_to(np.asarray(after, float), w.shape[1:])
+    for t in range(len(u) - 2, -1, -1):
+        y = w[t + 1] * x
+        x = np.where(t + 1 < size, np.clip((e[1, 0] + y * e[1, 1]) / (e[0, 0] + y * e[0, 1]), 1e-14, 1e14), x)
+        b[t] = x
+    return np.log(a), np.log(b)
+
+
+def transfer(u: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Of full blocks, the matrices (blocks, 2, 2) that take what enters a block's first word to what enters the next block's."""
+    e, w = np.exp(trans), np.exp(np.clip(u, -30, 30))
+    m = np.zeros((2, 2, u.shape[1]))
+    m[0, 0] = m[1, 1] = 1
+    for x in w:
+        on = m[:, 1] * x
+        m = np.stack([m[:, 0] * e[0, 0] + on * e[1, 0], m[:, 0] * e[0, 1] + on * e[1, 1]], axis=1)
+        m /= m.max((0, 1))
+    return m.transpose(2, 0, 1)
+
+
+def odds(v: np.ndarray) -> np.ndarray:
+    return np.clip(v[:, 1] / v[:, 0], 1e-14, 1e14)
 
 
 def sigmoid(x):
@@ -88,15 +120,20 @@ class Field:
         """Probability of the toxic state of each word; ``lengths`` are the words of each text."""
         if not len(u):
             return np.zeros(0)
-        pieces = -(-lengths // CHAIN)
+        pieces = -(-lengths // BLOCK)
+        before = np.concatenate([[0], np.cumsum(pieces)])
         first = np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), pieces)
-        part = np.arange(len(first)) - np.repeat(np.concatenate([[0], np.cumsum(pieces)[:-1]]), pieces)
-        start = first + part * CHAIN
-        size = np.minimum(CHAIN, np.repeat(lengths, pieces) - part * CHAIN)
+        part = np.arange(len(first)) - np.repeat(before[:-1], pieces)
+        start = first + part * BLOCK
+        size = np.minimum(BLOCK, np.repeat(lengths, pieces) - part * BLOCK)
+        enter, after = np.full(len(first), np.exp(self.start)), np.ones(len(first))
+        long = np.flatnonzero(pieces > 1)
+        if len(long):
+            self.join(u, start, size, before[long], before[long + 1], enter, after)
         out = np.empty(len(u))
         order = np.argsort(size, kind="stable")
         lo = 0
-        while lo < len(order):  # chains of similar length together
+        while lo < len(order):  # blocks of similar length together
             top = max(8, int(size[order[lo]] * 1.5))
             hi = int(np.searchsorted(size[order], top, side="right"))
             at = order[lo:hi]
@@ -104,11 +141,36 @@ class Field:
             steps = np.arange(int(n.max()))[:, None]
             real = steps < n
             where = np.minimum(s + steps, len(u) - 1)
-            a, b = forward_backward(np.where(real, u[where], 0.0), n, self.trans, self.start)
+            a, b = forward_backward(np.where(real, u[where], 0.0), n, self.trans, np.log(enter[at]), after[at])
             out[where[real]] = sigmoid((a + b)[real])
             lo = hi
         return out
 
+    def join(self, u: np.ndarray, start: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, enter: np.ndarray, after: np.ndarray) -> None:
+        """Sets the odds that enter each block, and that follow it, of the texts of blocks ``low`` .. ``high`` - 1."""
+        e, n = np.exp(self.trans), high - low
+        inner = np.concatenate([np.arange(a, b - 1) for a, b in zip(low, high)])  # all but a text's last block are full
+        product = np.empty((len(start), 2, 2))
+        for lo in range(0, len(inner), 4096):
+            at = inner[lo : lo + 4096]
+            product[at] = transfer(u[start[at] + np.arange(BLOCK)[:, None]], self.trans)
+        v = np.tile([1.0, np.exp(self.start)], (len(low), 1))
+        for j in range(int(n.max()) - 1):
+            on = n > j + 1
+            v[on] = np.einsum("ni,nij->nj", v[on], product[low[on] + j])
+            v[on] /= v[on].max(1, keepdims=True)
+            enter[low[on] + j + 1] = odds(v[on])
+        at = high - 1
+        steps = np.arange(BLOCK)[:, None]
+        tail = np.where(steps < size[at], u[np.minimum(start[at] + steps, len(u) - 1)], 0.0)
+        s = np.stack([np.ones(len(at)), np.exp(np.clip(tail[0] + forward_backward(tail, size[at], self.trans, 0.0)[1][0], -30, 30))], 1)
+        for j in range(int(n.max()) - 1):
+            on = n > j + 1
+            at = high[on] - 2 - j
+            after[at] = odds(s[on] @ e.T)
+            s[on] = np.einsum("nij,nj->ni", product[at], s[on])
+            s[on] /= s[on].max(1, keepdims=True)
+
     def summary(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Expected toxic words, the most certain one, their share, and a constant, of each text."""
         out = np.zeros((len(lengths), SUMMARY))
@@ -148,7 +210,7 @@ def train(docs: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: flo
     if not docs or len(set(toxic.tolist())) < 2:
         return model
     labels = token_labels(used, toxic[half])
-    chains = [(ws[i : i + 64], y[i : i + 64]) for ws, y in zip(used, labels) for i in range(0, len(ws), 64)]
+    chains = [(ws[i : i + PIECE], y[i : i + PIECE]) for ws, y in zip(used, labels) for i in range(0, len(ws), PIECE)]
     cache = {w: features(w) for w in {w for ws, _ in chains for w in ws}}
     rng = np.random.default_rng(3)
     quiet = [c for c in chains if not c[1].any()]
@@ -212,14 +274,21 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     Where only one class has rows, or none, the field knows no toxic word and every text scores low. Only the drawn
     labels (a bounded number) meet the documents, so no text is shuffled.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
+    known = labels.where(column(label_col).isin(0, 1) & column(id_col).isNotNull()).select(column(id_col).alias("k"), column(label_col).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    draw = F.pmod(F.xxhash64("k", F.lit(13)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("k", F.lit(13)), F.lit(1 << 20))
     each = max_train // 2
     share = F.when(F.col("y") == 1, min(1.0, each / max(1, counts.get(1, 0)))).otherwise(min(1.0, each / max(1, counts.get(0, 0))))
-    picked = known.where(draw < share).limit(max_train + max_train // 4)
-    texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_TEXT)).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    got = sorted(map(tuple, texts.join(F.broadcast(picked), "k").select("y", F.xxhash64("k"), "t").limit(2 * max_train).collect()))
+    # repeated rows draw alike; they are ordered to the last column, so that a bounded number of them is the same in every run
+    picked = known.where(draw < share * float(1 << 20)).orderBy(draw, "k", "y").limit(max_train + max_train // 4)
+    texts = docs.where(column(text_col).isNotNull()).select(column(id_col).alias("k"), column(text_col).alias("t"))
+    drawn = texts.join(F.broadcast(picked.distinct()), "k").select("y", F.xxhash64("k", "t").alias("h"), F.octet_length("t").cast("long").alias("n"), "t")
+    most = 2 * max_train
+    sizes = sorted((r.h, r.n) for r in drawn.select("h", "n").orderBy("h", "n").limit(most).collect())
+    fits = int(np.searchsorted(np.cumsum([n for _, n in sizes]), MAX_BYTES, side="right"))
+    if fits < len(sizes):  # the rows that come first, up to the one that would pass the bound
+        drawn = drawn.where(F.col("h") < sizes[fits][0])
+    got = sorted(map(tuple, drawn.select("y", "h", "t").orderBy("h", "y", "t").limit(most).collect()))
     got = [got[i] for i in np.random.default_rng(1).permutation(len(got))]
     return train([g[2].encode("utf-8", "replace").split() for g in got], np.array([g[0] for g in got], int))
 
@@ -232,7 +301,7 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", spans: bool = Fal
     """
     added = ["score", "predicted"] + ["spans"] * spans
     kept = [f for f in docs.schema if f.name not in added]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int" + ", spans array<struct<start:long,end:long,p:double>>" * spans
+    schema = fields(docs.schema, added) + ", score double, predicted int" + ", spans array<struct<start:long,end:long,p:double>>" * spans
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,4 +321,4 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", spans: bool = Fal
                 out["spans"] = [[{"start": int(starts[k] - off[lo + i]), "end": int(ends[k] - off[lo + i]), "p": float(p[k])} for k in np.flatnonzero(p[x:y] >= threshold) + x] for i, (x, y) in enumerate(zip(before[:-1].tolist(), before[1:].tolist()))]
             yield out
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(over(schema, work, lambda: shared.value.memo.clear()), schema)
+    return docs.select(*(column(f.name) for f in kept)).mapInArrow(over(schema, work, lambda: shared.value.memo.clear()), schema)

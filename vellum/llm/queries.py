@@ -76,7 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out("doc_id", 5, 0)))
-    return tag(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+    return tag(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, spans=True).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
