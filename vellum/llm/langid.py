@@ -4,8 +4,7 @@ Features: characters are lower-cased, everything that isn't a letter becomes a s
 one of ``BUCKETS`` of its length. The term frequency is the share of the text's n-grams; document frequencies
 are counted over every row that may be learned from, in Spark. The weights are fitted on the driver by
 follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows
-(``MAX_TRAIN`` rows, the same share of each language, of ``MAX_FEATURES`` most frequent features each), and a
-temperature fitted on a fifth of the sample that the weights never saw calibrates the probabilities.
+(``MAX_TRAIN`` rows, the same number of each language, with all their features), and a temperature fitted on a fifth of the sample that the weights never saw calibrates the probabilities.
 
 Every text is scored whole, in one pass without a shuffle.
 """
@@ -20,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import chunks, over, prepare, utf8
+from vellum.llm.shared import chunks, column, fields, over, prepare, task, utf8
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SIZE = BUCKETS * len(ORDERS)
 MAX_TRAIN = 3200
-MAX_FEATURES = 4096
+#: Planes 4 to 13 are unassigned, 14 holds no letter and 15 and 16 are private.
+PLANES = 0x40000
 UNKNOWN = "und"
 SPACE = 32
 SCALE = 100.0  # term shares are small; this only moves the learning rate
@@ -36,7 +36,7 @@ SCALE = 100.0  # term shares are small; this only moves the learning rate
 def letters() -> np.ndarray:
     """The lower case of each code point that is a letter, else a space."""
     table = np.full(0x110000, SPACE, np.uint32)
-    for c in range(0x32000):
+    for c in range(PLANES):
         s = chr(c)
         if s.isalpha():
             table[c] = ord(s.lower()[0])
@@ -80,6 +80,7 @@ def gram_counts(lengths: np.ndarray) -> np.ndarray:
 def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
     """Sum of int64 vectors, one a row in ``v``, added up on the executors in levels of 64 until few are left."""
 
+    @task
     def add(batch_iter):
         total = None
         for batch in batch_iter:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     share = F.lit(0.0)
     for lab in labels:
         share = F.when(F.col(label_col) == lab, min(1.0, each / counts[lab])).otherwise(share)
-    draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(11)), F.lit(1 << 20))
 
     def features(batch: pa.RecordBatch):
         data, off = utf8(batch.column(0))
@@ -202,15 +203,16 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
             if len(cps):
                 b = np.concatenate(grams(cps, coff))
                 at, c = np.unique(b[b < SIZE], return_counts=True)
-                top = np.sort(np.argsort(-c, kind="stable")[:MAX_FEATURES])
                 out["label"].append(lab)
-                out["at"].append(at[top].astype(np.int32).tobytes())
-                out["count"].append(c[top].astype(np.int32).tobytes())
+                out["at"].append(at.astype(np.int32).tobytes())
+                out["count"].append(c.astype(np.int32).tobytes())
                 out["total"].append(int(gram_counts(np.diff(coff))[0]))
         yield out
 
     schema = "label string, at binary, count binary, total long"
-    sample = rows.where(draw < share).select(text_col, F.col(label_col).cast("string")).limit(2 * each * len(labels))
+    lab = F.col(label_col).cast("string")
+    # copies of a row draw alike, so the order is settled to the text and a run repeats exactly
+    sample = rows.where(draw < share * float(1 << 20)).select(column(text_col).alias("t"), lab.alias("lab"), draw.alias("draw")).orderBy("draw", "lab", "t").limit(2 * each * len(labels)).select("t", "lab")
     got = sorted(map(tuple, sample.mapInArrow(over(schema, features), schema).collect()))
     xs = [(at := np.frombuffer(a, np.int32), SCALE * np.frombuffer(c, np.int32) / t * idf[at]) for _, a, c, t in got]
     names = [str(x) for x in labels]
@@ -246,8 +248,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Null text, empty text and text without a letter are ``und`` with score 0. Columns of those two names are
     replaced; all others, of whatever name, pass through. Repeated rows are predicted alike.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "lang_score")) + ", lang_pred string, lang_score double"
-    kept = [f.name for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
+    added = ("lang_pred", "lang_score")
+    schema = fields(docs.schema, added) + ", lang_pred string, lang_score double"
+    kept = [f.name for f in docs.schema if f.name not in added]
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -261,7 +264,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             part = batch.slice(lo, hi - lo)
             yield {n: part.column(i) for i, n in enumerate(part.schema.names)} | {"lang_pred": names[best].tolist(), "lang_score": np.where(lettered, p.max(1), 0.0)}
 
-    return docs.select(*[f"`{n}`" for n in kept]).mapInArrow(over(schema, work), schema)
+    return docs.select(*map(column, kept)).mapInArrow(over(schema, work), schema)
 
 
 def held_out(id_col: str, folds: int, fold: int):

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.langid import codepoints
-from vellum.llm.shared import BASE, U64, chunks, group_slices, mix, over, prepare, ragged, rolling, utf8
+from vellum.llm.langid import PLANES, codepoints
+from vellum.llm.shared import BASE, U64, chunks, group_slices, mix, over, prepare, ragged, rolling, task, utf8
 
 Q = 12
 ERROR = 0.05
@@ -36,7 +36,7 @@ TABLE_BITS = 20
 def shown() -> np.ndarray:
     """The lower case of each code point that is a letter or digit, else 0."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x32000):
+    for c in range(PLANES):
         if (s := chr(c)).isalnum():
             table[c] = ord(s.lower()[0])
     return table
@@ -243,6 +243,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_te
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k).collect()
         shared = spark.sparkContext.broadcast(Bench.of(sorted((None, r.t) for r in rows)))
 
+        @task
         def work(batches, shared=shared):
             bench = shared.value
             for batch in batches:
