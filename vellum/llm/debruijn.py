@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import Spans, mix, partitions, stage, utf8
+from vellum.llm.shared import Spans, mix, partitions, stage, task, utf8
 from vellum.llm.windows import MARKED, OPEN, SPREAD, WORDS, covered_rows, keyed, own_id, shared_runs
 
 
@@ -41,6 +41,7 @@ def first_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = branching.groupBy("k", "t").agg(F.collect_list(F.struct("h", "pos", "m")).alias("want"))
     sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "t", "x", "want.h", "want.pos", "want.m")
 
+    @task
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(2))

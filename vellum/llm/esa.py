@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import Spans, mix, partitions, stage, utf8
+from vellum.llm.shared import Spans, fields, mix, partitions, stage, task, utf8
 from vellum.llm.windows import BYTES, MARKED, NULL_ID, OPEN, SPREAD, covered_rows, keyed, own_id, shared_runs
 
 BUCKET = 2000
@@ -107,6 +107,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
     # all columns of the rows are kept, so that one exchange serves here and for the result
     sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "t", "x", *(f"want.{f}" for f in names), *["rest"] * rest)
 
+    @task
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(2))
@@ -128,10 +129,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
         v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
         return BYTES.place(v)
 
-    fields = ("k", "t", "pos", "n")
+    named = ("k", "t", "pos", "n")
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     schema = "k long, t long, pos int, n int"
 
+    @task
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         bucket: list[tuple] = []
@@ -151,7 +153,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
                     out.extend((k, t, pos + first, end - first + 1) for first, end, _ in union(got))
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(fields))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(named))
 
         for batch in batches:
             for h, *entry in zip(*(c.to_pylist() for c in batch.columns)):
@@ -169,6 +171,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
 
     small = found.where(F.col("entries") <= BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(scan, schema)
 
+    @task
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, c, times, k, t, pos, m, x in zip(*(col.to_pylist() for col in batch.columns)):
@@ -223,6 +226,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stage(pieces(docs, id_col, text_col), "stretches")
     distinct = found.groupBy("u").agg(F.count("*").alias("times"), F.first("x").alias("x"))
 
+    @task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for u, times, x in zip(*(c.to_pylist() for c in batch.columns)):
@@ -238,6 +242,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = entries.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h")
     buckets = entries.join(shared, "h").repartition(n, "h").sortWithinPartitions("h", "u", "begin")
 
+    @task
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bucket = None, []
 
@@ -313,7 +318,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts stay null; a text that is repeated throughout is empty afterwards.
     """
     rows, marks = repeats(docs, id_col, text_col, rest=True)
-    schema = f"kept string, rest {rows.schema['rest'].dataType.simpleString().replace('no text', '`no text`')}"
+    schema = "kept string, " + fields(rows.select("rest").schema)
 
     def finish(batch, data, off, spans):
         view = memoryview(data)
@@ -321,5 +326,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(4)], ["kept", "rest"])
 
     out = covered_rows(rows, marks, BYTES, schema, finish)
-    text = F.when(F.col("rest.`no text`"), F.lit(None)).otherwise(F.col("kept"))
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    text = F.when(F.col("rest.missing"), F.lit(None)).otherwise(F.col("kept"))
+    return out.select(*(text.alias(c) if c == text_col else F.col("rest.row").getField(c).alias(c) for c in docs.columns))

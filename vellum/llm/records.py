@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import Words
-from vellum.llm.shared import chunks, over, partitions, stage, utf8, work_path
+from vellum.llm.shared import chunks, over, partitions, stage, task, utf8, work_path
 
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BqB")
@@ -147,6 +147,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     spark = docs.sparkSession
     n = partitions(spark)
 
+    @task
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, no = encoder(tokenizer), TaskContext.get().partitionId()
         path = f"{folder}/part-{no:07d}-{uuid.uuid4().hex}.rec"

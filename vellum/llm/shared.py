@@ -6,12 +6,16 @@ documents' offsets, and every per-byte or per-word step is a numpy pass over a c
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from vellum.sources.folders import work_path
 
@@ -23,14 +27,63 @@ CHUNK_BYTES = 1 << 18
 # The cluster:
 #: Rows that go to Python at once; texts are long, and an executor has several workers beside its heap.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where the default keeps them for the worker
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # arrays of a megabyte and more are mapped on their own, so that freeing them frees memory
+    _libc.mallopt(-8, 2)  # few arenas
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def give_back() -> None:
+    """Freed memory back to the system: a worker outlives its task, and several wait beside an executor's heap."""
+    gc.collect()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def task(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that leaves no freed memory with the worker when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Arrow batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most; a longer row is a batch of its own."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
+def fields(schema: StructType, leave: Iterable[str] = ()) -> str:
+    """The fields of ``schema`` but some, as a schema string; any name and nested names can be there."""
+
+    def kind(t: DataType) -> str:
+        if isinstance(t, StructType):
+            return f"struct<{', '.join(f'{name(f.name)}: {kind(f.dataType)}' for f in t)}>"
+        if isinstance(t, ArrayType):
+            return f"array<{kind(t.elementType)}>"
+        if isinstance(t, MapType):
+            return f"map<{kind(t.keyType)}, {kind(t.valueType)}>"
+        return t.simpleString()
+
+    def name(n: str) -> str:
+        return "`" + n.replace("`", "``") + "`"
+
+    left_out = set(leave)
+    return ", ".join(f"{name(f.name)} {kind(f.dataType)}" for f in schema if f.name not in left_out)
+
+
+def column(name: str):
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -220,6 +273,7 @@ def over(spark_schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], af
         for columns in (c for batch in batches for c in work(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
         after()
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from vellum.llm.components import components
-from vellum.llm.shared import BYTE_KEYS, LOWER, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, stage, unpack_arrays, utf8, words
+from vellum.llm.shared import BYTE_KEYS, LOWER, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, stage, task, unpack_arrays, utf8, words
 
 SHINGLE = 3
 BITS = 1024
@@ -158,6 +158,7 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
     keys = partition_keys(parts)
     many = FREQUENT
 
+    @task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
@@ -210,6 +211,7 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
         n, none = len(to), lambda: pa.nulls(len(to), pa.int64())
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(n, kind, np.int32)), "k": none(), "cls": none(), "n": none(), "to": pa.array(to, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
+    @task
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
         for batch in batches:
@@ -276,6 +278,7 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
         table = docs.sparkSession.sparkContext.broadcast((np.array([p[0] for p in pairs], np.int64).view(U64), np.array([p[1] for p in pairs], np.int64)))
     # with more spread shingles than are broadcast, all of them keep one frequency above all others: an order too
 
+    @task
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
@@ -355,6 +358,7 @@ def rooted(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataF
     second = near.join(pairs.where("NOT same"), (near.root == pairs.root) & (near.level == pairs.l2) & (near.block == pairs.b2)).select("task", F.lit(1).alias("side"), "same", "cls", "n", "weight", "tokens")
     tasks = first.unionByName(second).repartition(partitions(spark), "task").sortWithinPartitions("task", "side")
 
+    @task
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: list[list[Item]] = [[], []]
         last, one = None, False
@@ -407,6 +411,7 @@ def rooted(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataF
 def with_classes(docs: DataFrame, text_col: str) -> DataFrame:
     """``(cls, n, row)``: the class and number of shingles of each row, and the row."""
 
+    @task
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(0))

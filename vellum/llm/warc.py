@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.records import open_uri
-from vellum.llm.shared import over, stage, work_path
+from vellum.llm.shared import over, stage, task, work_path
 
 MIN_REVISIT = 100
 VERSION = b"WARC/1.1\r\n"
@@ -161,6 +161,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     marked = rows.join(F.broadcast(first) if small else first.hint("shuffle_hash"), "d", "left")
     marked = marked.select("k", "u", "p", F.when(F.col("k") > F.col("first"), F.col("first")).alias("ref"))
 
+    @task
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/pages-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.warc.gz"
         out, n, size = None, 0, 0

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import BYTE_KEYS, U64, Spans, chunks, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, sliding_argmin, stage, unpack_arrays, utf8, words
+from vellum.llm.shared import BYTE_KEYS, U64, Spans, chunks, column, group_slices, mix, pack_arrays, partition_keys, partitions, rolling, sliding_argmin, stage, task, unpack_arrays, utf8, words
 
 ROW = "kind int, h long, c long, k long, t long, pos int, m int, times long, entries long"
 #: Bytes of text whose runs are sorted at once.
@@ -86,10 +86,10 @@ WORDS = Unit("word", 13, 4)
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
     """``(k, t, x)``: an id that is never null, 64 bits of hash that tell rows of one id apart, the text; with ``rest`` also the row."""
-    x = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    extra = [F.struct(F.col(text_col).isNull().alias("no text"), *others).alias("rest")] if rest else []
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.xxhash64("x")).select("k", "t", "x", *["rest"] * rest)
+    x = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    others = [column(c) for c in docs.columns if c != text_col]
+    extra = [F.struct(column(text_col).isNull().alias("missing"), F.struct(*others).alias("row")).alias("rest")] if rest else []
+    return docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), x.alias("x"), *extra).withColumn("t", F.xxhash64("x")).select("k", "t", "x", *["rest"] * rest)
 
 
 def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
@@ -107,6 +107,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
     keys = partition_keys(n)
     many = FREQUENT
 
+    @task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, all_off = utf8(batch.column(2))
@@ -141,6 +142,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
             out["blob"].append(pack_arrays(np.diff(h[at], prepend=U64(0)), c[at], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), pos[at].astype(np.uint32), m[at].astype(np.uint8), flag[at], np.diff(k[used], prepend=0), t[used]))
         yield pa.RecordBatch.from_pydict({"to": pa.array(out["to"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
+    @task
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
@@ -214,6 +216,7 @@ def covered_rows(rows: DataFrame, marks: DataFrame, unit: Unit, schema: str, fin
     lists = marks.groupBy("k", "t").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
     joined = rows.join(lists.hint("shuffle_hash"), ["k", "t"], "left").select("k", "x", "marks.pos", "marks.n", *rest)
 
+    @task
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
