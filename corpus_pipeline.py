@@ -27,8 +27,8 @@ CERTAIN = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told; null and empty texts are among them."""
     model = langid.fit(docs.where(~langid.held_out("doc_id", 4, 2)))
-    told = langid.identify(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= CERTAIN)).drop("lang_pred", "lang_score")
+    told = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model)  # the row's own columns may have any name
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= CERTAIN)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
