@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from vellum.llm.shared import chunks, over, prepare, utf8
 
 #: Words remembered by one worker before it starts afresh.
-MEMO = 200_000
+MEMO = 150_000
 END = "\n"  # stands for the word-end suffix
 
 

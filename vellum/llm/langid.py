@@ -81,9 +81,9 @@ def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
     """Sum of int64 vectors, one a row in ``v``, added up on the executors in levels of 64 until few are left."""
 
     @task
-    def add(batch_iter):
+    def add(batches):
         total = None
-        for batch in batch_iter:
+        for batch in batches:
             for raw in batch.column(0).to_pylist():
                 v = np.frombuffer(raw, np.int64)
                 total = v.copy() if total is None else total + v
@@ -91,7 +91,6 @@ def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
 
     n = parts.rdd.getNumPartitions()
-    parts = parts.mapInArrow(add, "v binary")
     while n > 64:
         n = -(-n // 64)
         parts = parts.repartition(n).mapInArrow(add, "v binary")
@@ -102,24 +101,27 @@ def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of the texts each bucket occurs, and how many texts there are; over all rows."""
+    """In how many of the texts each bucket occurs, and how many texts there are; over all rows, one vector for each task."""
 
-    def work(batch: pa.RecordBatch):
-        data, off = utf8(batch.column(0))
+    @task
+    def work(batches):
         total = np.zeros(SIZE + 1, np.int64)
-        for lo, hi in chunks(off):
-            cps, coff = codepoints(data, off[lo : hi + 1])
-            if not len(cps):
-                continue
-            seen = np.zeros((hi - lo, SIZE + 1), bool)
-            owner = np.repeat(np.arange(hi - lo), np.diff(coff))
-            for b in grams(cps, coff):
-                seen[owner, b] = True
-            total += seen.sum(0)
-        total[SIZE] = len(off) - 1
-        yield {"v": [total.tobytes()]}
-
-    total = sum_vectors(texts.mapInArrow(over("v binary", work), "v binary"), SIZE + 1)
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            n = len(off) - 1
+            for lo, hi in chunks(off, rows=256):
+                cps, coff = codepoints(data, off[lo : hi + 1])
+                if not len(cps):
+                    continue
+                seen = np.zeros((hi - lo, SIZE + 1), bool)
+                owner = np.repeat(np.arange(hi - lo), np.diff(coff))
+                for b in grams(cps, coff):
+                    seen[owner, b] = True
+                total[:SIZE] += seen[:, :SIZE].sum(0)
+            total[SIZE] += n
+        yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    total = sum_vectors(texts.mapInArrow(work, "v binary"), SIZE + 1)
     return total[:SIZE], int(total[SIZE])
 
 

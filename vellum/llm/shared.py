@@ -31,7 +31,6 @@ BATCH_BYTES = 16 << 20
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where the default keeps them for the worker
 try:
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)  # arrays of a megabyte and more are mapped on their own, so that freeing them frees memory
     _libc.mallopt(-8, 2)  # few arenas
 except (OSError, AttributeError):  # another C library
     _libc = None
@@ -111,11 +110,11 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off.astype(np.int64)
 
 
-def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive documents of about ``limit`` bytes, one document at least."""
+def chunks(off: np.ndarray, limit: int = CHUNK_BYTES, rows: int = BATCH_ROWS) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive documents of about ``limit`` bytes and ``rows`` rows at most, one document at least."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1))
         yield lo, min(hi, n)
         lo = min(hi, n)
 
