@@ -6,14 +6,17 @@ A document's set is its distinct word shingles. Documents of equal sets are one
 1. Shingles are packed by hash to the reducers, which find those of more than one class and their number of classes.
    A shingle that is frequent within a batch already is spread over all reducers, and only its count goes to the
    reducer of its hash.
-2. A class can only link if the threshold's share of its set is shared at all, and with classes that it has one of its
-   rarest shingles in common with: the first ``n - ceil(t n) + 1`` in order of frequency. Classes that have
-   such a shingle in common are put together (connected components), which loses no link.
-3. Each such group is cut by size into levels, whose sizes differ by the threshold's ratio at most, so links run
-   within a level or to the next, and levels into blocks of about ``BLOCK`` classes. For each pair of
-   blocks a tree is built over either: its nodes hold OR- and AND-combined bitmaps of shingles and size ranges. A dual
-   traversal drops a pair of nodes when the largest overlap that bitmaps and sizes allow is below the smallest
-   one a link needs; pairs of leaves are verified on the whole sets.
+2. A class can only link if the threshold's share of its set is shared at all. Of such a class only its shared
+   shingles and its size matter to any overlap, so classes alike in both are one item; the members of an item link
+   among each other or not at all, as its sizes say.
+3. Items only link that have one of their rarest shingles in common: the first ``n - ceil(t n) + 1`` in order
+   of frequency. Items that have such a shingle in common are put together (connected components), which loses no link.
+4. Each such group is cut by size into levels, whose sizes differ by the threshold's ratio at most, so links run
+   within a level or to the next, and levels into blocks of about ``BLOCK`` items: by the place of the least
+   shingle, and a place that holds more of them by a hash of the item. Pairs of blocks that have one of the rarest shingles in common
+   are a task each: a tree is built over either, its nodes hold OR- and AND-combined bitmaps of shingles and size
+   ranges. A dual traversal drops a pair of nodes when the largest overlap that bitmaps and sizes allow is below
+   the smallest one a link needs; pairs of leaves are verified on the whole sets.
 
 Counts of links are weighted with the classes' documents, so copies aren't expanded into pairs.
 """
@@ -153,7 +156,7 @@ FOUND = "kind int, k long, cls long, n long, to int, blob binary"
 
 
 def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(k, cls, n)`` of each row, and ``(cls, n, tokens, first)`` of each class that may link."""
+    """``(k, cls, n)`` of each row, and ``(cls, n, tokens, first, place)`` of each class that may link."""
     parts = partitions(docs.sparkSession)
     keys = partition_keys(parts)
     many = FREQUENT
@@ -302,17 +305,19 @@ def classes_and_candidates(docs: DataFrame, threshold: int, id_col: str, text_co
         size = n[starts].astype(np.int64)
         least = -(-threshold * size // 100)
         prefix = (size - least + 1) - (size - (ends - starts))
-        out: dict[str, list] = {"cls": [], "n": [], "tokens": [], "first": []}
+        out: dict[str, list] = {"cls": [], "n": [], "tokens": [], "first": [], "place": []}
         for i in np.flatnonzero((ends - starts >= least) & (prefix > 0)).tolist():
             mine = t[starts[i] : ends[i]]
             out["cls"].append(int(cls[starts[i]].view(np.int64)))
             out["n"].append(int(size[i]))
             out["tokens"].append(mine.tobytes())
             out["first"].append(mine[: prefix[i]].view(np.int64))
+            # where the least of so many shingles stands among all, made uniform
+            out["place"].append(float(1 - (1 - int(mine.min()) / 2.0**64) ** len(mine)))
         if out["cls"]:
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(out["cls"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "first": pa.array(out["first"], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(out["cls"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "first": pa.array(out["first"], pa.list_(pa.int64())), "place": pa.array(out["place"], pa.float64())})
 
-    schema = "cls long, n long, tokens binary, first array<long>"
+    schema = "cls long, n long, tokens binary, first array<long>, place double"
     candidates = found.where("kind = 2").select("to", "blob").repartition(parts, "to").mapInArrow(gather, schema)
     return member, stage(candidates, "candidates")
 
@@ -334,26 +339,40 @@ def rooted(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataF
     member, candidates = classes_and_candidates(docs, threshold, id_col, text_col)
     classes = member.where("n > 0").groupBy("cls").agg(F.count("*").alias("weight"), F.min("k").alias("least"))
 
-    index = candidates.select("cls", F.explode("first").alias("t"))
+    # classes alike in size and shared shingles are one item, named by its least class
+    shown = candidates.select("cls", "n", F.md5("tokens").alias("s"), (F.octet_length("tokens") / 8).cast("long").alias("m"))
+    of_class = shown.join(classes.select("cls", "weight"), "cls")
+    item = stage(of_class.groupBy("s", "n").agg(F.min("cls").alias("item"), F.sum("weight").alias("total"), F.count("*").alias("members")), "items")
+    shared = item.where("members > 1")
+    alike = stage(of_class.join(shared, ["s", "n"]).select("cls", "item", "total", "weight", F.expr(f"100 * m >= {threshold} * (2 * n - m)").alias("linked")), "alike")
+    items = candidates.join(item.select(F.col("item").alias("cls"), F.col("total").alias("weight")), "cls")
+
+    index = items.select("cls", F.explode("first").alias("t"))
     heads = index.groupBy("t").agg(F.min("cls").alias("head"), F.count("*").alias("c")).where("c > 1")
     edges = index.join(heads, "t").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     group = stage(components(edges), "groups")
 
     ratio = math.log(100 / threshold) if threshold < 100 else 1e-9
-    near = candidates.drop("first").join(group.withColumnRenamed("node", "cls"), "cls").join(classes.drop("least"), "cls")
+    near = items.drop("first").join(group.withColumnRenamed("node", "cls"), "cls")
     near = near.withColumn("level", F.floor(F.log("n") / ratio + 1e-9).cast("int") if threshold < 100 else F.col("n").cast("int"))
-    sizes = near.groupBy("root", "level").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    # the place of the least shingle among all, made uniform: similar classes tend to fall in one block
-    least = F.udf(lambda b: float(1 - (1 - int(np.frombuffer(b, np.uint64).min()) / 2.0**64) ** (len(b) // 8)), "double")
-    near = near.join(sizes, ["root", "level"]).withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.least(F.floor(least("tokens") * F.col("blocks")).cast("int"), F.col("blocks") - 1)))
-    near = stage(near.select("cls", "n", "weight", "tokens", "root", "level", "block"), "near")
-
-    # pairs of blocks of one group: of one level, or of a level and the next
-    nodes = near.groupBy("root", "level", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    right = nodes.select("root", F.col("level").alias("l2"), F.col("block").alias("b2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = nodes.join(right, "root").where("(l2 = level AND b2 >= block) OR l2 = level + 1").where(F.col("high") * 100 >= F.col("low2") * threshold)
-    pairs = pairs.select("root", F.col("level").alias("l1"), F.col("block").alias("b1"), "l2", "b2")
-    pairs = pairs.withColumn("task", F.xxhash64("root", "l1", "b1", "l2", "b2")).withColumn("same", F.expr("l1 = l2 AND b1 = b2"))
+    sizes = near.groupBy("root", "level").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c")
+    near = near.join(sizes, ["root", "level"]).withColumn("slot", F.least(F.floor(F.col("place") * F.col("blocks")), F.col("blocks") - 1).cast("long"))
+    near = stage(near.select("cls", "n", "weight", "tokens", "root", "level", "slot"), "near")
+    # similar items fall in one slot; a slot of too many is split
+    full = near.groupBy("root", "level", "slot").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("cls"), F.col("parts")), F.lit(0))
+    near = near.join(full, ["root", "level", "slot"], "left").withColumn("block", F.col("slot") * (1 << 20) + part).drop("slot", "parts")
+
+    # pairs of blocks of one level, or of a level and the next
+    nodes = stage(near.groupBy("root", "level", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    several = nodes.groupBy("root").count().where("count > 1").select("root")
+    reached = candidates.select("cls", "first").join(near.join(several, "root", "left_semi").select("cls", "root", "level", "block"), "cls")
+    reached = reached.select("root", "level", "block", F.explode("first").alias("t")).distinct().join(nodes, ["root", "level", "block"])
+    right = reached.select("root", "t", F.col("level").alias("l2"), F.col("block").alias("b2"), F.col("low").alias("low2"))
+    pairs = reached.join(right, ["root", "t"]).where("(l2 = level AND b2 > block) OR l2 = level + 1").where(F.col("high") * 100 >= F.col("low2") * threshold)
+    pairs = pairs.select("root", F.col("level").alias("l1"), F.col("block").alias("b1"), "l2", "b2").distinct()
+    pairs = pairs.unionByName(nodes.select("root", F.col("level").alias("l1"), F.col("block").alias("b1"), F.col("level").alias("l2"), F.col("block").alias("b2")))
+    pairs = stage(pairs.withColumn("task", F.xxhash64("root", "l1", "b1", "l2", "b2")).withColumn("same", F.expr("l1 = l2 AND b1 = b2")), "pairs")
     first = near.join(pairs, (near.root == pairs.root) & (near.level == pairs.l1) & (near.block == pairs.b1)).select("task", F.lit(0).alias("side"), "same", "cls", "n", "weight", "tokens")
     second = near.join(pairs.where("NOT same"), (near.root == pairs.root) & (near.level == pairs.l2) & (near.block == pairs.b2)).select("task", F.lit(1).alias("side"), "same", "cls", "n", "weight", "tokens")
     tasks = first.unionByName(second).repartition(partitions(spark), "task").sortWithinPartitions("task", "side")
@@ -392,9 +411,14 @@ def rooted(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_pydict(got)
 
     linked = stage(tasks.mapInArrow(verify, "cls long, links long, head long"), "links")
-    reach = components(linked.select(F.col("cls").alias("a"), F.col("head").alias("b")))
+    per_item = stage(linked.groupBy(F.col("cls").alias("item")).agg(F.sum("links").alias("found")), "per item")
+    with_links = alike.join(per_item, "item", "left")
+    ways = linked.select(F.col("cls").alias("a"), F.col("head").alias("b")).unionByName(with_links.where("linked OR found IS NOT NULL").select(F.col("cls").alias("a"), F.col("item").alias("b")))
+    reach = components(ways)
     least_of = reach.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    per_class = linked.groupBy("cls").agg(F.sum("links").alias("links")).join(reach.withColumnRenamed("node", "cls").join(least_of, "root").select("cls", "root", "component"), "cls")
+    many = with_links.select("cls", (F.coalesce("found", F.lit(0)) + F.when(F.col("linked"), F.col("total") - F.col("weight")).otherwise(0)).alias("links")).where("links > 0")
+    alone = per_item.join(shared.select("item"), "item", "left_anti").select(F.col("item").alias("cls"), F.col("found").alias("links"))
+    per_class = alone.unionByName(many).join(reach.withColumnRenamed("node", "cls").join(least_of, "root").select("cls", "root", "component"), "cls")
     full = classes.join(per_class, "cls", "left").select("cls", "weight", "links", "root", F.coalesce(F.when(F.col("links").isNotNull(), F.col("component")), "least").alias("component"))
     alone = F.col("n") == 0
     out = member.join(full, "cls", "left")
