@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.functions import html, normalize, quality
+from vellum.functions import fulltext, html, normalize, quality
 from vellum.operators import lines
+from vellum.plans import cases
 
 
 @pytest.mark.parametrize("text,score,garbled,confidence", [("", 50, True, "medium"), (None, 50, True, "medium"), ("the and for " * 100, 100, False, "high"), ("zz " * 400, 90, False, "high"), ("the " * 200 + "�" * 12, 90, False, "high")])
@@ -25,6 +26,10 @@ def test_quality(spark, text, score, garbled, confidence):
         ("<p>One <b>two</b></p><div>three</div>", "One two\nthree"),
         ("<head><title>x</title></head><script>var a = '</p>'</script><p>k &amp; l</p><!-- c -->", "k & l"),
         ("", ""),
+        ("<p>r = &minus;0.5 &eacute;</p>", "r = −0.5 é"),
+        ('<div title="a>b">x</div>', "x"),
+        ("<svg><svg>i</svg>LEAK</svg>x", "x"),
+        ("x<script>never closed", "x"),
     ],
 )
 def test_html(spark, page, text):
@@ -39,33 +44,64 @@ def test_steps_change_what_they_should_and_nothing_else(spark):
             assert (r.y != r.x) == (r.kind == "+"), (s.code, r.x, r.y)
 
 
+def test_a_rewrite_of_one_text_equals_its_column(spark):
+    rows = [(s.code, x) for s in normalize.STEPS for x in (*s.positive, *s.negative)]
+    df = spark.createDataFrame(rows, "code string, x string")
+    for s in normalize.STEPS:
+        for r in df.where(F.col("code") == s.code).withColumn("y", s.rewrite.spark(F.col("x"))).collect():
+            assert s.rewrite.text(r.x) == r.y, s.code
+
+
+@pytest.mark.parametrize("level,at", [("none", 0), ("standard", 1), ("academic", 2)])
+def test_whole_normalization(level, at):
+    for c in cases.NORMALIZED:
+        assert fulltext.normalize_text(c[0], level) == c[at], c[0]
+
+
+def test_counts_of_any_length_lose_their_commas():
+    done = lambda t: fulltext.normalize_text(t, "academic")
+    assert done("N = 1,234,567,890,123 now") == "N = 1234567890123 now"
+    assert done("A total of 1,234,567 participants") == "A total of 1234567 participants"
+    assert done("see x1,2 and [2,345] and N = 12") == "see x1,2 and [2345] and N = 12"
+    assert fulltext.normalize_text("N = 1,234,567", "academic", keep_math=True) == "N = 1,234,567"
+
+
 def test_levels_and_report(spark):
     text = "\n".join(s.positive[0] for s in normalize.STEPS)
     d = spark.createDataFrame([(text,), (None,), ("",)], "text string")
-    none, std, acad = (d.select(normalize.normalize(F.col("text"), lv)).collect() for lv in ("none", "standard", "academic"))
+    none, std, acad = (d.select(fulltext.normalize(F.col("text"), lv)).collect() for lv in ("none", "standard", "academic"))
     assert none[0][0] == text and std[0][0] != text and acad[0][0] != std[0][0]
     assert acad[1][0] is None and acad[2][0] == ""
-    r = normalize.with_report(d, level="standard").collect()[0].report
-    assert r.steps_applied == [s.code for s in normalize.EVERYDAY] and set(r.steps_changed) <= set(r.steps_applied) and "ligatures" in r.steps_changed
+    r = fulltext.with_report(d, level="standard").collect()[0].report
+    assert set(r.steps_changed) <= set(r.steps_applied) and "ligatures" in r.steps_changed and len(r.steps_applied) == len(fulltext.PLANS["standard", False])
+
+
+def test_normalizing_again_changes_nothing():
+    for c in cases.NORMALIZED:
+        once = fulltext.normalize_text(c[0])
+        assert fulltext.normalize_text(once) == once
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aZ1 \n.,-=<[](p�é", max_size=200))
+def test_any_text_normalizes(text):
+    assert isinstance(fulltext.normalize_text(text), str)
 
 
-def test_normalizing_again_changes_nothing(spark):
-    d = spark.createDataFrame([("\n".join(s.positive[0] for s in normalize.STEPS),)], "t string")
-    once = d.select(normalize.normalize(F.col("t")).alias("t"))
-    assert once.select(normalize.normalize(F.col("t"))).first()[0] == once.first().t
+@pytest.mark.parametrize("f,some", [(lines.without_banners, cases.BANNERS), (lines.without_furniture, cases.FURNITURE), (lines.without_leaks, cases.LEAKS), (lines.drop_contents_text, cases.CONTENTS), (lines.drop_running_heads, cases.HEADS), (lines.drop_page_clusters, cases.CLUSTERS)])
+def test_lines_that_go(f, some):
+    for given_, want in some:
+        assert f(given_).rstrip("\n ") == want
 
 
-def test_line_filters(spark):
+def test_line_columns(spark):
     def run(f, t):
         return spark.createDataFrame([(t,)], "t string").select(f(F.col("t"))).first()[0]
 
-    assert run(lines.drop_banners, "ORIGINAL ARTICLE\nbody") == "body"
-    assert run(lines.drop_banners, "x\n" * 40 + "ORIGINAL ARTICLE").endswith("ORIGINAL ARTICLE")
-    assert run(lines.drop_furniture, "a\nPage 3 of 9\nb") == "a\nb"
+    assert run(lines.drop_banners, "HHS Public Access\nbody") == "body"
+    assert run(lines.drop_banners, "x\n" * 40 + "HHS Public Access").endswith("HHS Public Access")
+    assert run(lines.drop_furniture, "a\nPage 3\nb") == "a\nb"
     assert run(lines.close_spaced_labels, "a b s t r a c t\nx y z w") == "abstract\nx y z w"
-    long = "Keywords: one\n" + "word " * 60
-    assert run(lines.drop_front_matter, long) == "word " * 60
-    assert run(lines.drop_front_matter, "Keywords: one") == "Keywords: one"
     assert run(lines.page_numbers, "7\nx\n7\n12\n 9 \n9") == ["7", "9"]
 
 

@@ -1,46 +1,109 @@
-"""HTML to plain text by a chain of rewrites: tags become marks, marks become line breaks or spaces.
+"""HTML to plain text by a parser, in one Arrow pass over the pages.
 
-Comments and the doctype are dropped. Block elements stand on lines of their own, other elements get spaces,
-``br`` breaks the line; the five common entities, numeric quotes and no-break spaces are decoded, the ampersand last.
+Block elements stand on lines of their own, other elements get spaces, ``br`` breaks the line, hidden elements and
+all in them go, and character references of every kind are decoded. Comments and the doctype aren't text; with
+``markup=True`` they are kept as the tree's strings, as a walk over all strings of a parse tree shows them.
 """
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset footer h1 h2 h3 h4 h5 h6 header hr legend li main nav p pre section table td th tr".split())
+HIDDEN = frozenset("script style head noscript svg object iframe".split())
+GONE = frozenset("meta link embed".split())
+VOID = frozenset("area base br col hr img input param source track wbr".split())
+#: How much an end tag must outrank to close what stands open inside its element; 100 for all others.
+RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "body": 200, "html": 220}
+IN_HEAD = HIDDEN | GONE | {"title", "base", "template"}
+BREAKS = str.maketrans(dict.fromkeys("\r\v\f\x85  ", "\n"))
+SPACES = str.maketrans(dict.fromkeys("  ᠎  　﻿" + "".join(map(chr, range(0x2000, 0x200B))), " "))
+
+
+class Walker(HTMLParser):
+    """The pieces of text of a page, with line breaks and spaces for its elements."""
+
+    def __init__(self, markup: bool = False):
+        super().__init__(convert_charrefs=True)
+        self.markup, self.parts = markup, []
+        self.open: list[str] = []
+        self.hidden: list[str] = []  # hidden elements that are open
+
+    def gap(self, tag: str) -> None:
+        last = self.parts[-1] if self.parts else "\n"
+        if tag in BLOCK:
+            if not last.endswith("\n"):
+                self.parts.append("\n")
+        elif not last.endswith((" ", "\n")):
+            self.parts.append(" ")
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()  # a head ends where anything else begins
+        if tag in HIDDEN:
+            self.hidden.append(tag)
+        elif tag in GONE or self.hidden:
+            return
+        elif tag == "br":
+            self.parts.append("\n")
+        else:
+            self.gap(tag)
+            if tag in VOID:
+                self.gap(tag)
+            else:
+                self.open.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag in HIDDEN and tag in ("svg", "object") and self.hidden:
+            self.hidden.pop()
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.hidden:
+            if tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+        elif tag in self.open:
+            at = len(self.open) - 1 - self.open[::-1].index(tag)
+            if all(RANK.get(t, 100) <= RANK.get(tag, 100) for t in self.open[at + 1 :]):
+                for t in reversed(self.open[at:]):  # what stands open inside ends too
+                    self.gap(t)
+                del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.parts.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        if self.markup:
+            self.handle_data(data)
+
+    def handle_decl(self, decl: str) -> None:
+        if self.markup:
+            self.handle_data(re.sub(r"(?i)^doctype\s+", "", decl))
+
+
+def page_text(page: str, markup: bool = False) -> str:
+    """Plain text of one page; what no parser makes sense of is text."""
+    w = Walker(markup)
+    w.feed(page)
+    w.close()
+    text = "".join(w.parts).replace("\r\n", "\n").translate(BREAKS).translate(SPACES)
+    text = re.sub("[ \t]+", " ", text).replace(" \n", "\n").replace("\n ", "\n")
+    return re.sub("\n{3,}", "\n\n", text).strip()
+
 
-from vellum.functions.rewrite import Rewrite, chain, rx, swap
-
-HIDDEN = ("script", "style", "head", "noscript", "svg", "object", "iframe")
-VOID = "meta|link|embed"
-BLOCK = "|".join(sorted("address article aside blockquote dd div dl dt fieldset footer h[1-6] header hr legend li main nav p pre section table td th tr".split(), key=lambda t: (-len(t), t)))
-WIDE_SPACE = "[  ᠎ -   　﻿]"
-
-TEXT: Rewrite = chain(
-    rx(r"<!--.*?-->", "", flags="s"),
-    rx(r"<!doctype[^>]*>", "", flags="i"),
-    *(rx(rf"<{t}\b[^>]*>.*?</{t}\s*>", "", flags="is") for t in HIDDEN),
-    rx(rf"</?(?:{VOID})\b[^>]*>", "", flags="i"),
-    rx(r"<br\b[^>]*>", "\n", flags="i"),
-    rx(rf"</?(?:{BLOCK})\b[^>]*>", "\x01", flags="i"),
-    rx(r"</?[a-z][^>]*>", "\x02", flags="i"),
-    rx("\n?[\x01\x02]*\x01[\x01\x02]*", "\n"),
-    rx("\x02+", " "),
-    swap(("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")),
-    swap(("\r\n", "\n"), ("\r", "\n")),
-    rx("[\x0b\x0c\u0085  ]", "\n"),
-    rx(WIDE_SPACE, " "),
-    rx("[ \t]+", " "),
-    swap((" \n", "\n"), ("\n ", "\n")),
-    rx("\n{3,}", "\n\n"),
-    rx("^\\s+", ""),
-    rx("\\s+\\z", "", groups=0),
-)
-
-
-def html_to_text(html: Column) -> Column:
+def html_to_text(html: Column, markup: bool = False) -> Column:
     """Plain text of HTML; null stays null."""
-    return TEXT.spark(html)
 
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: page_text(t, markup), na_action="ignore")
 
-def html_to_text_sql(html: str) -> str:
-    return TEXT.sql(html)
+    return run(html)

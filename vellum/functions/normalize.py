@@ -1,18 +1,18 @@
-"""Normalization of text that came out of typeset documents: an ordered registry of rewrites.
+"""Rewrites that normalize text which came out of typeset documents: a registry, in the order of the whole.
 
-The order is part of the meaning. Levels: ``none`` changes nothing; ``standard`` repairs characters and lines;
-``academic`` also repairs statistics. Offsets are code points.
+Each is a column expression on its own; ``fulltext`` runs all of them, with the passes over lines between, in one pass.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.rewrite import Rewrite, chain, rx, swap, table
+from vellum.functions.boilerplate import COMPOUNDS, WATERMARKS, symbol_font
+from vellum.functions.rewrite import Rewrite, chain, quote, rx, swap, table
 
 STANDARD, ACADEMIC = "standard", "academic"
 
@@ -60,12 +60,14 @@ SPACES = "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u20
 NOTHING = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-SYMBOL_FONT = {0xF061: "α", 0xF062: "β", 0xF063: "χ", 0xF064: "δ", 0xF065: "ε", 0xF067: "γ", 0xF068: "η", 0xF06D: "μ", 0xF070: "π", 0xF073: "σ", 0xF077: "ω", 0xF02D: "−", 0xF0A3: "≤", 0xF0B3: "≥", 0xF0B4: "×", 0xF0B1: "±", 0xF0B9: "≠", 0xF03D: "=", 0xF03C: "<", 0xF03E: ">"}
-COMPOUNDS = (("experi", "mental?s?"), ("partici", "pants?"), ("signifi", "can(?:t|ce)"), ("statisti", "cal(?:ly)?"), ("multi", "variate"), ("inter", "action"), ("be", "havior(?:al)?"), ("re", "gression"), ("hypo", "thes[ei]s"), ("psycho", "logical"), ("dis", "tribution"), ("de", "pendent"))
+SYMBOL_FONT = symbol_font()
 
 
 def compounds() -> Rewrite:
-    return chain(*(rx(rf"\b({a})[ \t]+({b})\b", "$1$2", flags="i") for a, b in COMPOUNDS))
+    parts = [(a, "|".join(b.split())) for a, b in COMPOUNDS.items()]
+    native = chain(*(rx(rf"\b({a})\s+({b})\b", "$1$2", groups=2) for a, b in parts))
+    one = re.compile("|".join(rf"\b{a}\s+(?:{b})\b" for a, b in parts))
+    return Rewrite(native.spark, native.sql, lambda t: one.sub(lambda m: "".join(m[0].split()), t))
 
 
 def dropped_decimal() -> Rewrite:
@@ -75,12 +77,40 @@ def dropped_decimal() -> Rewrite:
 
 
 def thousands() -> Rewrite:
-    """Commas leave counts: twice, for numbers of up to seven or nine digits."""
-    lead = (rf"(\b[Nn]{GAP}={GAP}\(?{GAP})", rf"(\bdf{GAP}={GAP})", r"((?i:\bsample\s+size\s+of\s+))")
-    counted = chain(*(rx(rf"{a}(\d{{1,3}}),(\d{{3}})\b", "$1$2$3", groups=3) for a in lead for _ in (1, 2)))
-    total = rx(r"((?i:\btotal\s+of\s+))(\d{1,3}),(\d{3})((?i:\s+participants))", "$1$2$3$4", groups=4)
-    free = rx(r"\b([1-9]\d{0,2}),(\d{3})", "$1$2", ahead=r"[\s,;.)\]:]|$", behind=r"[\[(,.]")
-    return chain(counted, total, free)
+    """Commas leave counts of any length: after ``N =``, ``df =``, a sample size or a total, and in numbers that stand free."""
+    groups = range(6, 0, -1)  # SQL has a pattern for each number of groups, the longest first
+
+    def counted(lead: str, after: str = "") -> Rewrite:
+        java = rf"(?U)({lead}\d{{1,3}}|\G(?!^)),(\d{{3}})" + (rf"(?=(?:,\d{{3}})*{after})" if after else "")
+        plain = re.compile(rf"({lead})(\d{{1,3}}(?:,\d{{3}})+)" + (f"(?={after})" if after else ""))
+
+        def sql(s: str) -> str:
+            for n in groups:
+                put = "".join(f"\\{i}" for i in range(1, n + (4 if after else 3)))
+                s = f"regexp_replace({s}, {quote(f'({lead})' + r'(\d{1,3})' + r',(\d{3})' * n + (f'({after})' if after else ''))}, {quote(put)}, 'g')"
+            return s
+
+        return Rewrite(lambda c: F.regexp_replace(c, java, "$1$2"), sql, lambda t: plain.sub(lambda m: m[1] + m[2].replace(",", ""), t))
+
+    def free() -> Rewrite:
+        end = r"[\s,;.)\]:]|$"
+        java = rf"(?U)((?<![A-Z][(\[])\b[1-9]\d{{0,2}}|\G(?!^)),(\d{{3}})(?=(?:,\d{{3}})*(?:{end}))"
+        plain = re.compile(rf"(?<![A-Z][(\[])\b([1-9]\d{{0,2}}(?:,\d{{3}})+)(?={end})")
+
+        def sql(s: str) -> str:
+            start = r"(^|[^A-Z][(\[]|^[(\[]|[^\pL\d_(\[])"
+            for n in groups:
+                put = "".join(f"\\{i}" for i in range(1, n + 4))
+                one = lambda x: f"regexp_replace({x}, {quote(start + r'([1-9]\d{0,2})' + r',(\d{3})' * n + f'({end})')}, {quote(put)}, 'g')"  # noqa: B023, E731
+                s = one(one(s))
+            return s
+
+        return Rewrite(lambda c: F.regexp_replace(c, java, "$1$2"), sql, lambda t: plain.sub(lambda m: m[1].replace(",", ""), t))
+
+    return chain(
+        counted(rf"\b[Nn]{GAP}={GAP}\(?{GAP}"), counted(rf"\bdf{GAP}={GAP}", r"\b"), counted(r"(?i:\bsample\s+size\s+of\s+)", r"\b"),
+        counted(r"(?i:\btotal\s+of\s+)", r"(?i:\s+participants)"), free(),
+    )
 
 
 def math_words() -> Rewrite:
@@ -122,16 +152,14 @@ def statistic_lines() -> Rewrite:
     )
 
 
-WATERMARKS = (r"Downloaded from \S+ by [^\n]{1,60} on [^\n]{1,40}", r"This content downloaded from[^\n]{0,120}", r"(?i:licensed to [^\n]{1,60}\. for personal use only\.?)", r"Provided by [A-Z][^\n]{1,60} Library")
-
 STEPS: tuple[Step, ...] = (
     Step("mark_attach", STANDARD, rx("([A-Za-z])\\s+([\u0300-\u036f])", "$1$2"), ("e \u0301tude",), ("e tude",)),
-    Step("watermark", STANDARD, chain(*(rx(w, "") for w in WATERMARKS)), ("Downloaded from host.org by A Reader on 4 May",), ("Downloaded files",)),
+    Step("watermark", STANDARD, chain(*(rx(w, "", groups=0) for w in WATERMARKS)), ("Downloaded from https://host.org/1 by A Reader on 4 May 2020 it",), ("Downloaded files",)),
     Step("backslash_less", STANDARD, rx(r"\\(\s?)", "<$1", ahead=r"\.?[0-9]"), ("p \\ .05 here",), ("a \\ b",)),
     Step("threshold", STANDARD, rx(rf"([(,;]{GAP}(?:all {GAP})?[pP]s?{GAP}<{GAP})(05|01|001)", "$1.$2", ahead=r"[\s),;]|$"), ("was large (p < 05), and",), ("p = 05 and",)),
-    Step("symbol_font", STANDARD, table("".join(map(chr, SYMBOL_FONT)), "".join(SYMBOL_FONT.values())), ("\uf061 \uf0a3 2",), ("a <= 2",)),
+    Step("symbol_font", STANDARD, table("".join(SYMBOL_FONT), "".join(SYMBOL_FONT.values())), ("\uf061 \uf0a3 2",), ("a <= 2",)),
     Step("styled_letters", STANDARD, table(*styled_letters()), ("𝑝 = .03, 𝜂 = 1",), ("p = .03",)),
-    Step("line_ends", STANDARD, swap(("\r\n", "\n"), ("\r", "\n")), ("one\r\ntwo\rthree",), ("one\ntwo",)),
+    Step("line_ends", STANDARD, swap(("\x00", ""), ("\r\n", "\n"), ("\r", "\n")), ("one\r\ntwo\rthree",), ("one\ntwo",)),
     Step("accents", STANDARD, swap(*accents()), ("caf´e, ma¨ıs na¨ive",), ("cafe",)),
     Step("ligatures", STANDARD, swap(("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st")), ("e\ufb00ect \ufb01nd o\ufb03ce",), ("effect",)),
     Step("quotes", STANDARD, table("“”„‟″‶‘’‚‛′‵", '""""""' + "''''''"), ("“a” ‘b’ 5′",), ('"a"',)),
@@ -139,13 +167,13 @@ STEPS: tuple[Step, ...] = (
     Step("eta_lost", STANDARD, rx("\ufffd", "eta", ahead=rf"{GAP}[²2]{GAP}={GAP}-?\.?[0-9]|_?p²{GAP}={GAP}-?\.?[0-9]"), ("\ufffd² = .12; \ufffd2 = .3",), ("a \ufffd b",)),
     Step("spaces", STANDARD, chain(rx("\u00ad[ \\t]*\\n[ \\t]*", "", ahead="[A-Za-z]"), table(SPACES + WIDE + "\u00ad" + NOTHING, " " * len(SPACES) + NARROW), rx(r"[ \t]{2,}", " ")), ("signi\u00ad\nficant\u00a0a\u200b \u3000b \uff10",), ("a b",)),
     Step("hyphens", STANDARD, rx(r"([a-z])-\n", "$1", ahead="[a-z]"), ("we ob-\nserved a-\nb-\nc",), ("Smith-\nJones, x -\n2",)),
-    Step("compounds", STANDARD, compounds(), ("the signifi cant inter action",), ("inter alia",)),
+    Step("compounds", STANDARD, compounds(), ("the experi mental ques\ntionnaires con sistently",), ("con men",)),
     Step("line_joins", STANDARD, rx(r"([a-z,;])\n", "$1 ", ahead="[a-zα-ω]"), ("showed\nthat a\nb\nc,\nd",), ("end.\nNext",)),
     Step("statistic_lines", ACADEMIC, statistic_lines(), ("p\n= .03 and p <\n 12\n 7\n .05, 95%\nCI, t = 2;\np < .1 OR\n1.5",), ("a group\nleft",)),
     Step("number_lines", STANDARD, rx(r"^[^\S\n]*\d{1,3}[^\S\n]*$", "", flags="m"), ("a\n12\nb\n 7 \nc",), ("a\n1234\nb",)),
     Step("blank_lines", STANDARD, rx(r"\n{3,}", "\n\n"), ("a\n\n\n\nb",), ("a\n\nb",)),
     Step("dropped_decimal", ACADEMIC, dropped_decimal(), ("p = 484, d = 45 and p = 012; g = 05",), ("p = 5, p = 15.8, N = 484, p = 000",)),
-    Step("thousands", ACADEMIC, thousands(), ("N = 1,234; df = 12,345; a total of 1,200 participants; 3,456 people",), ("F(1,300) and [2,345]",)),
+    Step("thousands", ACADEMIC, thousands(), ("N = 1,234,567,890; df = 12,345,678; a total of 1,234,567 participants; 3,456 people (2,345)",), ("F(1,300) and x1,2",)),
     Step("decimal_comma", ACADEMIC, rx(r"([0-9]),([0-9]{1,3})", "$1.$2", ahead=STOP, behind=r"[a-zA-Z,0-9\[(]"), ("was 0,05 and 3,7.",), ("F(1,30)", "x1,2")),
     Step("zero_comma", ACADEMIC, rx(r"\b0,([0-9]{2,4})", "0.$1", ahead=r"[\s)\];,.:]|$"), ("(0,25) [0,123]",), ("10,25",)),
     Step("bracket_degrees", ACADEMIC, rx(rf"(\b[A-Za-z][A-Za-z0-9]{{0,3}})\[({GAP}\d+(?:\.\d+)?{GAP},{GAP}\d+(?:\.\d+)?{GAP})\]", "$1($2)", ahead=rf"{GAP}="), ("F[1, 30] = 4.2",), ("see [1, 30]",)),
@@ -155,43 +183,4 @@ STEPS: tuple[Step, ...] = (
     Step("doi_rejoin", ACADEMIC, rx(r"((?i:doi:)\s*\S*?[0-9])\.\s*\n\s*([0-9])", "$1.$2"), ("doi: 10.1\n.; doi:10.1037.\n001",), ("doi: none.\nNext",)),
     Step("late_joins", STANDARD, rx(r"([a-z])-\n", "$1", ahead="[a-z]").then(rx(r"([a-z,;])\n", "$1 ", ahead="[a-z]")), ("a re-\nsult of\nit",), ("It.\nSo",)),
 )
-EDGES = rx(r"^\s+", "").then(rx(r"\s+\z", "", groups=0))
 BY_CODE = {s.code: s for s in STEPS}
-EVERYDAY = tuple(s for s in STEPS if s.level == STANDARD)
-
-
-def applies(level: str) -> tuple[Step, ...]:
-    return {"none": (), STANDARD: EVERYDAY, ACADEMIC: STEPS}[level]
-
-
-def normalize(text: Column, level: str = ACADEMIC, keep_math: bool = False) -> Column:
-    """``text`` after all steps of ``level``; null stays null. ``keep_math`` leaves symbols and decimal commas alone."""
-    steps = [s for s in applies(level) if not (keep_math and s.code in ("math_words", "decimal_comma", "zero_comma"))]
-    for s in steps:
-        text = s.rewrite.spark(text)
-    return EDGES.spark(text) if steps else text
-
-
-def normalize_sql(text: str, level: str = ACADEMIC) -> str:
-    for s in applies(level):
-        text = s.rewrite.sql(text)
-    return EDGES.sql(text) if level != "none" else text
-
-
-def with_report(docs: DataFrame, text_col: str = "text", level: str = ACADEMIC) -> DataFrame:
-    """``docs`` with the normalized text and ``report``: steps applied, steps that changed it, characters by which they did.
-
-    Each step is a projection of its own over the one before, so a text is rewritten once however much is tracked.
-    """
-    steps = applies(level)
-    docs = docs.withColumn("__changes", F.array().cast("array<struct<code:string,chars:int>>"))
-    for s in steps:
-        docs = docs.withColumn("__after", s.rewrite.spark(F.col(text_col)))
-        change = F.array(F.struct(F.lit(s.code).alias("code"), F.abs(F.length("__after") - F.length(text_col)).alias("chars")))
-        docs = docs.withColumn("__changes", F.when(F.col("__after") != F.col(text_col), F.concat("__changes", change)).otherwise(F.col("__changes"))).withColumn(text_col, F.col("__after"))
-    found = F.struct(
-        F.array(*[F.lit(s.code) for s in steps]).cast("array<string>").alias("steps_applied"),
-        F.col("__changes.code").alias("steps_changed"),
-        F.map_from_entries(F.filter("__changes", lambda c: c["chars"] > 0)).alias("changes"),
-    )
-    return docs.withColumn("report", found).drop("__after", "__changes")

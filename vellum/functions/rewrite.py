@@ -1,11 +1,13 @@
 """Rewrites of a text column, each as a Spark expression and as SQL for an engine without look-around.
 
-A ``Rewrite`` is built once and rendered twice. Where Java's regular expressions look ahead or behind, the SQL
+A ``Rewrite`` is built once and rendered three times: as a column, as SQL, and as a function of one text for passes that
+fuse many of them. Where Java's regular expressions look ahead or behind, the SQL
 captures the guard and writes it back; since a consumed guard may hide the next match, that pass runs twice.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,9 +25,10 @@ class Rewrite:
 
     spark: Callable[[Column], Column]
     sql: Callable[[str], str]
+    text: Callable[[str], str]
 
     def then(self, other: Rewrite) -> Rewrite:
-        return Rewrite(lambda c: other.spark(self.spark(c)), lambda s: other.sql(self.sql(s)))
+        return Rewrite(lambda c: other.spark(self.spark(c)), lambda s: other.sql(self.sql(s)), lambda t: other.text(self.text(t)))
 
 
 def chain(*rewrites: Rewrite) -> Rewrite:
@@ -37,8 +40,6 @@ def chain(*rewrites: Rewrite) -> Rewrite:
 
 def rx(core: str, to: str, ahead: str = "", behind: str = "", flags: str = "", groups: int | None = None) -> Rewrite:
     """Replace ``core``; ``to`` names groups as ``$1``. ``ahead``: what must follow; ``behind``: characters that mustn't stand before."""
-    import re
-
     n = re.compile(core).groups if groups is None else groups
     java = f"(?U{flags}{'d' if 'm' in flags else ''})" + (f"(?<!{behind})" if behind else "") + core + (f"(?={ahead})" if ahead else "")
     shift = 1 if behind else 0
@@ -54,7 +55,9 @@ def rx(core: str, to: str, ahead: str = "", behind: str = "", flags: str = "", g
         once = lambda x: f"regexp_replace({x}, {quote(re2)}, {quote(back)}, 'g')"
         return once(once(s)) if ahead or behind else once(s)
 
-    return Rewrite(lambda c: F.regexp_replace(c, java, to), sql)
+    plain = re.compile((f"(?{flags})" if flags else "") + (f"(?<!{behind})" if behind else "") + core.replace(r"\z", r"\Z") + (f"(?={ahead})" if ahead else ""))
+    put = re.sub(r"\$(\d)", r"\\g<\1>", to)
+    return Rewrite(lambda c: F.regexp_replace(c, java, to), sql, lambda t: plain.sub(put, t))
 
 
 def swap(*pairs: tuple[str, str]) -> Rewrite:
@@ -71,9 +74,16 @@ def swap(*pairs: tuple[str, str]) -> Rewrite:
             s = f"replace({s}, {shown}, {quote(b)})"
         return s
 
-    return Rewrite(spark, sql)
+    def text(t: str) -> str:
+        for a, b in pairs:
+            t = t.replace(a, b)
+        return t
+
+    return Rewrite(spark, sql, text)
 
 
 def table(old: str, new: str) -> Rewrite:
     """Character by character; characters beyond ``new`` are deleted."""
-    return Rewrite(lambda c: F.translate(c, old, new), lambda s: f"translate({s}, {quote(old)}, {quote(new)})")
+    put = {a: new[i] if i < len(new) else "" for i, a in reversed(list(enumerate(old)))}
+    any_of = re.compile("[" + re.escape("".join(sorted(put))) + "]")
+    return Rewrite(lambda c: F.translate(c, old, new), lambda s: f"translate({s}, {quote(old)}, {quote(new)})", lambda t: any_of.sub(lambda m: put[m[0]], t))

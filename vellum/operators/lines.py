@@ -15,20 +15,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from vellum.functions import boilerplate
+from vellum.functions.boilerplate import BANNERS, FURNITURE
+
 NL = "\n"
-#: Lines of a journal's banner, found among the first lines only.
-BANNERS = ("ORIGINAL (?:ARTICLE|RESEARCH|PAPER)", "RESEARCH (?:ARTICLE|REPORT)", "(?:REVIEW|SHORT|BRIEF) (?:ARTICLE|REPORT|COMMUNICATION)", "https?://(?:dx\\.)?doi\\.org/\\S+", "[Dd][Oo][Ii]: ?10\\.\\S+", "ISSN[: ]+[\\dX-]+", "Vol(?:ume)?\\.? ?\\d+.*", "Contents lists available at .*", "journal homepage: .*", "Open Access", "Check for updates")
-#: Lines that are furniture wherever they stand.
-FURNITURE = ("©.*", "\\(c\\) \\d{4}.*", "[Cc]opyright ©?.*\\d{4}.*", "All rights reserved\\.?", "Page \\d+ of \\d+", "\\d+ ?\\| ?P ?a ?g ?e", "Downloaded from .*", "This article has been accepted.*", "This work is licensed under .*", "Creative Commons .*", "(?:Received|Accepted|Published)(?: online)?:? \\d{1,2} \\w+ \\d{4}.*", "\\*?Correspond(?:ing author|ence)[: ].*", "E-?mail(?: address)?: ?\\S+@\\S+", "ORCID:? .*", "See discussions, stats.*")
-#: Lines that leak from the front matter into the first part of a text.
-FRONT = ("Keywords?[:—-].*", "Article [Hh]istory:?.*", "Available online .*", "Author(?:s')? [Nn]ote.*", "Handling [Ee]ditor:.*", "Conflicts? of [Ii]nterest:? None.*", "ARTICLE INFO.*", "a r t i c l e +i n f o")
-TOC = "(?i:_{3,}|^table of contents$)"
 SPACED = "^[a-z](?: [a-z]){3,}$"
 BANNER_LINES, TOC_LINES, FRONT_CHARS = 30, 100, 8000
+TRIPLE = re.compile("\n{3,}")
 
 
 def whole(patterns: tuple[str, ...]) -> str:
-    return "^(?:" + "|".join(patterns) + ")$"
+    return "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"
 
 
 def lines(text: Column) -> Column:
@@ -49,17 +46,6 @@ def drop_furniture(text: Column) -> Column:
     return text_of(F.filter(lines(text), lambda l: ~F.trim(l).rlike(whole(FURNITURE))))
 
 
-def drop_front_matter(text: Column) -> Column:
-    """Front-matter lines that begin in the first 8,000 characters, or the first sixth, go; texts under 200 characters stay."""
-    limit = F.greatest(F.lit(FRONT_CHARS), F.floor(F.length(text) / 6).cast("int"))
-    stop = F.position(F.lit(NL), text, limit)
-    head = F.when(stop > 0, F.substring(text, F.lit(1), stop - 1)).otherwise(text)
-    tail = F.when(stop > 0, F.substring(text, stop, F.length(text))).otherwise("")
-    kept = F.filter(lines(head), lambda l: ~F.trim(l).rlike(whole(FRONT)))
-    joined = F.when(F.size(kept) == 0, F.substring(tail, F.lit(2), F.length(text))).otherwise(F.concat(text_of(kept), tail))
-    return F.when(F.length(text) < 200, text).otherwise(joined)
-
-
 def close_spaced_labels(text: Column) -> Column:
     """A line of single lower-case letters, four at least and a vowel among them, becomes a word."""
     return text_of(F.transform(lines(text), lambda l: F.when(F.trim(l).rlike(SPACED) & l.rlike("[aeiou]"), F.replace(l, F.lit(" "), F.lit(""))).otherwise(l)))
@@ -82,17 +68,116 @@ def text_udf(f: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
+def dropping(text: str, keep: Callable[[int, str], bool]) -> str:
+    """The lines that ``keep`` holds for, by number and without the white space around; blank ones always stay, three in a row close up."""
+    ls = text.split(NL)
+    out = [l for i, l in enumerate(ls) if not (s := l.strip()) or keep(i, s)]
+    return text if len(out) == len(ls) else TRIPLE.sub("\n\n", NL.join(out))
+
+
+IS_BANNER, IS_FURNITURE, IS_LEAK = (boilerplate.whole(p).fullmatch for p in (boilerplate.BANNERS, boilerplate.FURNITURE, boilerplate.LEAKED))
+
+
+def without_banners(text: str) -> str:
+    """Banner lines go before the first ``##`` and among the first 30 lines; line breaks that then lead the text go too."""
+    head = text.split(NL, BANNER_LINES)[:BANNER_LINES]
+    zone = next((i for i, l in enumerate(head) if l.lstrip().startswith("##")), len(head))
+    if not any((s := l.strip()) and IS_BANNER(s) for l in head[:zone]):
+        return text
+    return dropping(text, lambda i, s: i >= zone or not IS_BANNER(s)).lstrip(NL)
+
+
+def without_furniture(text: str) -> str:
+    """Furniture lines go, and after a ``CONTACT`` line that holds only a name the lines of the place it wraps to."""
+    inside = False
+
+    def keep(_: int, s: str) -> bool:
+        nonlocal inside
+        if s.startswith("CONTACT") and boilerplate.CONTACT.fullmatch(s):
+            inside = not boilerplate.NO_NAME.search(s)
+            return not inside
+        if IS_FURNITURE(s) or boilerplate.TWINS.fullmatch(s):
+            return False
+        if inside and boilerplate.REGION.fullmatch(s):
+            return False
+        inside = False
+        return True
+
+    ls = text.split(NL)
+    if "CONTACT" not in text:
+        return dropping(text, keep)
+    out, wrapped = [], False
+    for l in ls:  # blank lines between a wrapped contact and its place go with it
+        s = l.strip()
+        if s and not keep(0, s):
+            wrapped = inside
+        elif s or not (wrapped and inside):
+            out.append(l)
+            wrapped = False
+    return text if len(out) == len(ls) else TRIPLE.sub("\n\n", NL.join(out))
+
+
+def without_leaks(text: str) -> str:
+    """Front-matter lines in the first 8,000 characters, or the first sixth, go; texts under 200 characters stay."""
+    if len(text) < 200:
+        return text
+    limit = max(FRONT_CHARS, len(text) // 6)
+    cut = text.rfind(NL, 0, limit) + 1 or min(limit, len(text))
+    leak = lambda s: len(s) <= boilerplate.LEAK_CHARS and (m := IS_LEAK(s)) and (len(s) <= boilerplate.AFFILIATION_CHARS or not AFFILIATION(s))
+    ls = text[:cut].split(NL)
+    out = [l for l in ls if not (s := l.strip()) or not leak(s)]
+    return text if len(out) == len(ls) else TRIPLE.sub("\n\n", NL.join(out) + text[cut:])
+
+
+AFFILIATION = re.compile(boilerplate.LEAKED[0]).fullmatch
+
+
+def close_spaced_text(text: str) -> str:
+    """``close_spaced_labels`` of one text."""
+    return NL.join(l.replace(" ", "") if re.fullmatch(SPACED, l.strip()) and re.search("[aeiou]", l) else l for l in text.split(NL))
+
+
+STAMPS = [(re.compile(p), keys) for p, keys in zip(boilerplate.WATERMARKS, boilerplate.STAMPED, strict=True)]
+
+
+def without_stamps(text: str) -> str:
+    """Publishers' stamps go, from inside lines too."""
+    low = text.lower()
+    for p, keys in STAMPS:
+        if any(k in low for k in keys):
+            text = p.sub("", text)
+    return text
+
+
+CONTENTS = re.compile(r"table\s+of\s+contents|list\s+of\s+(?:supplementary\s+)?(?:figures?|tables?)", re.I)
+
+
 def drop_contents_text(text: str) -> str:
-    """Paragraphs of leader underscores or a contents label go, while they start within the first 100 lines."""
-    sign = re.compile("(?m)" + TOC)
-    if not sign.search(text[:8000]):
+    """Paragraphs with leader underscores and contents labels go, while they start within the first 100 lines; a ``##`` heading just before goes too."""
+    if "_" not in text[:8000] and not CONTENTS.search(text, 0, 8000):
+        return text
+    parts = re.split("(\n\n+)", text)
+    gone, at = set(), 0
+    for i in range(0, len(parts), 2):
+        if at >= TOC_LINES:
+            break
+        if parts[i].strip() and ("___" in parts[i] or CONTENTS.fullmatch(parts[i].strip())):
+            gone.add(i)
+            if i >= 2 and parts[i - 2].strip().startswith("## "):
+                gone.add(i - 2)
+        at += parts[i].count(NL) + 1 + (parts[i + 1].count(NL) if i + 1 < len(parts) else 0)
+    if not gone:
         return text
-    out, at = [], 0
-    for p in re.split("\n\n+", text):
-        if at >= TOC_LINES or not sign.search(p):
-            out.append(p)
-        at += p.count(NL) + 2
-    return "\n\n".join(out)
+    kept = [p for i, p in enumerate(parts[::2]) if 2 * i not in gone]
+    while kept and not kept[0].strip():
+        kept.pop(0)
+    return TRIPLE.sub("\n\n", "\n\n".join(kept))
+
+
+def page_number_set(text: str) -> set[str]:
+    """Numbers of up to three digits that stand alone on two lines or more."""
+    seen = Counter(s for s in map(str.strip, text.split(NL)) if 0 < len(s) <= 3 and s.isascii() and s.isdigit())
+    return {s for s, c in seen.items() if c >= 2}
 
 
 YEAR = re.compile("[(](?:20|19)[0-9]{2}[a-z]?[)]")
@@ -143,34 +228,52 @@ def drop_page_clusters(text: str) -> str:
     return NL.join("" if l.strip() in gone and not (numeric(range(i - 1, -1, -1)) and numeric(range(i + 1, len(ls)))) else l for i, l in enumerate(ls))
 
 
-HEADER_SHAPE = re.compile(r"^(?:[A-Z][A-Z .,&'-]{2,}|[A-Z][\w.'-]+ et al\.?|.* [|•] .*|\d+ +[A-Z].*|[A-Z].* \d+)$")
+IS_HEAD = boilerplate.whole(boilerplate.HEADS).fullmatch
+
+
+def head_shape(s: str) -> bool:
+    """Whether a line looks like a running head: a banner of two capitalized words or more, or one of the known shapes."""
+    return (len(s) >= 7 and " " in s and boilerplate.CAPITALS.fullmatch(s) is not None) or IS_HEAD(s) is not None
 
 
 def drop_running_heads(text: str) -> str:
-    """Lines of 3 to 100 characters that recur three times and look like a running head go, as lines and as prefixes."""
+    """Lines of 3 to 100 characters that stand alone three times and look like a running head go, as lines, as prefixes and cut short."""
     ls = text.split(NL)
     counts = Counter(s for s in map(str.strip, ls) if 3 <= len(s) <= 100)
-    heads = sorted((s for s, c in counts.items() if c >= 3 and HEADER_SHAPE.match(s)), key=len, reverse=True)
+    heads = sorted((s for s, c in counts.items() if c >= 3 and head_shape(s)), key=len, reverse=True)
     if not heads:
         return text
     whole_heads, out = set(heads), []
     for l in ls:
         s = l.strip()
-        if s in whole_heads or (len(s) >= 30 and any(h.startswith(s) for h in heads)):
+        if s in whole_heads:
             continue
-        head = next((h for h in heads if s.startswith(h + " ")), None)
-        out.append(s[len(head) + 1 :] if head else l)
-    return NL.join(out)
+        body = l.lstrip()
+        head = next((h for h in heads if body.startswith((h + " ", h + ".", h + ",")) or (len(body) >= 30 and h.startswith(body))), None)
+        if head is not None:
+            l = l[: len(l) - len(body)] + body[len(head) :].lstrip(" .,") if body.startswith(head) else ""
+        out.append(l)
+    return TRIPLE.sub("\n\n", NL.join(out))
+
+
+STOP = set("the of in to for with on at by from as and or via than into".split())
+MARKED = ("#", "*", "<", ">", "|", "`", "-", "+")
 
 
 def interleaved(page: str) -> bool:
-    """Whether a page's columns were read across: many flips of case from line to line, or a mix of very short and long lines."""
-    ls = [l.strip() for l in page.split(NL) if l.strip()]
-    title = [sum(w[0].isupper() for w in l.split()) * 2 > len(l.split()) for l in ls]
-    if sum(a != b for a, b in zip(title, title[1:])) >= 6 and len(ls) <= 24:
+    """Whether a page's columns were read across: six breaks inside a sentence before a capitalized word, or a mix of very short and long lines."""
+    ls = page.split(NL)
+    flips = 0
+    for a, b in zip(ls, ls[1:]):
+        a, b = a.rstrip(), b.lstrip()
+        if a and b and not a.startswith(MARKED) and not b.startswith(MARKED) and a[-1] not in ".?!:;\"')]}" and re.match(r"[A-Z][a-z]+\b", b):
+            last = re.search(r"\b[A-Za-z]+$", a)
+            flips += not (last and last[0].lower() in STOP)
+    if flips >= 6:
         return True
-    n = len(ls)
-    return n >= 30 and sum(len(l) < 40 for l in ls) >= 0.3 * n and sum(len(l) > 70 for l in ls) >= 0.3 * n
+    body = [l.rstrip() for l in ls if l.strip() and not l.lstrip().startswith(MARKED[:6])]
+    n = len(body)
+    return n >= 30 and sum(len(l) < 40 for l in body) >= 0.3 * n and sum(len(l) > 70 for l in body) >= 0.3 * n
 
 
 def interleaved_pages(text: Column) -> Column:
@@ -184,6 +287,8 @@ def interleaved_pages(text: Column) -> Column:
 
 
 drop_contents = text_udf(drop_contents_text)
+drop_front_matter = text_udf(without_leaks)
+furniture = text_udf(without_furniture)
 repeated_lines = text_udf(drop_repeated_lines)
 page_number_clusters = text_udf(drop_page_clusters)
 running_heads = text_udf(drop_running_heads)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from vellum.operators.lines import text_udf
+from vellum.operators.lines import page_number_set, text_udf
 from vellum.operators.sections import BACK, label_of
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
@@ -84,13 +84,10 @@ def drop_page_numbers(text: str, numbers: set[str]) -> str:
     return re.sub(r"\b([a-z]+)\s+(\d{1,3})\s+(?=[a-z])", fix, text)
 
 
-def repair_text(text: str) -> str:
-    """Entries of each reference list put together, and page numbers that stand alone on two lines or more dropped."""
-    seen: dict[str, int] = {}
-    for l in text.split("\n"):
-        if re.fullmatch(r"\s*\d{1,3}\s*", l) and l.strip():
-            seen[l.strip()] = seen.get(l.strip(), 0) + 1
-    numbers = {n for n, c in seen.items() if c >= 2}
+def repair_text(text: str, numbers: set[str] | None = None) -> str:
+    """Entries of each reference list put together, and page ``numbers`` dropped from them: by default those that stand alone on two lines or more."""
+    if numbers is None:
+        numbers = page_number_set(text)
     out, last = [], 0
     for s in spans_of(text):
         out += [text[last : s["start"]], "\n" + stitch(drop_page_numbers(text[s["start"] : s["end"]], numbers)) + "\n"]

@@ -144,21 +144,24 @@ def lost_comparison(text: str) -> str:
     return text
 
 
-def numbered_heading(text: str, headings: frozenset[str] | None = None) -> str:
-    """An orphan ``2.1.`` line joins the canonical heading that follows within three lines."""
-    from vellum.operators.sections import LABEL
+ORPHAN = re.compile(r"\s*(\d{1,2}(?:\.\d{1,2}){0,3}\.?)\s*")
 
-    ls, i = text.split("\n"), 0
+
+def numbered_heading(text: str) -> str:
+    """An orphan ``2.1.`` line joins the canonical heading that follows within three lines, blank ones between."""
+    from vellum.operators.sections import label_of
+
+    ls, out, i = text.split("\n"), [], 0
     while i < len(ls):
-        if re.fullmatch(r"\s*[0-9]+(?:[.][0-9]+)*[.]?\s*", ls[i]) and ls[i].strip():
-            for j in range(i + 1, min(i + 4, len(ls))):
-                s = ls[j].strip()
-                if s:
-                    if len(s) <= 80 and s.lower() in LABEL:
-                        ls[i : j + 1] = [f"{ls[i].strip()} {s}"]
-                    break
+        if m := ORPHAN.fullmatch(ls[i]):
+            j = next((j for j in range(i + 1, min(i + 4, len(ls))) if ls[j].strip()), None)
+            if j and len(s := ls[j].strip()) <= 80 and not ORPHAN.fullmatch(ls[j]) and label_of(s):
+                out.append(f"{m[1].rstrip('.')}. {s}")
+                i = j + 1
+                continue
+        out.append(ls[i])
         i += 1
-    return "\n".join(ls)
+    return "\n".join(out)
 
 
 def wrapped_hyphens(text: str) -> str:

@@ -17,32 +17,30 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 #: Canonical labels and the heading texts, lower case, that mean them.
 VARIANTS: dict[str, tuple[str, ...]] = {
-    "abstract": ("abstract", "summary"),
-    "keywords": ("keywords", "key words", "index terms"),
-    "introduction": ("introduction", "background"),
-    "literature_review": ("literature review", "related work", "theoretical background"),
-    "methods": ("method", "methods", "materials and methods", "methodology", "experimental procedures"),
-    "participants": ("participants", "subjects", "sample"),
-    "measures": ("measures", "materials", "instruments"),
-    "procedure": ("procedure", "procedures"),
-    "results": ("results", "findings", "results and discussion"),
-    "discussion": ("discussion", "general discussion"),
-    "limitations": ("limitations",),
-    "conclusion": ("conclusion", "conclusions", "concluding remarks"),
-    "acknowledgments": ("acknowledgments", "acknowledgements"),
-    "funding": ("funding", "financial support"),
-    "conflict_of_interest": ("conflict of interest", "competing interests", "declaration of competing interest"),
-    "data_availability": ("data availability", "data availability statement", "open practices"),
-    "author_contributions": ("author contributions", "contributors"),
-    "references": ("works cited", "references", "literature cited", "bibliography"),
-    "appendix": ("appendix", "supplementary material", "supplemental materials"),
-    "footnotes": ("footnotes", "notes"),
+    "abstract": ("abstract",),
+    "keywords": ("keyword", "keywords", "key words"),
+    "author_note": ("author note", "authors note", "author's note", "authors' note", "orcid ids"),
+    "introduction": ("introduction", "background", "introduction and background"),
+    "literature_review": ("literature review", "review of literature", "related work", "theory", "theoretical background"),
+    "methods": ("method", "methods", "methodology", "materials and methods", "materials & methods", "experimental procedures", "experiment", "experiments"),
+    "results": ("results", "results and discussion", "findings", "empirical results", "experimental results", "evaluation", "experimental evaluation", "performance evaluation"),
+    "discussion": ("discussion", "discussion and conclusion", "discussion and conclusions"),
+    "general_discussion": ("general discussion", "overall discussion"),
+    "conclusion": ("conclusion", "conclusions", "conclusion and future work", "conclusions and future work", "concluding remarks"),
+    "acknowledgments": ("acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments"),
+    "funding": ("funding", "funding information", "funding statement", "financial support", "grants", "financial disclosure", "financial disclosure/funding", "funding/financial disclosure"),
+    "conflict_of_interest": ("conflict of interest", "conflicts of interest", "competing interest", "competing interests", "competing financial interests", "declarations", "disclosure", "disclosures", *(f"declaration of {kind}interest{s}" for kind in ("", "competing ", "conflicting ") for s in ("", "s"))),
+    "data_availability": ("data availability", "data availability statement", "availability of data", "data and materials availability", "code availability", "data and code availability"),
+    "author_contributions": ("author contribution", "author contributions", "contributions", "credit author statement", "credit authorship statement", "authorship declaration", "authorship statement"),
+    "references": ("references", "reference list", "list of references", "cited references", "bibliography", "works cited", "literature", "literature cited", "cited literature"),
+    "appendix": ("appendix", "appendices", "appendix a", "appendix b", "appendix c", "appendix d"),
+    "supplementary": ("supplementary", "supplementary information", "supplementary material", "supplementary materials", "supplemental material", "supplemental materials", "supporting information", "online supplement", "online supplementary material"),
 }
 LABEL = {v: label for label, vs in VARIANTS.items() for v in vs}
-BACK = set("references appendix acknowledgments funding conflict_of_interest data_availability author_contributions footnotes".split())
+BACK = set("references appendix supplementary acknowledgments funding conflict_of_interest data_availability author_contributions footnotes".split())
 BODY = set("methods results discussion introduction literature_review".split())
 UNKNOWN = "unknown"
-NUMBERING = re.compile(r"^(?:[0-9]+(?:[.][0-9]+)*[.]?|[IVX]+[.])\s+")
+NUMBERING = re.compile(r"^\s*(?:[0-9]+(?:[.][0-9]+)*[.]?|[ivxIVX]+[.]?|[A-Za-z][.])\s+")
 NEAR = 100
 BREAK = re.compile("(\n\\s*\n)")
 
@@ -61,8 +59,8 @@ class Hint:
 
 
 def label_of(heading: str) -> str | None:
-    """The canonical label of a heading, numbering and a final colon aside."""
-    return LABEL.get(NUMBERING.sub("", heading.strip()).rstrip(" :.").lower())
+    """The canonical label of a heading; numbering, final punctuation, case and runs of white space aside."""
+    return LABEL.get(" ".join(re.sub(r"[\s:.\-–—]+$", "", NUMBERING.sub("", heading.strip())).lower().split()))
 
 
 def hints(text: str) -> list[Hint]:

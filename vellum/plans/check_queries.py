@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import quality
 from vellum.functions.rewrite import quote
 from vellum.operators import checks, lines
+from vellum.plans.html_sql import html_to_text_sql
 from vellum.plans.corpus import read, with_samples, with_samples_sql
 from vellum.sources import formats, sinks
 from vellum.streaming import quality_stream
@@ -38,14 +39,11 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", formats.pdf_pages(raw.cast("binary")).alias("n_pages"))
 
 
-@query("decode_html", "SELECT page_id, md5(html) AS html_md5 FROM pages")
+@query("decode_html", f"SELECT page_id, {html_to_text_sql("concat(html, '<p>caf', chr(65533), chr(65533), '</p>')")} AS text FROM pages")
 def decode_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes through the decoder keep every character: the page itself, with its tags escaped, comes back."""
-    shown = F.replace(F.replace(F.replace(F.col("html"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    back = F.decode(formats.checked(F.encode(shown, "UTF-8"), 1 << 30), "UTF-8")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        back = F.replace(back, F.lit(a), F.lit(b))
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(back).alias("html_md5"))
+    """Whole pages as bytes, with two at the end that aren't UTF-8."""
+    raw = F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("3C703E636166FFFE3C2F703E")))
+    return read(spark, sf_dir, "pages").select("page_id", formats.decode_html(raw, cap=1 << 30).alias("text"))
 
 
 _q = quality.quality_sql("documents")

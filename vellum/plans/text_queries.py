@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import html, normalize, quality
-from vellum.functions.rewrite import quote
+from vellum.functions import fulltext, html, normalize, quality
 from vellum.operators import lines
-from vellum.plans.corpus import read, with_samples, with_samples_sql
+from vellum.operators.lines import text_udf
+from vellum.plans import cases
+from vellum.plans.html_sql import html_to_text_sql
+from vellum.plans.corpus import pick, pick_sql, read, with_samples, with_samples_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -59,11 +61,32 @@ def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # HTML:
-@query("html_to_text", f"SELECT page_id, {html.html_to_text_sql('html')} AS text FROM pages")
+@query("html_to_text", f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+#: Pages and their texts.
+PAGES = (
+    ("<p>r = &minus;0.5 &mdash; &eta;&sup2;, caf&eacute; &#8217;&#x2014;</p>", "r = −0.5 — η², café ’—"),
+    ('<div title="a>b">x</div><p>y</p>', "x\ny"),
+    ("<p>before</p><script>never closed <p>x", "before"),
+    ("<svg><svg>i</svg>LEAK</svg><p>shown</p>", "shown"),
+    ("<head><title>t</title><body><p>One <b>two</b>three</p>four", "One two three\nfour"),
+    ("<ul><li>a<li>b</ul>1 < 2 &amp; 3 &lt; 4", "a\nb\n1 < 2 & 3 < 4"),
+    ("<!doctype html><!-- <p>no</p> --><td>a</td><td>b</td>c<br/>d</i>e", "a\nb\nc\nde"),
+    ("<P>Upper<BR>case</P><noscript>n</noscript><p>A</p><p></p><p></p><p>B</p>", "Upper\ncase\nA\nB"),
+    ("a\u00a0 b\u2003c\r\nd\u2028e", "a b c\nd\ne"),
+    ("<a href=x>Ann</a><a>Lee</a><em>F</em>(1, 30)", "Ann Lee F (1, 30)"),
+)
+
+
+@query("html_cases", f"SELECT page_id, {pick_sql(tuple(p[1] for p in PAGES), 'page_id')} AS text FROM pages")
+def html_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a replacement of tags gets wrong."""
+    return read(spark, sf_dir, "pages").select("page_id", html.html_to_text(pick(tuple(p[0] for p in PAGES), "page_id")).alias("text"))
+
+
 # Normalization, step by step:
 def step_query(step: normalize.Step) -> None:
     samples = step.positive + step.negative + (step.positive[0] + "\n" + step.positive[0],)
@@ -79,39 +102,41 @@ def step_query(step: normalize.Step) -> None:
 for _step in normalize.STEPS:
     step_query(_step)
 
-ALL_SAMPLES = tuple(s.positive[0] for s in normalize.STEPS)
-
-
-def level_query(name: str, level: str) -> None:
-    @query(name, f"SELECT doc_id, md5({normalize.normalize_sql('text', level)}) AS text_md5 FROM {with_samples_sql(*ALL_SAMPLES)}")
+def cases_query(name: str, f, some: tuple[cases.Case, ...]) -> None:
+    @query(name, cases.expected_sql(some))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return with_samples(spark, sf_dir, *ALL_SAMPLES).select("doc_id", F.md5(normalize.normalize(F.col("text"), level)).alias("text_md5"))
+        return cases.before_texts(spark, sf_dir, f, some)
+
 
+for _i, _level in enumerate(("none", "standard", "academic")):
+    cases_query(f"norm_level_{_level}", lambda t, level=_level: fulltext.normalize(t, level), tuple((c[0], c[_i]) for c in cases.NORMALIZED))
+cases_query("norm_keep_math", lambda t: fulltext.normalize(t, "academic", keep_math=True), tuple((c[0], c[0].replace("(0,25)", "(0, 25)")) for c in cases.NORMALIZED if c[0].startswith(("N =", "α", "It was 0,05"))))
 
-for _name in ("none", "standard", "academic"):
-    level_query(f"norm_level_{_name}", _name)
+EVERYTHING = tuple(c[0] for c in cases.NORMALIZED)
 
 
-@query("norm_idempotent", f"SELECT doc_id, true AS stable FROM {with_samples_sql(*ALL_SAMPLES)}")
+@query("norm_idempotent", f"SELECT doc_id, true AS stable FROM {with_samples_sql(*EVERYTHING)}")
 def norm_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalizing again changes nothing."""
-    once = with_samples(spark, sf_dir, *ALL_SAMPLES).select("doc_id", normalize.normalize(F.col("text")).alias("once"))
-    return once.select("doc_id", (normalize.normalize(F.col("once")) == F.col("once")).alias("stable"))
+    once = with_samples(spark, sf_dir, *EVERYTHING).select("doc_id", fulltext.normalize(F.col("text")).alias("once"))
+    return once.select("doc_id", (fulltext.normalize(F.col("once")) == F.col("once")).alias("stable"))
 
 
-def _report_sql() -> str:
-    ctes, last = [f"s0 AS (SELECT doc_id, text AS t, '' AS ch FROM {with_samples_sql(*ALL_SAMPLES)})"], 0
-    for i, s in enumerate(normalize.EVERYDAY):
-        ctes.append(f"r{i} AS (SELECT doc_id, t, ch, {s.rewrite.sql('t')} AS n FROM s{last})")
-        ctes.append(f"s{i + 1} AS (SELECT doc_id, n AS t, ch || CASE WHEN n <> t THEN {quote(s.code + ',')} ELSE '' END AS ch FROM r{i})")
-        last = i + 1
-    return f"WITH {', '.join(ctes)} SELECT doc_id, rtrim(ch, ',') AS steps_changed, {len(normalize.EVERYDAY)} AS n_applied FROM s{last}"
+#: Texts, the steps that change them, and by how many characters.
+REPORTED = (
+    ("e\ufb00ect “a”", "ligatures,quotes", "ligatures:1"),
+    ("p\n= .03", "statistic_lines", ""),
+    ("η² = .12 of N = 1,234", "thousands,math_words", "math_words:2,thousands:1"),
+    ("Page 12\nIt was.", "furniture", "furniture:8"),
+    ("plain", "", ""),
+)
 
 
-@query("norm_report", _report_sql())
+@query("norm_report", f"SELECT doc_id, {pick_sql(tuple(r[1] for r in REPORTED))} AS steps_changed, {pick_sql(tuple(r[2] for r in REPORTED))} AS chars, 52 AS n_applied FROM documents")
 def norm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = normalize.with_report(with_samples(spark, sf_dir, *ALL_SAMPLES), level="standard")
-    return r.select("doc_id", F.array_join("report.steps_changed", ",").alias("steps_changed"), F.size("report.steps_applied").alias("n_applied"))
+    r = fulltext.with_report(read(spark, sf_dir, "documents").select("doc_id", pick(tuple(r[0] for r in REPORTED)).alias("text")))
+    chars = F.array_join(F.array_sort(F.transform(F.map_entries("report.changes"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return r.select("doc_id", F.array_join("report.steps_changed", ",").alias("steps_changed"), chars.alias("chars"), F.size("report.steps_applied").alias("n_applied"))
 
 
 ACCENTED = ("café", "naïve Å", "plain")
@@ -124,49 +149,12 @@ def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Lines:
-def kept_sql(source: str, keep: str) -> str:
-    """Lines of ``source`` for which ``keep`` (of l, trimmed s, 0-based i) holds, put together again."""
-    return f"""SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM (
-        SELECT doc_id, i - 1 AS i, ls[i] AS l, trim(ls[i], ' ') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {source}), unnest(range(1, len(ls) + 1)) AS u(i))
-        WHERE {keep} GROUP BY doc_id"""
-
-
-HEADED = "(SELECT doc_id, concat('ORIGINAL ARTICLE', chr(10), 'doi: 10.1000/', doc_id::VARCHAR, chr(10), text, chr(10), 'Check for updates') AS text FROM documents)"
-
-
-def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws("\n", F.lit("ORIGINAL ARTICLE"), F.concat(F.lit("doi: 10.1000/"), F.col("doc_id").cast("string")), "text", F.lit("Check for updates")).alias("text"))
-
-
-@query("norm_banner", kept_sql(HEADED, f"NOT (i < 30 AND regexp_full_match(s, {quote('|'.join(lines.BANNERS))}))"))
-def norm_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headed(spark, sf_dir).select("doc_id", lines.drop_banners(F.col("text")).alias("text"))
-
-
-FOOTERS = ("Page 3 of 12", "© 2019 The Authors. Published by a press.", "Accepted: 4 May 2019 by us", "an ordinary line")
-
-
-@query("norm_furniture", kept_sql(with_samples_sql(*FOOTERS), f"NOT regexp_full_match(s, {quote('|'.join(lines.FURNITURE))})"))
-def norm_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_samples(spark, sf_dir, *FOOTERS).select("doc_id", lines.drop_furniture(F.col("text")).alias("text"))
-
-
-LEAKS = ("Keywords: memory; recall", "ARTICLE INFO", "Available online 3 June 2018")
-
-
-@query(
-    "norm_front_matter",
-    f"""WITH src AS (SELECT doc_id, concat(list_extract([{', '.join(map(quote, LEAKS))}], (doc_id % 3 + 1)::INT), chr(10), text) AS text FROM documents),
-    l AS (SELECT doc_id, length(text) AS n, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS begins FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM src), unnest(range(1, len(ls) + 1)) AS u(i))
-    SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM l
-    WHERE n < 200 OR NOT (begins < greatest(8000, n // 6) AND regexp_full_match(trim(l, ' '), {quote('|'.join(lines.FRONT))})) GROUP BY doc_id""",
-)
-def norm_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.plans.corpus import pick
-
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", pick(LEAKS), "text").alias("text"))
-    return d.select("doc_id", lines.drop_front_matter(F.col("text")).alias("text"))
+cases_query("norm_banner", text_udf(lines.without_banners), cases.BANNERS)
+cases_query("norm_furniture", lines.furniture, cases.FURNITURE)
+cases_query("norm_front_matter", lines.drop_front_matter, cases.LEAKS)
+cases_query("norm_contents", lines.drop_contents, cases.CONTENTS)
+cases_query("norm_running_heads", lines.running_heads, cases.HEADS)
+cases_query("norm_page_clusters", lines.page_number_clusters, cases.CLUSTERS)
 
 
 SPACED = ("a b s t r a c t", "m e t h o d", "x y z", "A b c d e")
@@ -178,17 +166,6 @@ def norm_letterspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_samples(spark, sf_dir, *SPACED).select("doc_id", lines.close_spaced_labels(F.col("text")).alias("text"))
 
 
-CONTENTS = ("Table of Contents\n1 Start ____ 3\n\nBody text", "Intro\n\nMethods ________ 4\n\nmore", "nothing")
-
-
-@query("norm_contents")
-def norm_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.plans.corpus import pick
-
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n\n", pick(CONTENTS), "text").alias("text"))
-    return d.select("doc_id", lines.drop_contents(F.col("text")).alias("text"))
-
-
 HEADS = "(SELECT doc_id, concat(text, chr(10), repeat(concat('Running head ', (doc_id % 7 + 100)::VARCHAR, chr(10), repeat(concat('filler', chr(10)), 20)), 4 + (doc_id % 3)::INT), repeat(concat(1400 + doc_id % 9, chr(10), 'x', chr(10)), 3), 7, chr(10), 12, chr(10), 7) AS text FROM documents)"
 
 
@@ -211,25 +188,14 @@ def norm_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(spark, sf_dir).select("doc_id", lines.repeated_lines(F.col("text")).alias("text"))
 
 
-@query("norm_page_clusters")
-def norm_page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heads(spark, sf_dir).select("doc_id", lines.page_number_clusters(F.col("text")).alias("text"))
-
-
-@query("norm_running_heads")
-def norm_running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heads(spark, sf_dir).select("doc_id", lines.running_heads(F.col("text")).alias("text"))
-
-
 @query("norm_page_numbers", f"""SELECT doc_id, string_agg(s, ',' ORDER BY s) AS numbers FROM (
     SELECT doc_id, s FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))) AS s FROM {HEADS}) WHERE regexp_full_match(s, '[0-9]{{1,3}}') GROUP BY doc_id, s HAVING count(*) >= 2) GROUP BY doc_id""")
 def norm_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(spark, sf_dir).select("doc_id", F.array_join(lines.page_numbers(F.col("text")), ",").alias("numbers"))
 
 
-PAGED = ("One two\nthree four\nFive Six\n" * 6 + "\f" + "plain page", "only one page of prose")
-
-
-@query("interleave_pages")
+@query("interleave_pages", f"SELECT doc_id, {pick_sql(tuple(c[1] for c in cases.PAGES))} AS pages FROM documents")
 def interleave_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_samples(spark, sf_dir, *PAGED).select("doc_id", F.array_join(lines.interleaved_pages(F.col("text")), ",").alias("pages"))
+    found = lines.interleaved_pages(F.concat(pick(tuple(c[0] for c in cases.PAGES)), F.lit("\f"), F.regexp_replace(F.coalesce("text", F.lit("")), "\\f", " ")))
+    pages = F.filter(found, lambda p: p <= F.size(F.split(pick(tuple(c[0] for c in cases.PAGES)), "\f")))  # those of the case, not of the text after it
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(pages, ",").alias("pages"))

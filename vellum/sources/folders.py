@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one, and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="vellum-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         path = f"file://{made}"

@@ -6,7 +6,7 @@ import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.normalize import ACADEMIC, normalize, with_report
+from vellum.functions.fulltext import ACADEMIC, normalize, with_report
 from vellum.functions.quality import quality
 
 VERSION = "0.1.0"

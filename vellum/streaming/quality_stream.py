@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vellum.functions.normalize import normalize
+from vellum.functions.fulltext import normalize
 from vellum.functions.quality import quality
 from vellum.sources.folders import work_path
 
