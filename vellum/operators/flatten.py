@@ -65,12 +65,27 @@ def p_value(cell: Column) -> Column:
     return let(number(F.regexp_replace(cell, r"(?i)^\s*p", "")), lambda v: F.when(v.between(0, 1), F.struct(op.alias("op"), v.alias("value"))))
 
 
-def interval(cell: Column) -> Column:
-    """``struct(lower, upper)`` of the last bracketed pair of a cell, or of the pair that is the whole cell; lower <= upper."""
+HYPHENED = r"^\s*[\[(]?\s*([-−]?)((?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*[-−]\s*([-−]?)((?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*[\])]?\s*$"
+
+
+def interval(cell: Column, est: Column | None = None) -> Column:
+    """``struct(lower, upper)`` of the last bracketed pair of a cell, or of the pair that is the whole cell; lower <= upper.
+
+    A hyphen between the bounds may be a sign: of the readings, the written one first, the first that ascends and holds ``est`` counts.
+    """
     inner = F.try_element_at(F.regexp_extract_all(cell, F.lit(r"[\[(]([^\[\]()]*)[\])]"), F.lit(1)), F.lit(-1))
     bound = lambda body, k: F.translate(F.regexp_extract(body, PAIR, k), "−", "-").try_cast("double")
     pair = let(F.coalesce(inner, cell), lambda body: F.struct(bound(body, 1).alias("lower"), bound(body, 2).alias("upper")))
-    return let(pair, lambda c: F.when(c["lower"] <= c["upper"], c))
+
+    def hyphened(body: Column) -> Column:
+        part = lambda k: F.regexp_extract(body, HYPHENED, k)
+        size = lambda k: part(k).try_cast("double")
+        sign = lambda k: F.when(part(k) == "", 1.0).otherwise(-1.0)
+        read = [F.struct((a * size(2)).alias("lower"), (c * size(4)).alias("upper")) for a in (sign(1), F.lit(1.0), F.lit(-1.0)) for c in (sign(3), F.lit(1.0), F.lit(-1.0))]
+        good = lambda r: (r["lower"] < r["upper"]) & (F.lit(True) if est is None else F.coalesce(est.between(r["lower"], r["upper"]), F.lit(True)))
+        return F.get(F.filter(F.array(*read), good), F.lit(0))
+
+    return let(pair, lambda c: F.when(c["lower"].isNull(), let(F.coalesce(inner, cell), hyphened)).when(c["lower"] <= c["upper"], c))
 
 
 def upper_with_sign(est: Column, lower: Column, upper: Column) -> Column:
@@ -87,7 +102,7 @@ FIELDS = (*GUARDS, "p_op", "p", "CI_lower", "CI_upper")
 def fields(cells: Column) -> Column:
     """Typed fields of one row from an array of ``struct(role, text)``: the first cell of each role; what fails its guard is null."""
     cell = lambda r: F.get(F.filter(cells, lambda c: c["role"] == r), F.lit(0))["text"]
-    raw = F.struct(*(number(cell(n)).alias(n) for n in GUARDS), p_value(cell("p")).alias("p"), interval(cell("CI")).alias("ci"), number(cell("CI_lower")).alias("lo"), number(cell("CI_upper")).alias("hi"))
+    raw = F.struct(*(number(cell(n)).alias(n) for n in GUARDS), p_value(cell("p")).alias("p"), interval(cell("CI"), F.coalesce(*(number(cell(n)) for n in ("est", "d", "r")))).alias("ci"), number(cell("CI_lower")).alias("lo"), number(cell("CI_upper")).alias("hi"))
 
     def typed(r: Column) -> Column:
         est = F.coalesce(r["est"], r["d"], r["r"])
