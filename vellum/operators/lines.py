@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -57,6 +57,16 @@ def page_numbers(text: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(shown), lambda n: F.size(F.filter(shown, lambda m: m == n)) >= 2))
 
 
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, line, text, above, below)`` of each line: the nearest lines with text on either side; a text's lines, found in its row."""
+    ls = F.transform(F.split(F.col(text_col), NL), lambda l: F.trim(l))
+    step = lambda s, l: F.struct(F.concat(s["out"], F.array(s["last"])).alias("out"), F.when(l != "", l).otherwise(s["last"]).alias("last"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    before = lambda xs: F.aggregate(xs, start, step, lambda s: s["out"])
+    both = docs.where(F.col(text_col).isNotNull()).select(id_col, ls.alias("ls")).select(id_col, F.arrays_zip(F.col("ls").alias("text"), before(F.col("ls")).alias("above"), F.reverse(before(F.reverse("ls"))).alias("below")).alias("l"))
+    return both.select(id_col, F.posexplode("l").alias("line", "l")).select(id_col, "line", "l.text", "l.above", "l.below")
+
+
 # Counted within a text: one Arrow pass:
 def text_udf(f: Callable[[str], str]) -> Callable[[Column], Column]:
     """An Arrow-batched column function of a text rewrite; null stays null."""

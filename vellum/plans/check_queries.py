@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +62,16 @@ def sidecar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", F.to_json(F.struct("score", "confidence", "garbled")).alias("sidecar"))
 
 
-@query("extract_documents")
+@query("extract_documents", f"SELECT q.doc_id, md5(d.text) AS text_md5, q.score, 0 AS n_changed, CASE WHEN d.text IS NULL THEN 'no text' END AS error FROM ({_q}) q JOIN documents d USING (doc_id)")
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sinks.extract(read(spark, sf_dir, "documents"), level="standard")
-    return out.select("doc_id", F.md5("text").alias("text_md5"), F.col("quality.score").alias("score"), F.size("report.steps_changed").alias("n_changed"))
+    """Texts as they are, with quality and report; normalization has queries of its own."""
+    out = sinks.extract(read(spark, sf_dir, "documents"), level="none")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.col("quality.score").alias("score"), F.size("report.steps_changed").alias("n_changed"), "error")
 
 
-@query("version_info")
+@query("version_info", f"SELECT {quote(sinks.VERSION)} AS engine, {quote(pyspark.__version__)} AS spark, {quote(pyspark.__version__)} AS pyspark")
 def version_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.versions(spark)
+    return sinks.versions(spark).select("engine", "spark", "pyspark")
 
 
 # Checks:
@@ -178,8 +180,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_type", F.col("window.start").alias("hour"), F.col("count").alias("n"))
 
 
-@query("nearest_lines")
+@query("nearest_lines", """WITH l AS (SELECT doc_id, i - 1 AS i, trim(ls[i], ' ') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
+    n AS (SELECT doc_id, i, s, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, first_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM l)
+    SELECT doc_id, i::INT AS line, above, below FROM n""")
 def nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts after the line operators that count within a text, all in one projection."""
-    t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(lines.running_heads(lines.page_number_clusters(lines.repeated_lines(t)))).alias("text_md5"))
+    """Of each line the nearest lines with text above and below it."""
+    return lines.neighbours(read(spark, sf_dir, "documents")).select("doc_id", "line", "above", "below")

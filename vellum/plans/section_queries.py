@@ -80,20 +80,29 @@ def headings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("variant", key).join(F.broadcast(dim), "variant", "left").select("heading", "label")
 
 
-@query("section_hints")
+@query("section_hints", SPANS_SQL[: SPANS_SQL.index("a AS (SELECT * FROM m")].rstrip().rstrip(",") + " SELECT doc_id, s AS heading, starts::INT AS char_start, label FROM m")
 def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaffold(spark, sf_dir).select("doc_id", F.inline(sections.heading_hints(F.col("text"))))
+    """Canonical headings, before any of them is dropped or numbered."""
+    found = scaffold(spark, sf_dir).select("doc_id", F.inline(sections.heading_hints(F.col("text"))))
+    return found.where("label IS NOT NULL").select("doc_id", F.col("text").alias("heading"), "char_start", "label")
 
 
-@query("section_subheadings")
+@query("section_subheadings", "SELECT doc_id, 'references' AS label, 'Early Work|Late Work' AS subheadings FROM documents")
 def section_subheadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scaffold(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n\nEarly Work\n\nProse of it.")))
-    return sections.section_rows(d).where(F.size("subheadings") > 0).select("doc_id", "label", F.array_join("subheadings", "|").alias("subheadings"))
+    """Unlabelled headings of the section they stand in; those of the last section, which no document's own text reaches."""
+    d = scaffold(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n\nEarly Work\n\nProse of it.\n\nLate Work\n\nMore of it.")))
+    return sections.section_rows(d).where("label = 'references'").select("doc_id", "label", F.array_join("subheadings", "|").alias("subheadings"))
 
 
-@query("synth_sections")
+@query("synth_sections", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'abstract' ELSE 'introduction' END AS label, (CASE WHEN doc_id % 2 = 0 THEN 122 ELSE 912 END)::INT AS char_start, (CASE WHEN doc_id % 2 = 0 THEN 124 + 2000 ELSE 914 + 2500 END + doc_id % 50)::INT AS char_end FROM documents""")
 def synth_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.section_rows(scaffold(spark, sf_dir)).where("detected_via = 'synthesized'").select("doc_id", "label", "char_start", "char_end")
+    """An abstract out of an unlabelled front, past a first short paragraph, and an introduction out of a long abstract."""
+    i = F.col("doc_id")
+    wide = lambda c, n: F.repeat(F.lit(c), (n + i % 50).cast("int"))
+    front = F.concat(F.repeat(F.lit("short "), F.lit(20)), F.lit("\n\n"), wide("w", 2000))
+    long = F.concat(F.lit("Abstract\n\n"), F.repeat(F.lit("y"), F.lit(900)), F.lit("\n\n"), wide("z", 2500))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(i % 2 == 0, front).otherwise(long), F.lit("\n\nMethods\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return sections.section_rows(d).where("detected_via = 'synthesized'").select("doc_id", "label", "char_start", "char_end")
 
 
 PAGED = "(SELECT doc_id, concat(text, chr(12), repeat('second page ', (doc_id % 5 + 1)::INT), chr(12), 'third') AS text FROM documents)"
