@@ -121,8 +121,28 @@ def test_alignment_against_the_whole_table():
     code = lambda s: np.array([ord(c) for c in s], np.uint32)
     for _ in range(200):
         a, b = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
-        got = leaks.distance(code(a), code(b), 50)
-        assert got[0] == edit(a, b) and edit(a, b[got[1] : got[2]]) >= got[0]
+        whole = leaks.distance(code(a), code(b), 0, len(b), -len(a), len(a) + len(b) + 1, 50) if b else (len(a), 0, 0)
+        assert whole[0] == edit(a, b) and edit(a, b[whole[1] : whole[2]]) == whole[0]
+
+
+def test_leaks_equal_a_comparison_of_every_document_with_every_item(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    items = [" ".join(word() for _ in range(n)) for n in (4, 4, 5, 5, 6, 8, 12, 20, 30)]
+    items = [t[:n] if n else t for t, n in zip(items, (20, 21, 22, 23, 25, 0, 0, 0, 0))]
+    items = [t.strip() for t in items]
+    texts = []
+    for k in range(120):
+        t = list(rng.choice(items)) if k % 2 else []
+        for _ in range(rng.randint(0, 2 + len(t) // 25)):
+            if t:
+                p, o = rng.randrange(len(t)), rng.randrange(3)
+                t[p : p + (o != 2)] = [] if o == 1 else rng.choice("xyz")
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 9))] + ["".join(t)] + [word() for _ in range(rng.randint(0, 9))]))
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if edit(plain(x), plain(t)) <= int(leaks.ERROR * len(plain(x)))}
+    got = leaks.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
 
 
 def test_planted_items_are_found_and_nothing_else(spark):

@@ -6,8 +6,8 @@ region shares at least m - q + 1 - q e of the item's q-grams, and the diagonals
 position) of those lie at most e apart. So hits are counted in bands of 2 (e + 1) diagonals that overlap by
 half: the region's hits lie in one of them. Bands that reach the bound are aligned.
 
-Where q e would take the whole bound (items under about 60 characters), e is lowered so that one q-gram at least must
-be shared. Items under ``Q`` characters match exactly, as a whole that no compared character adjoins. Items without
+Where q e would take the whole bound, the item's q is lowered until one q-gram at least must be shared; the edits aren't.
+Items under ``Q`` characters match exactly, as a whole that no compared character adjoins. Items without
 a compared character can't match; their number is logged as a warning.
 """
 
@@ -61,45 +61,95 @@ def grams(y: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(rolling(y.astype(U64) * U64(BASE) + U64(1), q))
 
 
-def distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Edits, start and end of the best alignment of the whole item inside the region; None above ``most``.
+def distance(item: np.ndarray, y: np.ndarray, lo: int, hi: int, first: int, width: int, most: int) -> tuple[int, int, int] | None:
+    """Edits, start and end of the best alignment of the whole item to a part of ``y[lo:hi]``; None above ``most``.
 
-    Sellers' recurrence. A cell that costs more than ``most`` is dropped, so only the band around promising
-    diagonals is kept alive; of equal alignments the one that ends first, then the longest.
+    Only cells on the ``width`` diagonals from ``first`` on (position in ``y`` less position in the item) are computed, so
+    the cost is the item's length times the band's width. Of equal alignments the one that ends first, then the longest.
     """
-    n, big = len(region), most + 1
-    cols = np.arange(n + 1)
-    cost, origin = np.zeros(n + 1, np.int64), cols.copy()
-    for i, c in enumerate(item, 1):
-        diag = np.concatenate([[big], cost[:-1] + (region != c)])
-        new = np.minimum(diag, cost + 1)
-        start = np.where(diag <= cost + 1, np.concatenate([[0], origin[:-1]]), origin)
-        run = new - cols  # insertions: the least cost to the left plus the way from there
+    big, d = most + 1 + len(item), np.arange(width)
+    cols = first + d  # how far in y a cell stands
+    cost, origin = np.where((cols >= lo) & (cols <= hi), 0, big), cols.copy()
+    for c in item:
+        cols = cols + 1
+        step = np.where((cols > lo) & (cols <= hi), y[np.clip(cols - 1, lo, hi - 1)] != c, big)
+        diag, up = cost + step, np.append(cost[1:] + 1, big)
+        new = np.where((cols >= lo) & (cols <= hi), np.minimum(diag, up), big)
+        start = np.where(diag <= up, origin, np.append(origin[1:], 0))
+        run = new - d  # insertions: the least cost to the left plus the way from there
         low = np.minimum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == low, cols, 0))
-        better = low < run
-        cost, origin = np.where(better, low + cols, new), np.where(better, start[source], start)
+        source = np.maximum.accumulate(np.where(run == low, d, 0))
+        better = (low < run) & (cols <= hi)
+        cost, origin = np.where(better, low + d, new), np.where(better, start[source], start)
         if cost.min() > most:
             return None
     best = int(cost.min())
-    end = int(np.flatnonzero(cost == best)[0])
-    return best, int(origin[end]), end
+    at = int(np.flatnonzero(cost == best)[0])
+    return best, int(origin[at]), int(cols[at])
+
+
+class Index:
+    """The q-grams of items that are compared by the same q."""
+
+    def __init__(self, q: int, items: list[np.ndarray], number: np.ndarray, edits: np.ndarray):
+        size = np.array([len(y) for y in items], np.int64)
+        self.q, self.items, self.number, self.edits = q, items, number, edits
+        self.bound = size - q + 1 - q * edits
+        h = np.concatenate([grams(y, q) for y in items])
+        item = np.repeat(np.arange(len(items), dtype=np.int32), size - q + 1)
+        pos = np.concatenate([np.arange(n - q + 1, dtype=np.int32) for n in size])
+        order = np.argsort(h, kind="stable")
+        h, self.item, self.pos = h[order], item[order], pos[order]
+        starts, _ = group_slices(h)
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.keys, self.first = h[starts], np.append(starts, len(h))
+
+    def matches(self, y: np.ndarray, off: np.ndarray):
+        """``(document, item, start, end, edits)`` of each leak, as positions in ``y``."""
+        q, h = self.q, grams(y, self.q)
+        if not len(h):
+            return
+        maybe = np.flatnonzero(self.table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        real = self.keys[k] == h[maybe]
+        at, k = maybe[real], k[real]
+        doc = np.searchsorted(off, at, side="right") - 1
+        inside = at + q <= off[doc + 1]
+        at, k, doc = at[inside], k[inside], doc[inside]
+        counts = self.first[k + 1] - self.first[k]
+        where = ragged(self.first[k], counts)
+        at, doc = np.repeat(at, counts), np.repeat(doc, counts)
+        item = self.item[where].astype(np.int64)
+        band = (at - self.pos[where]) // (self.edits[item] + 1)
+        # a hit counts in the band that starts at its half band and in the one before
+        docs, item, band = np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])
+        order = np.lexsort((band, item, docs))
+        docs, item, band = docs[order], item[order], band[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+        starts = np.flatnonzero(new)
+        hits = np.diff(np.append(starts, len(docs)))
+        good = starts[hits >= self.bound[item[starts]]]
+        last: tuple[int, int, int] | None = None
+        for d, i, b in zip(docs[good].tolist(), item[good].tolist(), band[good].tolist()):
+            e, n = int(self.edits[i]), len(self.items[i])
+            # two matches can't share a band: they would lie at least n - e diagonals apart
+            low = b * (e + 1) - e
+            lo, hi = max(int(off[d]), low), min(int(off[d + 1]), (b + 2) * (e + 1) + n + e)
+            if last and last[:2] == (d, i) and lo < last[2]:
+                lo = last[2]  # what the band before has matched isn't matched again
+            if hi - lo >= n - e and (got := distance(self.items[i], y, lo, hi, low, 4 * e + 2, e)):
+                yield d, int(self.number[i]), got[1], got[2], got[0]
+                last = (d, i, got[2])
 
 
 @dataclass
 class Bench:
-    """The q-grams of the items of one pass."""
+    """The items of one pass: indexes by q, and items under ``Q`` characters by length and characters, which come last in ``ids``."""
 
     ids: list[int | None]
-    items: list[np.ndarray]
-    edits: np.ndarray
-    bound: np.ndarray
-    table: np.ndarray
-    keys: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    #: Items under q characters, by length and characters; they come after the others in ``ids`` and ``items``.
+    indexes: list[Index]
     short: dict[int, dict[bytes, list[int]]]
 
     @classmethod
@@ -123,17 +173,10 @@ class Bench:
         for j, (_, y) in enumerate(small, len(items)):
             short.setdefault(len(y), {}).setdefault(y.tobytes(), []).append(j)
         size = np.array([len(y) for y in items], np.int64)
-        edits = np.minimum((error * size).astype(np.int64), (size - q) // q)
-        bound = size - q + 1 - q * edits
-        h = np.concatenate([grams(y, q) for y in items]) if items else np.zeros(0, U64)
-        item = np.repeat(np.arange(len(items)), size - q + 1)
-        pos = np.concatenate([np.arange(n - q + 1) for n in size]) if items else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        h, item, pos = h[order], item[order], pos[order]
-        starts, ends = group_slices(h)
-        table = np.zeros(1 << TABLE_BITS, bool)
-        table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
-        return cls(ids + [i for i, _ in small], items + [y for _, y in small], edits, bound, table, h[starts], np.append(starts, len(h)), item, pos, short)
+        edits = (error * size).astype(np.int64)
+        grain = np.minimum(q, size // (1 + edits))
+        indexes = [Index(int(g), [items[j] for j in at], at, edits[at]) for g in np.unique(grain).tolist() if len(at := np.flatnonzero(grain == g))]
+        return cls(ids + [i for i, _ in small], indexes, short)
 
     def whole(self, y: np.ndarray, off: np.ndarray):
         """Where items under q characters stand on their own, as ``matches``."""
@@ -155,46 +198,11 @@ class Bench:
                         last[i] = d, a + n
                         yield d, i, a, a + n, 0
 
-    def matches(self, y: np.ndarray, off: np.ndarray, q: int = Q):
+    def matches(self, y: np.ndarray, off: np.ndarray):
         """``(document, item, start, end, edits)`` of each leak, as positions in ``y``."""
         yield from self.whole(y, off)
-        h = grams(y, q)
-        if not len(h) or not len(self.keys):
-            return
-        maybe = np.flatnonzero(self.table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        real = self.keys[k] == h[maybe]
-        at, k = maybe[real], k[real]
-        doc = np.searchsorted(off, at, side="right") - 1
-        inside = at + q <= off[doc + 1]
-        at, k, doc = at[inside], k[inside], doc[inside]
-        counts = self.first[k + 1] - self.first[k]
-        where = ragged(self.first[k], counts)
-        at, doc = np.repeat(at, counts), np.repeat(doc, counts)
-        item, diag = self.item[where], np.repeat(at - at, 1) + at - self.pos[where]
-        width = self.edits[item] + 1
-        band = diag // width
-        # a hit counts in the band that starts at its half band and in the one before
-        key = np.concatenate([np.stack([item, band]), np.stack([item, band - 1])], axis=1)
-        docs = np.concatenate([doc, doc])
-        order = np.lexsort((key[1], key[0], docs))
-        docs, item, band = docs[order], key[0][order], key[1][order]
-        new = np.ones(len(docs), bool)
-        new[1:] = (docs[1:] != docs[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-        starts = np.flatnonzero(new)
-        hits = np.diff(np.append(starts, len(docs)))
-        good = starts[hits >= self.bound[item[starts]]]
-        last: tuple[int, int, int] | None = None
-        for d, i, b in zip(docs[good].tolist(), item[good].tolist(), band[good].tolist()):
-            e = int(self.edits[i])
-            lo = max(int(off[d]), b * (e + 1) - e)
-            hi = min(int(off[d + 1]), (b + 2) * (e + 1) + len(self.items[i]) + e)
-            if last and last[:2] == (d, i) and lo < last[2]:
-                lo = max(lo, last[2])  # what the band before has matched isn't matched again
-            while hi - lo >= len(self.items[i]) - e and (got := distance(self.items[i], y[lo:hi], e)):
-                yield d, i, lo + got[1], lo + got[2], got[0]
-                last = (d, i, lo + got[2])
-                lo = last[2]
+        for index in self.indexes:
+            yield from index.matches(y, off)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
