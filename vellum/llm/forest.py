@@ -5,10 +5,11 @@ random directions. A tree is the sorted array of those strings. A query descends
 matching prefixes and then ascends in step, one bit at a time over all trees, tree by tree within a level, until
 ``least`` distinct candidates are found; these are ranked by their exact inner product in double precision.
 
-Vectors are dealt to shards by a hash of their id, so a bucket that holds a third of all rows (equal vectors,
-say) is spread over all shards, and each shard holds a forest over about ``SHARD`` vectors. Blocks of queries visit
-every shard, and the shards' best are merged with partial top-k lists. The directions are drawn, not
-fitted: the index covers every row and nothing is sampled.
+Vectors are dealt to shards by a hash of their id and themselves, so a bucket that holds a third of all rows (equal
+vectors, say, or one id) is spread over all shards, and each shard holds about ``SHARD`` vectors. A shard is one task, which
+builds its forest once; all queries are streamed past it, a batch at a time, and the shards' best are merged with partial top-k
+lists. So vectors are shuffled once and queries once for each shard. The directions are drawn, not fitted: the index
+covers every row and nothing is sampled.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import stage
+from vellum.llm.shared import column, partition_keys, prepare, stage, task
 
 TREES, DEPTH = 48, 32
 SHARD = 16_384
-QUERIES = 4096
 #: Distinct candidates of each shard: this share of its vectors, but ``LEAST`` at least.
 SHARE, LEAST = 0.5, 400
 
@@ -49,6 +49,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.repeated = len(np.unique(ids)) < len(ids)
         codes = strings(vectors)
         self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, 1)
@@ -61,7 +62,7 @@ class Forest:
         return lo, hi
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and scores of the best ``k`` candidates of each query, nearest first, ties to smaller ids."""
+        """Ids and scores of the best ``k`` candidates of each query, nearest first, ties to smaller ids; an id counts once, by its best vector."""
         codes = strings(queries)
         levels = {}
         deepest = np.zeros(len(queries), int)  # the deepest level at which all trees together can suffice
@@ -90,6 +91,12 @@ class Forest:
             at = np.flatnonzero(found)
             at = at[self.ids[at] != own[q]]
             score = self.vectors[at] @ queries[q]
+            if self.repeated:
+                best = np.lexsort((-score, self.ids[at]))
+                at, score = at[best], score[best]
+                first = np.ones(len(at), bool)
+                first[1:] = self.ids[at[1:]] != self.ids[at[:-1]]
+                at, score = at[first], score[first]
             if len(at) > k:
                 cut = np.partition(score, len(at) - k)[len(at) - k]
                 keep = score >= cut
@@ -98,54 +105,61 @@ class Forest:
             yield self.ids[at[best]], score[best]
 
 
-def matrix(col: pa.Array) -> np.ndarray:
-    """A list column without nulls as a double matrix."""
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest to each row of ``queries`` by inner product: ``(query_id, rank, vec_id, score)``.
 
-    Null, empty, zero and non-finite vectors, vectors with null components and rows with null id take no part. Only
-    vectors of the commonest length take part, ties to the longer one. The query's own id is no candidate, so
-    repeated rows of one id find neither themselves nor each other; repeated ids count once, by their least vector.
-    With fewer than ``k`` candidates all are returned; empty tables give no row. Other columns aren't read.
+    Null, empty, zero and non-finite vectors, vectors with null components and rows with null id take no part. A query
+    meets the vectors of its own length. Its own id is no candidate, so rows of one id find neither themselves nor
+    each other; an id on several rows is found once, by its best vector, and as a query takes the best of all its
+    vectors. With fewer than ``k`` candidates all are returned; empty tables give no row. Other columns aren't read.
     """
     spark = vectors.sparkSession
+    prepare(spark)
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.col(vec_col).cast("array<double>")
+        v = column(vec_col).cast("array<double>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.where(F.col(id_col).isNotNull() & v.isNotNull()).where(fine).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
-
-    points = clean(vectors)
-    sizes = points.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        return df.where(column(id_col).isNotNull() & v.isNotNull()).where(fine).select(column(id_col).cast("long").alias("id"), v.alias("v"))
+
+    # equal rows are one, found by partial aggregation, so that copies of a row are no hot shard
+    points, asked = clean(vectors).distinct(), stage(clean(queries).distinct(), "queries")
+    n = max(1, -(-clean(vectors).count() // shard))
+    keys = F.array(*(F.lit(int(x)) for x in partition_keys(n)))
+    points = points.select(F.get(keys, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    visits = asked.select(F.explode(keys).alias("shard"), F.lit(1).alias("kind"), "id", "v")
     schema = "query_id long, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total = int(sizes["count"])
-    n_shards = max(1, -(-total // SHARD))
-    points = points.where(F.size("v") == sizes["n"]).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(21)), F.lit(n_shards)).cast("int"))
-    asked = clean(queries).where(F.size("v") == sizes["n"])
-    asked = stage(asked, "queries")
-    n_blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(22)), F.lit(n_blocks)).cast("int"))
-    # every pair of a shard and a block is a task of bounded size
-    left = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).groupBy("shard", "block")
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).groupBy("shard", "block")
-
-    def search(p: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if p.num_rows and q.num_rows:
-            order = np.argsort(ids := p.column("id").to_numpy())
-            forest = Forest(ids[order], matrix(p.column("v").combine_chunks())[order])
-            own = q.column("id").to_numpy()
-            least = max(LEAST, k + 1, int(share * len(ids)))
-            for i, (found, score) in zip(own, forest.search(matrix(q.column("v").combine_chunks()), own, k, least)):
-                out.append((np.full(len(found), i), found, score))
-        cols = [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else ((), (), ()))]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    found = left.cogroup(right).applyInArrow(search, schema)
+
+    @task
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        forests: dict[int, Forest] | None = None
+        for batch in batches:
+            kind, ids, vs = (batch.column(i) for i in (1, 2, 3))
+            kind, ids = kind.to_numpy(), ids.to_numpy()
+            size = np.diff(vs.offsets.to_numpy())
+            flat, off = np.asarray(vs.values.to_numpy(zero_copy_only=False), np.float64), vs.offsets.to_numpy()
+            rows = lambda at, d: flat[(off[at][:, None] + np.arange(d))]  # noqa: B023, E731
+            for d in np.unique(size[kind == 0]).tolist():
+                at = np.flatnonzero((kind == 0) & (size == d))
+                held.setdefault(d, []).append((ids[at], rows(at, d)))
+            if not (kind == 1).any():
+                continue
+            if forests is None:
+                forests = {}
+                for d, parts in held.items():
+                    own, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    order = np.argsort(own, kind="stable")
+                    forests[d] = Forest(own[order], v[order])
+                held.clear()
+            for d, forest in forests.items():
+                at = np.flatnonzero((kind == 1) & (size == d))
+                if not len(at):
+                    continue
+                least = max(LEAST, k + 1, int(share * len(forest.ids)))
+                found = [(np.full(len(i), q), i, s) for q, (i, s) in zip(ids[at], forest.search(rows(at, d), ids[at], k, least))]
+                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+
+    both = points.unionByName(visits).repartition(n, "shard").sortWithinPartitions("shard", "kind")
+    found = both.mapInArrow(search, schema).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
