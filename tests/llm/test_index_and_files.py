@@ -80,6 +80,26 @@ def test_forest_recall_order_and_scores(spark):
     assert [i for _, i, _ in got[50]][:10] == list(range(100, 110))
 
 
+def test_recall_on_the_given_vectors_over_several_shards(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in d.collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got: dict[int, set] = {}
+    for r in forest.nearest(d, d.where("vec_id % 20 = 0"), shard=max(1, len(rows) // 4)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        want = {i for i, _ in brute(ids, v, q, 20)}
+        hits, total = hits + len(want & got[int(ids[q])]), total + len(want)
+    assert total and hits / total >= 0.9
+
+
+def test_forest_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [2.0, 0.0, 0.0])] + [(2, [2.0, 1.0])] * 5
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, forest.nearest(d, d).collect())) == [(1, 1, 2, 3.0), (2, 1, 1, 3.0), (3, 1, 4, 2.0), (4, 1, 3, 2.0)]
+
+
 def test_forest_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [2.0, 1.0]), (8, []), (7, [2.0, 1.0]), (None, [1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -125,6 +145,27 @@ def test_salvage_keeps_what_is_whole(junk, where):
     assert len(list(s)) == 2 and sum(g.length for g in s.gaps) == len(junk)
 
 
+def test_members_of_several_records_and_other_digests():
+    import base64
+
+    plain = [zlib.decompress(record(i), 31) for i in (1, 2)]
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    s = warc.Salvage(squeeze.compress(b"".join(plain) + b"rest") + squeeze.flush() + record(3))
+    assert len(list(s)) == 3 and len(s.gaps) == 1 and "after 2 records" in s.gaps[0].reason
+    p = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x</p>"
+    sha = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>x</p>").digest()).decode()
+    head = lambda d: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: {d}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(p)}\r\n\r\n".encode() + p + b"\r\n\r\n"
+    assert len(list(warc.Salvage(head(sha)))) == 1 and len(list(warc.Salvage(head("sha1:" + "A" * 32)))) == 0
+    assert "WARC-Date: " in plain[0].decode()
+
+
+def test_revisits_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", ("x" * 200 if i % 3 else "short")) for i in range(30)]
+    got = warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 30 and sorted(r.page_id for r in got if r.record_type == "revisit") == [i for i in range(2, 30) if i % 3]
+
+
 def test_gaps_are_reported(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(record(1) + b"noise" + record(2))
     m = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 2, 9)], warc.MANIFEST)
