@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import Spans, fields, mix, partitions, stage, task, utf8
+from vellum.llm.shared import Spans, fields, hot_join, mix, partitions, stage, task, utf8
 from vellum.llm.windows import BYTES, MARKED, NULL_ID, OPEN, SPREAD, covered_rows, keyed, own_id, shared_runs
 
 BUCKET = 2000
@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
     # anchors that are frequent somewhere: the same, with partial sums instead of one reducer
     spread = runs.where(F.col("kind") == SPREAD)
     entries = stage(spread.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "t", "pos", "m")).alias("at")), "entries")
-    equal = equal.unionByName(spread.join(entries.where("times > 1").select("h", "c"), ["h", "c"]).select("h", "c", "k", "t", "pos", F.col("m").alias("n")))
+    equal = equal.unionByName(hot_join(spread.drop("times"), entries.where("times > 1").select("h", "c", "times"), ["h", "c"], "times").select("h", "c", "k", "t", "pos", F.col("m").alias("n")))
     entries = entries.join(entries.groupBy("h").agg(F.count("*").alias("entries")).where("entries > 1"), "h")
     several = several.unionByName(entries.select("h", "c", "times", "entries", "at.*"))
 

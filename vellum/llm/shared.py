@@ -97,6 +97,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows that must share a key before it is hot; there are at most as many hot keys as rows divided by this.
+HOT = 100_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``big`` joined to ``small``, which has one row a key with the number of its rows in ``big``: hot keys by broadcast, others by shuffle."""
+    few = small.where(F.col(count) >= HOT)
+    if few.isEmpty():
+        return big.join(small, on)
+    return big.join(F.broadcast(few), on).unionByName(big.join(F.broadcast(few.select(*on)), on, "left_anti").join(small.where(F.col(count) < HOT), on))
+
+
 # Text as arrays:
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as the empty text."""

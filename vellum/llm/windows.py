@@ -95,8 +95,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> Da
 def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFrame:
     """What the runs alone decide, written to the shared folder; rows of three kinds.
 
-    ``MARKED``: runs all of whose windows are repeats; with ``across`` those whose equal starts in a smaller id, else all
-    that have an equal. ``OPEN``: of anchor hashes with several distinct runs, one of each (``across``: those in the
+    ``MARKED``: runs all of whose windows are repeats; with ``across`` those whose equal starts in a smaller id, with where it
+    does, ``(h, c, times)`` being its k, t and pos; else all that have an equal. ``OPEN``: of anchor hashes with several distinct runs, one of each (``across``: those in the
     run's smallest id), with the ``times`` it occurs and the ``entries`` of the hash; their windows are still to be
     compared. ``SPREAD``: runs of anchor hashes that are frequent in some batch.
 
@@ -156,7 +156,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
         del parts
         kind = np.full(len(h), -1, np.int8)
         kind[flag == 1] = SPREAD
-        times, entries = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        times, entries, source = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros((2, len(h)), np.int64)
         rest = np.flatnonzero(flag != 1)
         rest = rest[np.lexsort((k[rest], c[rest], h[rest]))]
         hs, cs, ks = h[rest], c[rest], k[rest]
@@ -173,6 +173,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
             least = np.repeat(ks[first], count)
             if across:
                 mark, open_ = ks > least, (ks == least) & (several > 1)
+                source[0, rest], source[1, rest], equal = least, np.repeat(t[rest][first], count), np.where(mark, np.repeat(pos[rest][first].astype(np.int64), count), equal)
             else:
                 mark, open_ = equal > 1, new & (several > 1)
             own = ~told & (flag[rest] == 0)
@@ -189,7 +190,7 @@ def shared_runs(rows: DataFrame, unit: Unit, across: bool, name: str) -> DataFra
         for lo in range(0, len(at), 50_000):
             p, w = at[lo : lo + 50_000], what[lo : lo + 50_000].astype(np.int32)
             shown = w != MARKED
-            cols = {"kind": w, "h": np.where(shown, h[p].view(np.int64), 0), "c": np.where(shown, c[p].view(np.int64), 0), "k": k[p], "t": t[p], "pos": pos[p].astype(np.int32), "m": m[p].astype(np.int32), "times": np.where(w == OPEN, times[p], 0), "entries": np.where(w == OPEN, entries[p], 0)}
+            cols = {"kind": w, "h": np.where(shown, h[p].view(np.int64), source[0, p]), "c": np.where(shown, c[p].view(np.int64), source[1, p]), "k": k[p], "t": t[p], "pos": pos[p].astype(np.int32), "m": m[p].astype(np.int32), "times": np.where(w == SPREAD, 0, times[p]), "entries": np.where(w == OPEN, entries[p], 0)}
             yield pa.RecordBatch.from_pydict(cols)
 
     packed = rows.select("k", "t", "x").mapInArrow(cut, "to int, blob binary").repartition(n, "to")
