@@ -83,7 +83,7 @@ def interval(cell: Column, est: Column | None = None) -> Column:
         sign = lambda k: F.when(part(k) == "", 1.0).otherwise(-1.0)
         read = [F.struct((a * size(2)).alias("lower"), (c * size(4)).alias("upper")) for a in (sign(1), F.lit(1.0), F.lit(-1.0)) for c in (sign(3), F.lit(1.0), F.lit(-1.0))]
         good = lambda r: (r["lower"] < r["upper"]) & (F.lit(True) if est is None else F.coalesce(est.between(r["lower"], r["upper"]), F.lit(True)))
-        return F.get(F.filter(F.array(*read), good), F.lit(0))
+        return F.when(body.rlike(HYPHENED), F.get(F.filter(F.array(*read), good), F.lit(0)))
 
     return let(pair, lambda c: F.when(c["lower"].isNull(), let(F.coalesce(inner, cell), hyphened)).when(c["lower"] <= c["upper"], c))
 
