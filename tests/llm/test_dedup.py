@@ -206,3 +206,22 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def chained(plan, inside: bool = False) -> bool:
+    """Whether a task of the plan runs two Python workers at once, one behind the other."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.initialPlan()
+    if plan.nodeName().startswith("MapInArrow"):
+        if inside:
+            return True
+        inside = True
+    inside = inside and "Exchange" not in plan.nodeName()
+    return any(chained(plan.children().apply(i), inside) for i in range(plan.children().size()))
+
+
+def test_one_python_worker_a_task(docs):
+    for out in (esa.without_repeats(docs), esa.drop_repeats(docs), debruijn.drop_repeats(docs), sigtree.one_of_each(docs)):
+        assert not chained(out._jdf.queryExecution().executedPlan())
+    twice = docs.select("doc_id").mapInArrow(lambda x: x, "doc_id long").mapInArrow(lambda x: x, "doc_id long")
+    assert chained(twice._jdf.queryExecution().executedPlan())

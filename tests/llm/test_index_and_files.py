@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from vellum.llm import bpe, forest, records, warc
-from vellum.llm.shared import pack_arrays, partition_keys, rolling, sliding_argmin, unpack_arrays, words
+from vellum.llm.shared import over, pack_arrays, partition_keys, rolling, sliding_argmin, task, unpack_arrays, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -232,3 +232,11 @@ def test_damaged_records_are_found():
         bad[at] ^= 1
         with pytest.raises(records.Corrupt):
             records.read_frame(io.BytesIO(bytes(bad)))
+
+
+def test_tables_of_another_operator_are_dropped():
+    bpe.codec(PATH)
+    list(over("a long", lambda batch: [], keep=bpe.codec)(iter([])))
+    assert bpe.codec.cache_info().currsize == 1
+    list(task(lambda batches: batches)(iter([])))
+    assert bpe.codec.cache_info().currsize == 0

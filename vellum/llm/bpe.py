@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.shared import chunks, over, prepare, utf8
+from vellum.llm.shared import chunks, large, over, prepare, utf8
 
 #: Words remembered by one worker before it starts afresh.
 MEMO = 150_000
@@ -213,6 +213,7 @@ class Codec:
             yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
 
 
+@large
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -238,4 +239,4 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield out | ({"ids": [np.frombuffer(i, "<u4").tolist() for i, _ in got], "decoded": [d.decode() for _, d in got]} if keep_ids else {})
 
     prepare(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(over(schema, work, lambda: codec(tokenizer).memo.clear()), schema)
+    return docs.select(id_col, text_col).mapInArrow(over(schema, work, lambda: codec(tokenizer).memo.clear(), codec), schema)

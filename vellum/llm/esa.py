@@ -14,6 +14,7 @@ counted by their hashes. ``repeat_groups`` scans the stretches that the marked w
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,15 +108,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
     # all columns of the rows are kept, so that one exchange serves here and for the result
     sought = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "t", "x", *(f"want.{f}" for f in names), *["rest"] * rest)
 
+    bucket_size = BUCKET
+
+    def entries_of(batch: pa.RecordBatch, large: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Of each row that has entries of such buckets, its place and those entries, a column for each name."""
+        for i in range(len(batch)):
+            cols = [batch.column(j)[i].values.to_numpy() for j in range(3, 9)]
+            pick = (cols[3] > bucket_size) == large
+            if pick.any():
+                yield i, [col[pick] for col in cols]
+
     @task
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(2))
             view, ks, ts = memoryview(data), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo in range(0, len(off) - 1, 500):
+            rows_of = entries_of(batch, False)
+            while part := list(itertools.islice(rows_of, 500)):
                 out: dict[str, list] = {f: [] for f in ("k", "t", *names, "x")}
-                for i in range(lo, min(lo + 500, len(off) - 1)):
-                    cols = [batch.column(j)[i].values.to_numpy() for j in range(3, 9)]
+                for i, cols in part:
                     for f, col in zip(names, cols):
                         out[f].append(col)
                     out["k"].append(np.full(len(cols[0]), ks[i]))
@@ -123,8 +134,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
                     out["x"] += [bytes(view[a : a + l]) for a, l in zip((off[i] + cols[4]).tolist(), (cols[5] - 1 + WIDTH).tolist())]
                 yield pa.RecordBatch.from_pydict({f: np.concatenate(v) if f != "x" else pa.array(v, pa.binary()) for f, v in out.items()})
 
-    found = sought.mapInArrow(contexts, "k long, t long, h long, c long, times long, entries long, pos int, m int, x binary")
-
     def anchor(x: bytes) -> int:
         v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
         return BYTES.place(v)
@@ -169,18 +178,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
             close()
         yield made()
 
-    small = found.where(F.col("entries") <= BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(scan, schema)
+    found = sought.mapInArrow(contexts, "k long, t long, h long, c long, times long, entries long, pos int, m int, x binary")
+    small = found.select("h", "c", "times", "k", "t", "pos", "m", "x").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(scan, schema)
 
+    # from the rows as well, not from what ``contexts`` returns: two passes in one task would be two Python workers a core
     @task
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, times, k, t, pos, m, x in zip(*(col.to_pylist() for col in batch.columns)):
-                v = BYTES.values(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
-                j = np.arange(m)
-                full = {"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "k": np.full(m, k), "t": np.full(m, t)}
-                yield pa.RecordBatch.from_pydict(full | {"pos": (pos + j).astype(np.int32), "j": j.astype(np.int32), "e": mix(Spans(v)(j, j + WIDTH)).view(np.int64)})
-
-    large = found.where(F.col("entries") > BUCKET).select("h", "c", "times", "k", "t", "pos", "m", "x").mapInArrow(strings, "h long, c long, times long, k long, t long, pos int, j int, e long")
+            data, off = utf8(batch.column(2))
+            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, cols in entries_of(batch, True):
+                for h, c, times, _, pos, m in zip(*(col.tolist() for col in cols)):
+                    a = off[i] + pos
+                    v = BYTES.values(data[a : a + m - 1 + WIDTH], np.array([0, m - 1 + WIDTH]))[0]
+                    j = np.arange(m)
+                    full = {"h": np.full(m, h), "c": np.full(m, c), "times": np.full(m, times), "k": np.full(m, ks[i]), "t": np.full(m, ts[i])}
+                    yield pa.RecordBatch.from_pydict(full | {"pos": (pos + j).astype(np.int32), "j": j.astype(np.int32), "e": mix(Spans(v)(j, j + WIDTH)).view(np.int64)})
+
+    large = sought.mapInArrow(strings, "h long, c long, times long, k long, t long, pos int, j int, e long")
     often = large.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
     hot = large.join(often, ["h", "e"])
     single = hot.where("times = 1").select("k", "t", "pos", F.lit(1).alias("n"))
