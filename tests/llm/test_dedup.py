@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.llm import components, debruijn, esa, sigtree, windows
+from vellum.llm import components, debruijn, esa, shared, sigtree, windows
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -225,3 +227,25 @@ def test_one_python_worker_a_task(docs):
         assert not chained(out._jdf.queryExecution().executedPlan())
     twice = docs.select("doc_id").mapInArrow(lambda x: x, "doc_id long").mapInArrow(lambda x: x, "doc_id long")
     assert chained(twice._jdf.queryExecution().executedPlan())
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    def left() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    def grown(write) -> set[str]:
+        before = left()
+        write(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+        for _ in range(40):  # removal isn't awaited
+            if not left() - before:
+                break
+            time.sleep(0.1)
+        return left() - before
+
+    was = spark.conf.get(shared.CLEANUP, None)
+    assert not grown(lambda df: shared.stage(df, "counts"))
+    assert spark.conf.get(shared.CLEANUP, None) == was
+    assert grown(lambda df: df.write.format("noop").mode("overwrite").save())  # what it looks for can be seen
+    rows = spark.range(1000).repartition(4, "id").groupBy("id").count()
+    assert shared.stage(rows, "once").count() == shared.stage(rows, "again").count() == rows.count() == 1000
