@@ -240,3 +240,28 @@ def test_tables_of_another_operator_are_dropped():
     assert bpe.codec.cache_info().currsize == 1
     list(task(lambda batches: batches)(iter([])))
     assert bpe.codec.cache_info().currsize == 0
+
+
+class Counted:
+    """A model that notes what it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, word: str):
+        self.asked.append(word)
+        return self.model.tokenize(word)
+
+
+def test_whole_texts_are_encoded_as_by_the_library_each_word_once(monkeypatch):
+    texts = ["It's ONE thing, it's 2 things<|endoftext|>İ 中文's \x00\x1f\x7f", "ſtraße éÉ  ĲĿ\x85\xa0x", "", "one 'thing' 'STUFF é ǅ 𝒜-ﬁ"]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (300_000, 3):
+        monkeypatch.setattr(records, "MEMO", most)
+        enc = records.Encoder(PATH)
+        enc.memo.model = Counted(enc.memo.model)
+        for again in (1, 2):
+            assert [np.frombuffer(raw, "<u4").tolist() for raw in enc.encode(texts)] == want
+            if most > 3:
+                assert len(enc.memo.model.asked) == len(set(enc.memo.model.asked)) == sum(isinstance(w, str) for w in enc.memo)
+        assert len(enc.memo) <= max(most, 3)

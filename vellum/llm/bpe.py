@@ -54,14 +54,19 @@ class Words:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         kinds = lambda k: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k)
         letters, numbers, space = kinds("L"), kinds("N"), "\t-\r \x85\xa0"
-        self.fast = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        # letters and numbers start no other alternative, so they are tried first, being the most frequent
+        self.fast = re.compile(f"[{letters}]+|[{numbers}]|'s|'t|'re|'ve|'m|'ll|'d|[^{space}{letters}{numbers}]+").findall
+        self.ascii = re.compile("[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9]+").findall
         self.odd = re.compile("[^\x00-įı-ſ]")
         self.bytes = {v: k for k, v in byte_letters().items()}
 
     def __call__(self, text: str) -> list[str | int]:
         """Words in order; a special token written in the text is its id."""
-        if "<|" not in text and not self.odd.search(text):
-            return self.fast(text.lower())
+        if "<|" not in text:
+            if text.isascii():
+                return self.ascii(text.lower())
+            if not self.odd.search(text):
+                return self.fast(text.lower())
         out: list[str | int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:

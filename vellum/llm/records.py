@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import Words
+from vellum.llm.bpe import Words, byte_letters
 from vellum.llm.shared import chunks, over, partitions, stage, task, utf8, work_path
 
 HEAD = struct.Struct("<QI")
@@ -93,42 +93,35 @@ def read_at(path: str, picks: list[int]) -> Iterator[tuple[int | None, np.ndarra
             yield unpack(read_frame(f))
 
 
+class Memo(dict):
+    """Ids of each word as ``<u4`` bytes, by the library's model of the word alone; made when first asked for, remembered up to ``MEMO`` words."""
+
+    def __init__(self, words: Words):
+        self.model, self.letters = words.tokenizer.model, byte_letters()
+
+    def __missing__(self, word: str | int) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        if isinstance(word, str):
+            letters = self.letters
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalnum() else "".join([letters[c] for c in word.encode()]))]
+        else:
+            ids = [word]
+        self[word] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        return raw
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word once for as long as it is remembered."""
+    """Ids of whole texts by the tokenizers library, whose model sees each distinct word once for as long as it is remembered."""
 
     def __init__(self, path: str):
         self.words = Words(path)
-        self.memo: dict[str | int, bytes] = {}
-        vocab = self.words.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def learn(self, missing: list[str | int]) -> None:
-        memo = self.memo
-        texts = [w for w in missing if isinstance(w, str)]
-        memo.update((w, struct.pack("<I", w)) for w in missing if not isinstance(w, str))
-        for lo in range(0, len(texts), 4096):
-            part = texts[lo : lo + 4096]
-            ids = np.array(self.words.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist() if len(ids) else []
-            if len(ends) == len(part):
-                raw = ids.tobytes()
-                memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends[:-1]], ends))
-            else:  # words that the normaliser changes when they stand alone
-                for w, e in zip(part, self.words.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
+        self.memo = Memo(self.words)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.words(t) for t in texts]
         memo = self.memo
-        fresh = {w for ws in split for w in ws if w not in memo}
-        if fresh:
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = {w for ws in split for w in ws}
-            self.learn(sorted(fresh, key=str))
-        for ws in split:
-            yield b"".join([memo[w] for w in ws])
+        for text in texts:
+            yield b"".join([memo[w] for w in self.words(text)])
 
 
 @functools.cache
