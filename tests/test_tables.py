@@ -90,3 +90,13 @@ def test_places_of_items(spark):
     s = spark.createDataFrame([(1, "methods", 0, 10), (1, "results", 10, 20)], "doc_id long, label string, char_start int, char_end int")
     i = spark.createDataFrame([(1, 1, 3), (1, 2, 10), (1, 3, 99), (1, 4, None), (2, 5, 1)], "doc_id long, item_id int, offset int")
     assert {r.item_id: r.label for r in layout.place_in_sections(i, s).collect()} == {1: "methods", 2: "results", 3: "appendix", 4: "appendix", 5: "appendix"}
+
+
+def test_only_spans_that_may_be_headings_meet_the_body_size(spark):
+    words = lambda n: " ".join(["Word"] * n)
+    rows = [(1, 1, words(12), 12.0, False), (1, 1, words(13), 12.0, False), (1, 1, "\n" + words(12), 12.0, False), (1, 1, "Done.\r\n", 12.0, False), (1, 1, "2.1 Aims of " + words(40) + ".", 10.0, False), (1, 1, words(8), 10.0, False), (1, 1, "plain words", 10.6, True), (1, 1, " ", 12.0, False), (1, 1, None, 12.0, False), (1, 1, "body text of it. " * 900, 10.0, False)]
+    spans = spark.createDataFrame(rows, "doc_id int, page int, text string, size double, bold boolean")
+    found = layout.heading_spans(spans)
+    assert sorted((r.text, r.strength) for r in found.collect()) == sorted([(words(12), "strong"), ("2.1 Aims of " + words(40) + ".", "strong"), (words(8), "weak"), ("plain words", "strong")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("RLIKE")  # patterns are tried below the join: no other span is shuffled
