@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import html
 from vellum.operators import flatten, layout, markup, tables
 
 
@@ -100,3 +101,9 @@ def test_only_spans_that_may_be_headings_meet_the_body_size(spark):
     assert sorted((r.text, r.strength) for r in found.collect()) == sorted([(words(12), "strong"), ("2.1 Aims of " + words(40) + ".", "strong"), (words(8), "weak"), ("plain words", "strong")])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("RLIKE")  # patterns are tried below the join: no other span is shuffled
+
+
+def test_named_references_end_with_a_semicolon():
+    assert html.page_text("<h1>a &amp; b&amp;&amp</h1><p>&notit; &copy &eacute;, R&D &#8212 <!-- x&amp -->") == "a & b&&amp\n&notit; &copy é, R&D —"
+    assert html.page_text("<p>x<!-- R&amp;D&amp -->", markup=True) == "x R&amp;D&amp"
+    assert markup.html_blocks("<p>a&amp</p><p>b&amp;</p>") == [("p", "a&amp"), ("p", "b&")]
