@@ -121,3 +121,23 @@ def test_line_folds_are_total_and_idempotent(text):
     for f in (lines.drop_repeated_lines, lines.drop_page_clusters, lines.drop_contents_text):
         once = f(text)
         assert f(once) == once
+
+
+def test_arrow_batches_are_bounded_and_a_worker_holds_one_slice(spark):
+    from pyspark.sql.types import ArrayType, StringType
+
+    from vellum.functions import each
+    from vellum.plans.shipping import ship
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], 10000)
+        ship(spark)
+        assert int(spark.conf.get(names[0])) <= each.BATCH_ROWS and int(spark.conf.get(names[1])) <= each.BATCH_BYTES
+        d = spark.range(5000).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.lit(2))).alias("t"))
+        got = d.select("id", each.each(lambda t: t + "é", StringType())(F.col("t")).alias("one"), each.each(lambda t: [t], ArrayType(StringType()), nulls=True)(F.col("t")).alias("all"))
+        assert got.where("NOT (one <=> concat(repeat(string(id), 2), 'é')) AND id % 7 > 0 OR one IS NOT NULL AND id % 7 = 0 OR NOT (all[0] <=> IF(id % 7 > 0, repeat(string(id), 2), NULL))").count() == 0
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)

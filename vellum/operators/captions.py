@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from vellum.functions.each import each
+
 #: A line that starts with the label, its number, and either a stop or a capital.
 NUMBERED = r"\s+([0-9]{1,3})(?:[.:]|\s*$|\s+[A-Z])"
 LINE = {"table": rf"^\s*T(?:able|ABLE){NUMBERED}", "figure": rf"^\s*F(?:igure|IGURE|ig\.|IG\.){NUMBERED}"}
@@ -64,12 +65,7 @@ def captions_of(text: str) -> list[dict]:
 
 def captions(text: Column) -> Column:
     """The captions of a text as an array of structs, in order; null stays null."""
-
-    @F.pandas_udf(ArrayType(CAPTION))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(captions_of, na_action="ignore")
-
-    return run(text)
+    return each(captions_of, ArrayType(CAPTION))(text)
 
 
 def caption_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

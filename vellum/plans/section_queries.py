@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from vellum.functions.each import each
 from vellum.functions.rewrite import quote
 from vellum.operators import captions, sections
 from vellum.plans.corpus import read
@@ -50,12 +50,8 @@ SPANS_SQL = f"""
 @query("section_spans", SPANS_SQL)
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scaffold(spark, sf_dir)
-
-    @F.pandas_udf(ArrayType(sections.SECTION))
-    def spans(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sections.partition(t, sections.hints(t)), na_action="ignore")
-
-    return d.select("doc_id", F.inline(spans("text"))).select("doc_id", "ord", "label", "canonical_label", "char_start", "char_end", "heading_text")
+    spans = each(lambda t: sections.partition(t, sections.hints(t)), ArrayType(sections.SECTION))
+    return d.select("doc_id", F.inline(spans(F.col("text")))).select("doc_id", "ord", "label", "canonical_label", "char_start", "char_end", "heading_text")
 
 
 @query("section_coverage", f"SELECT count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM {SCAFFOLD}")

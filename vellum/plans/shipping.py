@@ -9,9 +9,12 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from vellum.functions.each import bounded
+
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each session, where it isn't on their path already."""
+    """Give the executors this package, once for each session, where it isn't on their path already, and Arrow batches their bounds."""
+    bounded(spark)
     if spark.conf.get("vellum.shipped", "") == spark.sparkContext.applicationId:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
