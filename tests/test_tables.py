@@ -107,3 +107,13 @@ def test_named_references_end_with_a_semicolon():
     assert html.page_text("<h1>a &amp; b&amp;&amp</h1><p>&notit; &copy &eacute;, R&D &#8212 <!-- x&amp -->") == "a & b&&amp\n&notit; &copy é, R&D —"
     assert html.page_text("<p>x<!-- R&amp;D&amp -->", markup=True) == "x R&amp;D&amp"
     assert markup.html_blocks("<p>a&amp</p><p>b&amp;</p>") == [("p", "a&amp"), ("p", "b&")]
+
+
+def test_the_cells_of_a_row_are_worked_out_once(spark):
+    d = spark.createDataFrame([("2.50", "-.20")], "t string, r string")
+    cs = F.array(F.struct(F.lit("t").alias("role"), F.concat(F.lit("zebra "), "t").alias("text")), F.struct(F.lit("r").alias("role"), F.col("r").alias("text")), F.struct(F.lit("t").alias("role"), F.lit("9").alias("text")))
+    out = d.select(flatten.fields(cs).alias("f"))
+    assert out._jdf.queryExecution().analyzed().toString().count("zebra") == 1
+    assert out.select(flatten.sentence(F.lit("x"), F.col("f"))).first()[0] == "x: t = 2.5, r = -.2"
+    shown = spark.createDataFrame([(100.0, "100"), (0.5, "0.5"), (-1.25, "-1.25"), (0.0, "0")], "v double, s string")
+    assert shown.where(~flatten.shown(F.col("v")).eqNullSafe(F.col("s"))).count() == 0

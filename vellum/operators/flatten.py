@@ -101,23 +101,27 @@ FIELDS = (*GUARDS, "p_op", "p", "CI_lower", "CI_upper")
 
 def fields(cells: Column) -> Column:
     """Typed fields of one row from an array of ``struct(role, text)``: the first cell of each role; what fails its guard is null."""
-    cell = lambda r: F.get(F.filter(cells, lambda c: c["role"] == r), F.lit(0))["text"]
-    raw = F.struct(*(number(cell(n)).alias(n) for n in GUARDS), p_value(cell("p")).alias("p"), interval(cell("CI"), F.coalesce(*(number(cell(n)) for n in ("est", "d", "r")))).alias("ci"), number(cell("CI_lower")).alias("lo"), number(cell("CI_upper")).alias("hi"))
+    parts = lambda cs: F.struct(cs["role"].alias("roles"), cs["text"].alias("texts"))
+
+    def raw(p: Column) -> Column:
+        cell = lambda r: F.get(p["texts"], (F.array_position(p["roles"], F.lit(r)) - 1).cast("int"))
+        return F.struct(*(number(cell(n)).alias(n) for n in (*GUARDS, "CI_lower", "CI_upper")), p_value(cell("p")).alias("p"), cell("CI").alias("CI"))
 
     def typed(r: Column) -> Column:
+        ci = F.when(r["CI"].isNotNull(), interval(r["CI"], F.coalesce(r["est"], r["d"], r["r"])))
         est = F.coalesce(r["est"], r["d"], r["r"])
-        bounds = F.struct(F.coalesce(r["ci"]["lower"], r["lo"]).alias("lo"), F.coalesce(r["ci"]["upper"], r["hi"]).alias("hi"))
-        ci = let(bounds, lambda c: F.struct(c["lo"].alias("lo"), F.when(est.isNotNull(), upper_with_sign(est, c["lo"], c["hi"])).otherwise(c["hi"]).alias("hi")))
-        good = let(ci, lambda c: F.when(c["lo"] <= c["hi"], c))
+        bounds = lambda i: F.struct(F.coalesce(i["lower"], r["CI_lower"]).alias("lo"), F.coalesce(i["upper"], r["CI_upper"]).alias("hi"))
+        signed = lambda c: F.struct(c["lo"].alias("lo"), F.when(est.isNotNull(), upper_with_sign(est, c["lo"], c["hi"])).otherwise(c["hi"]).alias("hi"))
+        good = let(let(let(ci, bounds), signed), lambda c: F.when(c["lo"] <= c["hi"], c))
         value = lambda n: (r[n] if GUARDS[n] is None else F.when(GUARDS[n](r[n]), r[n])).alias(n)
         return let(good, lambda c: F.struct(*map(value, GUARDS), r["p"]["op"].alias("p_op"), r["p"]["value"].alias("p"), c["lo"].alias("CI_lower"), c["hi"].alias("CI_upper")))
 
-    return let(raw, typed)
+    return let(let(let(cells, parts), raw), typed)
 
 
 def shown(v: Column) -> Column:
     """A number with up to six decimals and no trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.rtrim(F.rtrim(F.format_string("%.6f", v), F.lit("0")), F.lit("."))
 
 
 def bare(v: Column) -> Column:
