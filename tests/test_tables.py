@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import html
-from vellum.operators import flatten, layout, markup, tables
+from vellum.operators import flatten, grid, layout, markup, tables
 
 
 def test_statistical_rows_of_a_table():
@@ -117,3 +117,14 @@ def test_the_cells_of_a_row_are_worked_out_once(spark):
     assert out.select(flatten.sentence(F.lit("x"), F.col("f"))).first()[0] == "x: t = 2.5, r = -.2"
     shown = spark.createDataFrame([(100.0, "100"), (0.5, "0.5"), (-1.25, "-1.25"), (0.0, "0")], "v double, s string")
     assert shown.where(~flatten.shown(F.col("v")).eqNullSafe(F.col("s"))).count() == 0
+
+
+def test_a_cell_written_twice_at_once_is_settled(spark):
+    rows = [(1, 0, 0, 5, t, False) for t in ("b", "a", "c")]
+    for some in (rows, rows[::-1]):
+        assert grid.dense(spark.createDataFrame(some, "table_id int, r int, c int, ord int, text string, is_header boolean").coalesce(1), "table_id").first()["values"] == ["a"]
+
+
+def test_words_at_one_place_are_in_one_row(spark):
+    w = spark.createDataFrame([(1, 0.0, 0.0, 2.0)] * 2 + [(1, 9.0, 1.0, 11.0)] * 3, "doc_id int, top double, x0 double, bottom double")
+    assert sorted((r.top, r.r) for r in grid.row_islands(w, "doc_id").collect()) == [(0.0, 0)] * 2 + [(9.0, 1)] * 3
