@@ -141,3 +141,16 @@ def test_arrow_batches_are_bounded_and_a_worker_holds_one_slice(spark):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
+
+
+def test_compounds_close_up_in_one_pass_over_the_text(spark):
+    from vellum.functions.boilerplate import COMPOUNDS
+    from vellum.functions.normalize import BY_CODE
+
+    firsts = {a.lower() for a in COMPOUNDS}
+    assert not any(__import__("re").fullmatch(b, a) for a in firsts for bs in COMPOUNDS.values() for b in bs.split())
+    made = BY_CODE["compounds"].rewrite.spark(F.col("t"))
+    t = "the experi\n mental experi mentally ques  tionnaires differ ent con sistently interpre ted con men"
+    d = spark.createDataFrame([(t,), (None,)], "t string").select(made.alias("t"))
+    assert [r.t for r in d.collect()] == ["the experimental experimentally questionnaires different consistently interpreted con men", None]
+    assert d._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
