@@ -154,3 +154,13 @@ def test_compounds_close_up_in_one_pass_over_the_text(spark):
     d = spark.createDataFrame([(t,), (None,)], "t string").select(made.alias("t"))
     assert [r.t for r in d.collect()] == ["the experimental experimentally questionnaires different consistently interpreted con men", None]
     assert d._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
+def test_quality_splits_no_more_than_its_window(spark):
+    from vellum.functions.quality import WINDOW, quality
+
+    texts = ["  the " + "zebra " * (WINDOW - 2) + "the the", "the " * (WINDOW + 5), " ", "é�ﬁ\n", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(quality(F.col("t")).alias("q"))
+    got = [r.q for r in d.collect()]
+    assert [round(r.common_word_ratio, 4) for r in got] == [round(2 / WINDOW, 4), 1.0, 0.0, 0.0, 0.0] and (got[3].garbled_chars, got[3].ligatures_remaining, got[3].non_ascii_ratio) == (1, 1, 0.75)
+    assert d._jdf.queryExecution().analyzed().toString().count("split(") == 1
