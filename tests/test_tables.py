@@ -128,3 +128,12 @@ def test_a_cell_written_twice_at_once_is_settled(spark):
 def test_words_at_one_place_are_in_one_row(spark):
     w = spark.createDataFrame([(1, 0.0, 0.0, 2.0)] * 2 + [(1, 9.0, 1.0, 11.0)] * 3, "doc_id int, top double, x0 double, bottom double")
     assert sorted((r.top, r.r) for r in grid.row_islands(w, "doc_id").collect()) == [(0.0, 0)] * 2 + [(9.0, 1)] * 3
+
+
+def test_spans_are_joined_by_document_alone(spark):
+    rows = [(1, p, t, 50.0, y, 90.0, y + 8, s, False, 800.0) for p in (0, 1) for t, y, s in (("Journal  of it", 795.0, 7.0), ("body words", 600.0, 10.0), (f"note p{p}", 100.0, 8.0))]
+    keys = layout.line_keys(spark.createDataFrame(rows, "doc_id int, page int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, height double"))
+    joins = [l for l in keys._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in l]
+    assert joins and all(l.count(" = ") == 1 for l in joins)
+    r = keys.first()
+    assert r.running == ["Journal of it"] and sorted(r.footnotes) == ["note p0", "note p1"]
